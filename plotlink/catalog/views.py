@@ -48,6 +48,7 @@ def with_views(final: str, views: dict[str, str], engine: str, head: dict[str, s
             order.append(n)
 
     visit(final, ())
+    recursive = "RECURSIVE " if engine == "duckdb" else ""
     mat = "MATERIALIZED " if engine == "duckdb" else ""
     ctes = ",\n".join(f"{n} AS {mat}({render(known[n], engine)})" for n in order)
-    return (f"WITH {ctes}\n" if ctes else "") + render(final, engine)
+    return (f"WITH {recursive}{ctes}\n" if ctes else "") + render(final, engine)
