@@ -39,3 +39,20 @@ def view(name, sql):
 
 def oracle_text(slug):
     return with_views(SQL[slug], VIEWS, "duckdb")
+
+
+INPUTS = "cemetery memorial register request pin plat_map plat_entry section_given ground_vertex".split()
+_MODELS = {}
+
+
+def model(t, fresh: bool = False):
+    """The stage model over a scale-factor directory, shared by the queries of a session."""
+    from plotlink.plans.model import Model
+
+    key = (id(t.spark), t.spark.sparkContext.applicationId, t.sf_dir)
+    if fresh or key not in _MODELS:
+        made = Model(**{n: getattr(t, n) for n in INPUTS})
+        if fresh:
+            return made
+        _MODELS[key] = made
+    return _MODELS[key]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plotlink import config as C
 from plotlink.functions import plots
 from plotlink.functions.frames import union_all
+from plotlink.functions.lineage import checkpointed
 
 NAME_COLS = ["nl", "sx", "nm", "cf", "fr", "by", "dy", "dyb"]
 PLOT_COLS = ["section", "block", "lot"]
@@ -230,11 +231,11 @@ def era_gated_link(register: DataFrame, memorial: DataFrame, links: DataFrame, c
     """
     era = cemetery.filter("register_as_of IS NOT NULL").select("cem_id", "register_as_of")
     linked = links.filter("status = 'link'")
-    rows = register.join(F.broadcast(era), "cem_id").filter("by = 0 AND dy = 0 AND cf <> ''") \
+    rows = register.join(era, "cem_id").filter("by = 0 AND dy = 0 AND cf <> ''") \
         .join(linked.select("cem_id", "key"), ["cem_id", "key"], "left_anti") \
         .select("cem_id", "key", "ord", "nl", "cf")
     names = rows.groupBy("cem_id", "nl", "cf").agg(F.min("ord").alias("first_ord"), F.min_by("key", "ord").alias("first_key"))
-    free = memorial.join(F.broadcast(era), "cem_id") \
+    free = memorial.join(era, "cem_id") \
         .filter((F.col("dy") != 0) & (F.col("dy") <= F.col("register_as_of")) & (F.col("cf") != "")) \
         .join(linked.select("cem_id", "mid").distinct(), ["cem_id", "mid"], "left_anti") \
         .withColumn("nl", F.explode(F.array_distinct(F.filter(
@@ -258,7 +259,7 @@ def claim_in_order(cand: DataFrame) -> DataFrame:
 
     A row is decidable once it is the earliest open row of every one of its candidates; the
     earliest open row always is, so the rounds end. State is cut with checkpoint()."""
-    open_ = cand.withColumn("free", F.lit(True)).checkpoint()
+    open_ = checkpointed(cand.withColumn("free", F.lit(True)))
     claims = None
     while True:
         head = open_.groupBy("cem_id", "mid").agg(F.min("ord").alias("head"))

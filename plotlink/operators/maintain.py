@@ -30,3 +30,18 @@ def normalize_register(register: DataFrame, sg_blocks=()) -> DataFrame:
         .when((F.col("section") == "") & ((F.col("block") != "") | (F.col("lot") != "")), F.lit("*")) \
         .otherwise(F.col("section"))
     return once(df, {"section": section}).drop("_shift")
+
+
+def latest_pins(pins: DataFrame, cemetery: DataFrame, max_m: float = 800) -> DataFrame:
+    """Newest saved pin per person, dropped when it lies off the cemetery."""
+    last = pins.groupBy("cem_id", "pk").agg(F.max_by(F.struct("lat", "lng"), F.struct("ts", "arrival")).alias("g")).select("cem_id", "pk", "g.*")
+    cem = cemetery.select("cem_id", F.col("lat").alias("_a"), F.col("lng").alias("_b"))
+    return last.join(cem, "cem_id").filter(geo.haversine(F.col("lat"), F.col("lng"), F.col("_a"), F.col("_b")) <= max_m).drop("_a", "_b")
+
+
+def overlay_field_pins(persons: DataFrame, pins: DataFrame) -> DataFrame:
+    """A saved pin replaces the person's own position; ``field_pin`` says so."""
+    g = pins.select("cem_id", "pk", F.col("lat").alias("_a"), F.col("lng").alias("_b"))
+    return persons.join(g, ["cem_id", "pk"], "left").withColumns({
+        "lat": F.coalesce("_a", "lat"), "lng": F.coalesce("_b", "lng"), "field_pin": F.col("_a").isNotNull(),
+    }).drop("_a", "_b")

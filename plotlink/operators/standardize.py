@@ -70,7 +70,7 @@ def clean_pins(df: DataFrame, cemetery: DataFrame, lo: float = 5, hi: float = 80
     centroid, says why, and projects the survivors to local east/north metres."""
     cem = cemetery.select("cem_id", F.col("lat").alias("_clat"), F.col("lng").alias("_clng"))
     d = F.col("_d")
-    out = df.join(F.broadcast(cem), "cem_id").withColumn(
+    out = df.join(cem, "cem_id").withColumn(
         "_d", geo.haversine(F.col("lat"), F.col("lng"), F.col("_clat"), F.col("_clng"))
     )
     ok = d.between(lo, hi)
@@ -111,7 +111,7 @@ def approach_table(positions: DataFrame, located: DataFrame) -> DataFrame:
 def project_plats(plat_map: DataFrame, plat_entry: DataFrame, cemetery: DataFrame) -> DataFrame:
     """Every plat entry through its map's affine to metres and on to degrees."""
     cem = cemetery.select("cem_id", F.col("lat").alias("_clat"), F.col("lng").alias("_clng"))
-    df = plat_entry.join(plat_map.drop("cem_id"), "map_id").join(F.broadcast(cem), "cem_id")
+    df = plat_entry.join(plat_map.drop("cem_id"), "map_id").join(cem, "cem_id")
     df = df.withColumns({
         "e": F.expr("a * x + b * y + c"),
         "n": F.expr("d * x + f * y + g"),

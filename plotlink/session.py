@@ -1,7 +1,5 @@
 """Session settings for local runs; on a cluster the session is given."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -19,6 +17,4 @@ def local_session(cores: str = "*", app: str = "plotlink") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plotlink-ckpt-"))
     return spark
