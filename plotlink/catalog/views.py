@@ -51,4 +51,7 @@ def with_views(final: str, views: dict[str, str], engine: str, head: dict[str, s
     recursive = "RECURSIVE " if engine == "duckdb" else ""
     mat = "MATERIALIZED " if engine == "duckdb" else ""
     ctes = ",\n".join(f"{n} AS {mat}({render(known[n], engine)})" for n in order)
-    return (f"WITH {recursive}{ctes}\n" if ctes else "") + render(final, engine)
+    final = render(final, engine).strip()
+    if ctes and final.startswith("WITH "):
+        return f"WITH {recursive}{ctes},\n{final[5:]}"
+    return (f"WITH {recursive}{ctes}\n" if ctes else "") + final
