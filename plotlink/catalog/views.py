@@ -2,7 +2,7 @@
 
 The fixture views are projections both engines can run, so their text is written once. The
 few spots where the engines differ are written as tokens: ``@SEQ(a,b)@`` (one row per
-integer), ``@EPOCH_US(x)@`` and ``@LIST(x)@``.
+integer), ``@EPOCH_US(x)@`` and ``@JOINED(text;order)@`` (comma-joined aggregate).
 """
 
 import re
@@ -16,10 +16,12 @@ _RULES = {
     "spark": [
         (r"@SEQ\(([^@]*)\)@", r"explode(sequence(\1))"),
         (r"@EPOCH_US\(([^@]*)\)@", r"unix_micros(cast(\1 as timestamp))"),
+        (r"@JOINED\(([^@]*);([^@]*)\)@", r"listagg(\1, ',') WITHIN GROUP (ORDER BY \2)"),
     ],
     "duckdb": [
         (r"@SEQ\(([^@]*)\)@", r"unnest(generate_series(\1))"),
         (r"@EPOCH_US\(([^@]*)\)@", r"epoch_us(\1)"),
+        (r"@JOINED\(([^@]*);([^@]*)\)@", r"string_agg(\1, ',' ORDER BY \2)"),
     ],
 }
 

@@ -144,7 +144,12 @@ def section_code_table(spark: SparkSession) -> DataFrame:
     rows = ",".join(
         f"('{int(code)}','{sec}','{sub}')" for code, (sec, sub) in C.SECTION_CODES.items()
     )
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(_code, code_section, code_sub)")
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(_bare, code_section, code_sub)")
+
+
+def bare_section_code(c: Column) -> Column:
+    """The code without the zeros the table forgives, as ``section_code_table`` lists it."""
+    return F.regexp_replace(c, r"^(?:0{0,2}([1-9])|0?([1-9]\d))$", "$1$2")
 
 
 def decode_code(df: DataFrame, code_col: str, code_table: DataFrame | None = None) -> DataFrame:
@@ -156,13 +161,13 @@ def decode_code(df: DataFrame, code_col: str, code_table: DataFrame | None = Non
     df = df.withColumns({
         "_ok": ok,
         "_n": x(2),
-        # the table knows each code bare and padded to two digits, and one further zero is forgiven
+        # each code is known bare and padded to two digits, and one further zero is forgiven
         "_key": F.when(
             ok & (F.upper(x(1)) == C.CODED_CEMETERY),
-            F.regexp_replace(x(2), r"^(?:0{0,2}([1-9])|0?([1-9]\d))$", "$1$2"),
+            bare_section_code(x(2)),
         ),
     })
-    df = df.join(F.broadcast(codes), F.col("_key") == F.col("_code"), "left")
+    df = df.join(F.broadcast(codes), F.col("_key") == F.col("_bare"), "left")
     have = F.col("_ok")
     return df.withColumns({
         "section": F.when(have, F.coalesce("code_section", F.concat(F.lit("Section "), strip_zeros(F.col("_n"))))),
@@ -170,4 +175,4 @@ def decode_code(df: DataFrame, code_col: str, code_table: DataFrame | None = Non
         "block": F.when(have, norm_block(x(3))),
         "lot": F.when(have, strip_zeros(x(4))),
         "grave": F.when(have, x(5)),
-    }).drop("_c", "_ok", "_n", "_key", "_code", "code_section", "code_sub")
+    }).drop("_c", "_ok", "_n", "_key", "_bare", "code_section", "code_sub")

@@ -45,3 +45,89 @@ def overlay_field_pins(persons: DataFrame, pins: DataFrame) -> DataFrame:
     return persons.join(g, ["cem_id", "pk"], "left").withColumns({
         "lat": F.coalesce("_a", "lat"), "lng": F.coalesce("_b", "lng"), "field_pin": F.col("_a").isNotNull(),
     }).drop("_a", "_b")
+
+
+def overlay_memorials(base: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates replace base rows of the same memorial and keep the first row's place."""
+    both = base.withColumn("_u", F.lit(0)).unionByName(updates.withColumn("_u", F.lit(1)))
+    cols = [c for c in base.columns if c not in ("cem_id", "mid", "ord")]
+    return both.groupBy("cem_id", "mid").agg(
+        F.max_by(F.struct(*cols), F.struct("_u", "ord")).alias("v"), F.min_by("ord", F.struct("_u", "ord")).alias("ord")) \
+        .select("cem_id", "mid", "ord", "v.*")
+
+
+def snapshot_replace(base: DataFrame, updates: DataFrame, presence: DataFrame, empty_counts: bool) -> DataFrame:
+    """A cemetery's rows are replaced as a whole. ``presence`` lists the cemeteries for which
+    an update arrived; where ``empty_counts`` is off, one without rows changes nothing."""
+    given = presence.select("cem_id").distinct()
+    if not empty_counts:
+        given = given.join(updates.select("cem_id").distinct(), "cem_id", "left_semi")
+    return base.join(given, "cem_id", "left_anti").unionByName(updates.join(given, "cem_id", "left_semi"))
+
+
+def merge_registry(previous: DataFrame, fresh: DataFrame, pinned: list[int], cached_requests: DataFrame) -> DataFrame:
+    """Fresh listing wins; older cemeteries stay only if pinned or with cached requests."""
+    old = previous.join(fresh.select("cem_id"), "cem_id", "left_anti")
+    keep = old.join(cached_requests.select("cem_id").distinct().withColumn("_c", F.lit(True)), "cem_id", "left") \
+        .filter(F.col("cem_id").isin(*pinned) | F.col("_c")).drop("_c")
+    return fresh.withColumn("origin", F.lit("fresh")).unionByName(keep.withColumn("origin", F.lit("kept")))
+
+
+def shrink_guard(new_counts: DataFrame, prev_counts: DataFrame, ratio: float = 0.5, floor: int = 100) -> DataFrame:
+    """Refuses a snapshot that came back too short. Both tables: cem_id, n; ``new_counts``
+    also reported_total."""
+    j = new_counts.join(prev_counts.select("cem_id", F.col("n").alias("n_prev")), "cem_id", "left")
+    least = F.greatest(F.col("reported_total"), F.coalesce("n_prev", F.lit(0))) * ratio
+    return j.select("cem_id", "n", "n_prev", "reported_total", (~((least > floor) & (F.col("n") < least))).alias("accepted"))
+
+
+def stale_partitions(registry: DataFrame, stage_state: DataFrame, cadence_s: dict[str, int], now: int, force: bool = False) -> DataFrame:
+    """Every cemetery and stage with whether it is due and why."""
+    stages = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.lit(v).alias("cadence")) for k, v in cadence_s.items()]))
+    want = registry.select("cem_id", stages.alias("s")).select("cem_id", "s.*")
+    j = want.join(stage_state.select("cem_id", "stage", "ts"), ["cem_id", "stage"], "left")
+    reason = F.when(F.lit(force), "forced").when(F.col("ts").isNull(), "missing").when(F.lit(now) - F.col("ts") > F.col("cadence"), "stale")
+    return j.select("cem_id", "stage", reason.isNotNull().alias("due"), reason.alias("reason"))
+
+
+def missing_keys(cached: DataFrame, max_key: int) -> DataFrame:
+    """Register keys to probe (again): 1..max that are not cached, where misses beyond the
+    last real key count as not cached. ``cached``: register, key, miss."""
+    last = cached.groupBy("register").agg(F.coalesce(F.max(F.when(~F.col("miss"), F.col("key"))), F.lit(0)).alias("last"))
+    known = cached.join(last, "register").filter(~F.col("miss") | (F.col("key") <= F.col("last"))).select("register", "key")
+    return last.select("register", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max_key).cast("bigint"))).alias("key")) \
+        .join(known, ["register", "key"], "left_anti")
+
+
+MAX_PHOTO = 25 * 1024 * 1024
+
+
+def assign_photo_slots(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Where each incoming photo goes. Same bytes at the asked slot are a retry; a free slot
+    is taken as asked; other bytes move to the next free slot 1-99 in arrival order; with
+    none left the photo is refused, as is anything empty, too large or not a JPEG.
+
+    ``stored``: pk, slot, sha. ``incoming``: arrival, pk, slot, sha, size, magic (first two
+    bytes in hex). Only the first 100 arrivals that need a slot can find one, so a grave
+    with any number of uploads ranks no more than that."""
+    bad = F.when(F.col("size") == 0, "empty").when(F.col("size") > MAX_PHOTO, "too large").when(F.lower("magic") != "ffd8", "not a jpeg")
+    inc = incoming.withColumn("why", bad)
+    good = inc.filter("why IS NULL")
+    at = good.join(stored.select("pk", "slot", F.col("sha").alias("have")), ["pk", "slot"], "left")
+    # among newcomers to one empty slot the first arrival takes it; its equals are retries
+    first = at.filter("have IS NULL").groupBy("pk", "slot").agg(F.min_by("sha", "arrival").alias("won"), F.min("arrival").alias("won_at"))
+    at = at.join(first, ["pk", "slot"], "left").withColumn(
+        "state", F.when(F.col("have") == F.col("sha"), "retry").when(F.col("won_at") == F.col("arrival"), "as asked")
+        .when(F.col("have").isNull() & (F.col("won") == F.col("sha")), "retry").otherwise("move"))
+    used = stored.select("pk", "slot").unionByName(first.select("pk", "slot")).distinct()
+    move = at.filter("state = 'move'")
+    free = move.select("pk").distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(99)))) \
+        .join(used, ["pk", "slot"], "left_anti")
+    free = free.withColumn("i", F.row_number().over(Window.partitionBy("pk").orderBy("slot"))).select("pk", "i", F.col("slot").alias("new_slot"))
+    order = Window.partitionBy("pk").orderBy("arrival")
+    head = move.withColumn("i", F.row_number().over(order)).filter("i <= 100").select("arrival", "i")
+    moved = move.join(head, "arrival", "left").join(free, ["pk", "i"], "left") \
+        .select("arrival", "pk", F.col("new_slot").alias("slot"), F.when(F.col("new_slot").isNull(), "no slot").otherwise("moved").alias("result"))
+    kept = at.filter("state <> 'move'").select("arrival", "pk", "slot", F.col("state").alias("result"))
+    refused = inc.filter("why IS NOT NULL").select("arrival", "pk", F.lit(None).cast("int").alias("slot"), F.col("why").alias("result"))
+    return kept.unionByName(moved).unionByName(refused)
