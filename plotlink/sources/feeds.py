@@ -220,18 +220,18 @@ def import_register_sheet(sheet: DataFrame, coded: bool = False) -> DataFrame:
         full.alias("name"), plain(pick("birth date", "birthdate", "birth", "born", "dob")).alias("bd"),
         plain(pick("death date", "deathdate", "death", "died", "dod")).alias("dd"),
         plain(pick("burial date", "burialdate", "burial", "interment date")).alias("burial"),
-        txt(pick("plot number", "plotnumber", "plot #")).alias("_code"), txt(sec).alias("_s"),
+        txt(pick("plot number", "plotnumber", "plot #")).alias("_code"), txt(sec).alias("_sect"),
         F.upper(txt(pick("block", "blk"))).alias("_b"), plots.strip_zeros(txt(pick("lot"))).alias("_l"), txt(pick("grave", "plot", "space")).alias("_g")).filter("name <> ''")
     df = plots.decode_code(df, "_code").withColumnsRenamed({c: f"k_{c}" for c in plots.PARTS})
-    df = plots.parse_generic(df.withColumn("_t", F.concat("_s", F.lit(" Lot 0"))), "_t").withColumnsRenamed({c: f"t_{c}" for c in plots.PARTS})
+    df = plots.parse_generic(df.withColumn("_t", F.concat("_sect", F.lit(" Lot 0"))), "_t").withColumnsRenamed({c: f"t_{c}" for c in plots.PARTS})
     by_table = F.lit(False)
     if coded:
         codes = plots.section_code_table(df.sparkSession)
-        df = df.join(F.broadcast(codes), plots.bare_section_code(F.col("_s")) == codes["_bare"], "left").drop(codes["_bare"])
+        df = df.join(F.broadcast(codes), plots.bare_section_code(F.col("_sect")) == codes["_bare"], "left").drop(codes["_bare"])
         by_table = F.col("code_section").isNotNull()
     by_code = F.coalesce("k_section", F.lit("")) != ""
     use_cols = ~by_code & F.lit(sec is not None)
-    section = F.when(by_table, F.col("code_section") if coded else F.lit("")).when(F.col("_s").rlike(r"^\d+$"), F.concat(F.lit("Section "), plots.strip_zeros(F.col("_s")))).otherwise(F.coalesce("t_section", "_s"))
+    section = F.when(by_table, F.col("code_section") if coded else F.lit("")).when(F.col("_sect").rlike(r"^\d+$"), F.concat(F.lit("Section "), plots.strip_zeros(F.col("_sect")))).otherwise(F.coalesce("t_section", "_sect"))
     out = {"section": F.when(use_cols, section).otherwise(F.coalesce("k_section", F.lit(""))), "sub": F.when(use_cols, F.when(by_table, F.col("code_sub")).otherwise("") if coded else F.lit("")).otherwise(F.coalesce("k_sub", F.lit(""))),
            "block": F.when(use_cols, F.col("_b")).otherwise(F.coalesce("k_block", F.lit(""))), "lot": F.when(use_cols, F.col("_l")).otherwise(F.coalesce("k_lot", F.lit(""))),
            "grave": F.when(use_cols, F.col("_g")).otherwise(F.coalesce("k_grave", F.lit("")))}
