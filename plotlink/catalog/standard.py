@@ -73,7 +73,7 @@ oracle("standardize_plots_counts", """
 
 view("fx_alias_plot", """
   SELECT cem_id, k AS ord,
-         split_part('Hoffstetter Hill,Sq Hill,Section 11,Round Hill,NorthHill,Culter hill,Sub 6,Morris Hill,Veterans Hill,Mausoleum,Singles Sec,Old Part,Old part sec 3,Sub 4,Subdiv 7,By oak hill,Maple Grove,Unknown plot', ',', cast(k % 18 + 1 as int))
+         split_part('Hoffstetter Hill,Sqare Hill,Section 11,Round Hill,NorthHill,Culter hill,Sub 6,Morris Hill,Veterans Hill,Mausoleum,Singles Sec,Old Part,Old part sec 3,Sub 4,Subdiv 7,By oak hill,Maple Grove,Unknown plot', ',', cast(k % 18 + 1 as int))
          || case k % 5 when 0 then ' Blk ' || blk when 1 then ' Row 0' || cast(lot % 7 as string) when 2 then ' Sub: ' || cast(lot as string) else '' end
          || case when k % 7 = 0 then '' else ', Lot: #' || cast(lot as string) || case when k % 3 = 0 then 'A' else '' end end
          || case when k % 4 = 0 then '' else ' (Grave ' || cast(grave as string) || ')' end AS plot
