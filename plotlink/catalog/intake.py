@@ -376,13 +376,15 @@ oracle("publish_bundle", """
 
 @query("read_bundle")
 def _(t):
-    """A v2 document per cemetery, built from the tables, written and read back."""
-    rows = lambda df, cols: df.groupBy("cem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.array(*[F.col(c).cast("string") for c in cols]).alias("r")))), lambda x: x.r).alias("rows"))
+    """Paged v2 documents built from the tables, written and read back."""
+    page = F.floor(F.col("ord") / 20000).cast("int").alias("page")
+    gather = lambda df, row: df.groupBy("cem_id", page).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("r")))), lambda x: x.r).alias("rows"))
+    rows = lambda df, cols: gather(df, F.array(*[F.col(c).cast("string") for c in cols]))
     mem = rows(t.memorial, feeds.MEMORIAL_POS).withColumnRenamed("rows", "memorials")
     reg = rows(t.register, feeds.REGISTER_POS).withColumnRenamed("rows", "roster")
-    req = t.request.groupBy("cem_id").agg(F.collect_list(F.struct(F.col("prid").alias("prId"), "mid", "fn", "ln", "name", "plot")).alias("requests"))
-    doc = t.cemetery.join(mem, "cem_id", "left").join(reg, "cem_id", "left").join(req, "cem_id", "left").select(
-        F.lit(2).alias("v"), F.lit("2024-05-01").alias("generated"), F.array(F.struct(
+    req = gather(t.request, F.struct(F.col("prid").alias("prId"), "mid", "fn", "ln", "name", "plot")).withColumnRenamed("rows", "requests")
+    doc = t.cemetery.join(mem, "cem_id", "left").join(reg, ["cem_id", "page"], "left").join(req, ["cem_id", "page"], "left").select(
+        F.lit(2).alias("v"), "page", F.lit("2024-05-01").alias("generated"), F.array(F.struct(
             F.col("cem_id").alias("id"), "name", "county", "lat", "lng", F.struct(F.when(F.col("cem_id") % 2 == 0, "2024-04-01").otherwise("").alias("memorialsAsOf")).alias("meta"),
             "memorials", "roster", "requests")).alias("cemeteries"))
     path = f"{shared_root(t.spark)}/docs-{uuid.uuid4().hex}"

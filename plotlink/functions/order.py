@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotlink.functions.lineage import written
+
 
 def pick_at(df: DataFrame, by: list[str], value: str, index: Column, out: str) -> DataFrame:
     """The element at a zero-based ``index`` (an expression over the group size ``n``) of each
@@ -15,3 +17,15 @@ def pick_at(df: DataFrame, by: list[str], value: str, index: Column, out: str) -
         "n": F.sum("_c").over(Window.partitionBy(*by)),
     })
     return cum.filter(F.col("_cum") > index).groupBy(*by).agg(F.min(value).alias(out), F.first("n").alias("n"))
+
+
+def ranked(df: DataFrame, by: list[str], keys: list[str], out: str = "rank") -> DataFrame:
+    """Row number of every row within its group, for groups of any size: rows are range
+    partitioned by group and keys, each range is numbered on its own, and the ranges' sizes
+    give the offsets. The partitioned rows are written first, so both steps see the same."""
+    parts = written(df.repartitionByRange(*by, *keys).withColumn("_pid", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy(*by, "_pid").agg(F.count("*").alias("_n")) \
+        .select(*by, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    here = Window.partitionBy(*by, "_pid").orderBy(*keys)
+    return parts.join(base, [*by, "_pid"]).withColumn(out, (F.col("_base") + F.row_number().over(here)).cast("int")).drop("_pid", "_base")

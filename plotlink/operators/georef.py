@@ -341,10 +341,11 @@ def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: Data
     seeds = comp.join(big, ["map_id", "cluster"]).join(dom, ["map_id", "block"]).join(centroids, ["map_id", "block"]) \
         .filter("size <= d_size * 1.3 AND max_num >= d_max * 0.35")
     seeds = seeds.select("map_id", "cluster", "block", "size", F.col("cx").alias("x"), F.col("cy").alias("y"), "e", "n")
-    seeds = written(seeds.withColumn("_i", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("size"), F.xxhash64(F.lit(seed), "cluster", "block")))), "seeds")
+    seeds = written(seeds, "seeds")
     span = lambda df, u, v, out: df.groupBy("map_id").agg(F.sqrt(F.pow(F.max(u) - F.min(u), 2) + F.pow(F.max(v) - F.min(v), 2)).alias(out))
     scale0 = span(centroids, "e", "n", "_se").join(span(big, "cx", "cy", "_sp"), "map_id").select("map_id", F.try_divide("_se", "_sp").alias("scale0"))
-    few = seeds.filter(F.col("_i") <= SAMPLE)
+    few = seeds.withColumn("_i", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("size"), F.xxhash64(F.lit(seed), "cluster", "block")))) \
+        .filter(F.col("_i") <= SAMPLE)
     side = lambda s: few.select("map_id", *[F.col(c).alias(f"{c}{s}") for c in ("_i", "cluster", "block", "x", "y", "e", "n")])
     tri = side(0).join(side(1), "map_id").filter("_i0 < _i1 AND cluster0 <> cluster1 AND block0 <> block1") \
         .join(side(2), "map_id").filter("_i1 < _i2 AND cluster2 <> cluster0 AND cluster2 <> cluster1 AND block2 <> block0 AND block2 <> block1")
@@ -355,7 +356,7 @@ def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: Data
     hyp = hyp.filter(sc.between(F.col("scale0") * 0.55, F.col("scale0") * 1.8) & (F.abs(F.degrees(F.atan2("d", "a"))) <= 12)).drop("scale0")
 
     def explain(t, keys):
-        hit = t.join(seeds.drop("_i"), "map_id").withColumn("dist", residual()).filter(F.col("dist") <= reach)
+        hit = t.join(seeds, "map_id").withColumn("dist", residual()).filter(F.col("dist") <= reach)
         return hit.groupBy(*keys, *T6, "cluster").agg(F.min_by(F.struct("block", "size", "x", "y", "e", "n"), F.struct("dist", "block")).alias("s"))
 
     won = explain(hyp, h).groupBy(*h, *T6).agg(F.count_distinct("s.block").alias("n_blocks"), F.sum("s.size").alias("score")).filter("n_blocks >= 5")

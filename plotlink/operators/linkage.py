@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plotlink import config as C
 from plotlink.functions import plots
-from plotlink.functions.frames import union_all
+from plotlink.functions.frames import once, union_all
 from plotlink.functions.lineage import checkpointed
 
 NAME_COLS = ["nl", "sx", "nm", "cf", "fr", "by", "dy", "dyb"]
@@ -144,7 +144,7 @@ def scored_profiles(left: DataFrame, right: DataFrame, l: str, r: str, floor: in
         raise ValueError("the evidence keys are complete only for scores of 55 and more")
     pairs = _keyed(left, l, 1, True, with_plot).join(_keyed(right, r, 2, False, with_plot), ["cem_id", "bkey"])
     pairs = pairs.filter(F.substring_index("bkey", "|", 1) == _first_meeting(l, r, with_plot))
-    return pairs.withColumn("score", score(l, r)).filter(F.col("score") >= floor).drop("bkey")
+    return once(pairs.drop("bkey"), {"score": score(l, r)}).filter(F.col("score") >= floor)
 
 
 def block_candidates(register: DataFrame, memorial: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plotlink import config as C
 from plotlink.functions import geo, names
 from plotlink.functions.frames import once, union_all
-from plotlink.functions.order import pick_at
+from plotlink.functions.order import pick_at, ranked
 
 FINISHED = ("done", "nostone", "notfound")
 
@@ -205,8 +205,8 @@ def walk_order(enriched: DataFrame, mode: str, position=None, section_order=())
     else:
         raise ValueError(f"unknown sort mode {mode}")
     keyed = once(enriched, {f"_k{i}": k for i, k in enumerate(keys)})
-    w = Window.partitionBy("cem_id").orderBy(*[f"_k{i}" for i in range(len(keys))], "ord")
-    return keyed.withColumn("rank", F.row_number().over(w)).drop(*[f"_k{i}" for i in range(len(keys))])
+    cols = [f"_k{i}" for i in range(len(keys))]
+    return ranked(keyed, ["cem_id"], [*cols, "ord"]).drop(*cols)
 
 
 def walk_preview(enriched: DataFrame, cemetery: DataFrame, n: int = 4) -> DataFrame:

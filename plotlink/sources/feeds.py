@@ -50,7 +50,7 @@ def read_register_rows(df: DataFrame, json_col: str = "rows") -> DataFrame:
 
 _ROWS = "array<array<string>>"
 _BUNDLE = (
-    "v int, generated string, home struct<lat:double,lng:double>, radiusMiles double, cemeteries array<struct<"
+    "v int, page int, generated string, home struct<lat:double,lng:double>, radiusMiles double, cemeteries array<struct<"
     "id:bigint,name:string,county:string,lat:double,lng:double,miles:double,declination:double,contact:string,"
     "meta:struct<asOf:string,memorialsAsOf:string,interments:bigint>,rosterAsOf:int,sgBlocks:array<string>,"
     "sections:map<string,struct<lat:double,lng:double,radius:double>>,"
@@ -66,7 +66,8 @@ _BUNDLE = (
 def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> dict[str, DataFrame]:
     """A published bundle (one JSON document per file, or one per line) to
     tables: cemetery, section, plat_map, plat_entry, ground_vertex, request, memorial,
-    register. Also reads the older single-cemetery document, whose facts sit under ``meta``."""
+    register. Also reads the older single-cemetery document, whose facts sit under ``meta``.
+    A large cemetery may be spread over documents with a ``page`` number each."""
     schema = T.StructType.fromDDL(_BUNDLE)
     one_cem = schema["cemeteries"].dataType.elementType
     facts = T.StructType.fromDDL("cemetery string, fagCemeteryId bigint, cem struct<lat:double,lng:double>, declination double, asOf string")
@@ -78,16 +79,17 @@ def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> d
         F.col("meta.cem.lat").alias("lat"), F.col("meta.cem.lng").alias("lng"), F.lit(0.0).alias("miles"), F.col("meta.declination").alias("declination"),
         F.lit("").alias("contact"), F.struct(F.col("meta.asOf").alias("asOf"), F.lit(None).cast("string").alias("memorialsAsOf"), F.lit(None).cast("bigint").alias("interments")).alias("meta"),
         "rosterAsOf", "sgBlocks", "sections", "maps", "grounds", "requests", "memorials", "roster"))
-    c = raw.select("generated", F.posexplode(F.when(F.col("v") == 2, F.col("cemeteries")).otherwise(one)).alias("pos", "c")).withColumn("cem_id", F.col("c.id"))
+    c = raw.select("generated", F.coalesce("page", F.lit(0)).alias("page"), F.posexplode(F.when(F.col("v") == 2, F.col("cemeteries")).otherwise(one)).alias("pos", "c")).withColumn("cem_id", F.col("c.id"))
     cemetery = c.select(
         "cem_id", F.coalesce("c.name", F.concat(F.lit("Cemetery "), F.col("cem_id"))).alias("name"), F.coalesce("c.county", F.lit("")).alias("county"),
         F.col("c.lat").alias("lat"), F.col("c.lng").alias("lng"), F.col("c.miles").alias("miles"),
         F.coalesce("c.declination", F.lit(C.DEFAULT_DECLINATION)).alias("declination"), F.coalesce("c.contact", F.lit("")).alias("contact"),
         F.coalesce(F.nullif("c.meta.memorialsAsOf", F.lit("")), F.nullif("c.meta.asOf", F.lit("")), "generated", F.lit("")).alias("as_of"),
         F.col("c.rosterAsOf").alias("register_as_of"), F.coalesce("c.sgBlocks", F.array().cast("array<string>")).alias("sg_blocks"),
-        F.coalesce("c.meta.interments", F.lit(0)).alias("interments"))
+        F.coalesce("c.meta.interments", F.lit(0)).alias("interments")).dropDuplicates(["cem_id"])
     m = c.select("cem_id", F.posexplode("c.maps").alias("map_ord", "m")).withColumn("map_id", F.concat_ws("-", "cem_id", "map_ord"))
-    requests = c.select("cem_id", F.posexplode("c.requests").alias("ord", "r")).select("cem_id", F.col("ord").cast("bigint").alias("ord"), "r.*").filter("mid <> 0")
+    requests = c.select("cem_id", "page", F.posexplode("c.requests").alias("_p", "r"))
+    requests = requests.select("cem_id", _ord(requests, "_p"), "r.*").filter("mid <> 0")
     return {
         "cemetery": cemetery,
         "section": c.select("cem_id", F.explode("c.sections").alias("section", "s")).select("cem_id", "section", "s.lat", "s.lng", F.col("s.radius").cast("int").alias("radius")),
@@ -99,8 +101,8 @@ def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> d
         "ground_vertex": c.select("cem_id", F.posexplode("c.grounds.bounds").alias("poly", "p")).select("cem_id", "poly", F.posexplode("p").alias("v", "q")).select(
             "cem_id", "poly", "v", F.get("q", F.lit(0)).alias("lat"), F.get("q", F.lit(1)).alias("lng")),
         "request": requests.withColumnsRenamed({"prId": "prid"}),
-        "memorial": read_memorial_rows(c.select("cem_id", F.to_json("c.memorials").alias("rows"))),
-        "register": read_register_rows(c.select("cem_id", F.to_json("c.roster").alias("rows"))),
+        "memorial": read_memorial_rows(c.select("cem_id", "page", F.to_json("c.memorials").alias("rows"))),
+        "register": read_register_rows(c.select("cem_id", "page", F.to_json("c.roster").alias("rows"))),
     }
 
 
