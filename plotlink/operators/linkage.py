@@ -96,23 +96,25 @@ _MEET = [
 ]
 
 
-def _tagged(values: Column, tag: str, surname: Column) -> Column:
-    return F.transform(values, lambda k: F.concat(F.lit(tag), surname, F.lit("|"), k))
+def _kinds(with_plot: bool):
+    """Every (surname relation, evidence) pair with its number; lower numbers keep the pair."""
+    known = [(m, e) for m in _MEET for e in m[3] if with_plot or e != "plot"]
+    return list(enumerate(known))
+
+
+def _tagged(values: Column, kind: int, surname: Column) -> Column:
+    return F.transform(values, lambda k: F.struct(F.lit(kind).alias("kind"), F.concat_ws("|", surname, k).alias("bkey")))
 
 
 def _keyed(df: DataFrame, side: str, which: int, spread: bool, with_plot: bool) -> DataFrame:
     ev = _evidence(side, spread, with_plot)
     keys = []
-    for meet in _MEET:
+    for kind, (meet, e) in _kinds(with_plot):
         surname = F.col(f"{side}_{meet[which]}")
-        for e in meet[3]:
-            if e in ev:
-                # empty surnames agree by sound alone, as two blank sound codes do
-                usable = F.lit(True) if meet[0] == "sound" else surname != ""
-                tag = f"{meet[0]}:{e}|"
-                keys.append(F.when(usable, _tagged(ev[e], tag, surname)))
-    key = F.explode(F.flatten(F.filter(F.array(*keys), lambda k: k.isNotNull())))
-    return df.withColumn("bkey", key)
+        # empty surnames agree by sound alone, as two blank sound codes do
+        usable = F.lit(True) if meet[0] == "sound" else surname != ""
+        keys.append(F.when(usable, _tagged(ev[e], kind, surname)))
+    return df.select("*", F.inline(F.flatten(F.filter(F.array(*keys), lambda k: k.isNotNull()))))
 
 
 def _first_meeting(left: str, right: str, with_plot: bool) -> Column:
@@ -127,14 +129,10 @@ def _first_meeting(left: str, right: str, with_plot: bool) -> Column:
         "plot": known & (a("section") == b("section")) & (a("block") == b("block")) & (a("lot") == b("lot")),
         "init": (a("fr") != "") & (F.left(a("fr"), F.lit(1)) == F.left(b("fr"), F.lit(1))),
     }
-    if not with_plot:
-        holds.pop("plot")
     out = F
-    for name, lc, rc, evs in _MEET:
+    for kind, ((name, lc, rc, _), e) in _kinds(with_plot):
         meets = a(lc) == b(rc) if name == "sound" else (a(lc) != "") & (a(lc) == b(rc))
-        for e in evs:
-            if e in holds:
-                out = out.when(meets & holds[e], f"{name}:{e}")
+        out = out.when(meets & holds[e], kind)
     return out
 
 
@@ -142,9 +140,10 @@ def scored_profiles(left: DataFrame, right: DataFrame, l: str, r: str, floor: in
     """Profile pairs whose score reaches ``floor`` (at least 55), each exactly once."""
     if floor < C.LINK_MAYBE:
         raise ValueError("the evidence keys are complete only for scores of 55 and more")
-    pairs = _keyed(left, l, 1, True, with_plot).join(_keyed(right, r, 2, False, with_plot), ["cem_id", "bkey"])
-    pairs = pairs.filter(F.substring_index("bkey", "|", 1) == _first_meeting(l, r, with_plot))
-    return once(pairs.drop("bkey"), {"score": score(l, r)}).filter(F.col("score") >= floor)
+    pairs = _keyed(left, l, 1, True, with_plot).join(_keyed(right, r, 2, False, with_plot), ["cem_id", "kind", "bkey"])
+    # kept apart from the join, where it would be part of one method too long to be compiled
+    pairs = once(pairs.drop("bkey"), {"_first": _first_meeting(l, r, with_plot)}).filter("kind = _first")
+    return once(pairs.drop("kind", "_first"), {"score": score(l, r)}).filter(F.col("score") >= floor)
 
 
 def block_candidates(register: DataFrame, memorial: DataFrame) -> DataFrame:
@@ -171,17 +170,19 @@ def _rank_tier() -> Column:
         .when(F.col("r_sx") == F.col("m_sx"), 1).otherwise(2)
 
 
-def best_two(scored: DataFrame, by: list[str], value: str, copies: str, order: list[Column]) -> DataFrame:
+def best_two(scored: DataFrame, by: list[str], value: str, copies: str, tier: Column, ordinal: str) -> DataFrame:
     """Best pair per group with the runner-up's score (0 when there is none). ``copies``
-    counts the rows behind a candidate: a second copy of the best is its own runner-up."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), *order)
-    top = scored.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2")
-    first = F.col("_rn") == 1
-    return top.groupBy(*by).agg(
-        F.max(F.when(first, F.col("score"))).alias("score"),
-        F.max(F.when(first, F.col(value))).alias(value),
-        F.max(F.when(first & (F.col(copies) > 1), F.col("score")).when(~first, F.col("score"))).alias("_second"),
-    ).withColumn("second", F.coalesce("_second", F.lit(0))).drop("_second")
+    counts the rows behind a candidate: a second copy of the best is its own runner-up.
+
+    Pairs are first folded by score with plain numeric aggregates, which combine before the
+    shuffle; a group then has at most one row per distinct score left."""
+    order = tier.cast("bigint") * F.lit(1 << 56) + F.col(ordinal)
+    fold = scored.withColumn("_o", order).groupBy(*by, "score").agg(
+        F.sum(copies).alias("n"), F.min_by(value, "_o").alias("v"))
+    tops = F.reverse(F.array_sort(F.collect_list(F.struct("score", "n", "v"))))
+    top = fold.groupBy(*by).agg(tops.alias("t")).withColumns({"_1": F.get("t", F.lit(0)), "_2": F.get("t", F.lit(1))})
+    return top.select(*by, F.col("_1.score").alias("score"), F.col("_1.v").alias(value),
+                      F.when(F.col("_1.n") > 1, F.col("_1.score")).otherwise(F.coalesce("_2.score", F.lit(0))).alias("second"))
 
 
 def _profile_key(side):
@@ -204,11 +205,14 @@ def link_register_memorial(register: DataFrame, memorial: DataFrame, accept: int
                            margin: int = C.LINK_MARGIN, maybe: int = C.LINK_MAYBE) -> DataFrame:
     """One row per register row that found somebody: the memorial, the scores and whether
     it is a link or a maybe."""
-    pairs = score_pairs(register, memorial, maybe).withColumn("_tier", _rank_tier())
-    best = best_two(pairs, _profile_key("r"), "m_mid", "m_n", [F.col("_tier"), F.col("m_ord")])
+    prof = profiles(register, "r", "key")
+    pairs = scored_profiles(prof, profiles(memorial, "m", "mid"), "r", "m", maybe)
+    # a profile's first row names it within its cemetery: a short key for the heavy step
+    best = best_two(pairs, ["cem_id", "r_ord"], "m_mid", "m_n", _rank_tier(), "m_ord")
     best = best.withColumn("status", F.when((F.col("score") >= accept) & (F.col("score") - F.col("second") >= margin), "link").otherwise("maybe"))
+    decided = prof.select(*_profile_key("r"), "r_ord").join(best, ["cem_id", "r_ord"])
     rows = register.select("cem_id", "ord", "key", *NAME_COLS, *PLOT_COLS)
-    return rows_of_profiles(rows, best, "r").select(
+    return rows_of_profiles(rows, decided, "r").select(
         "cem_id", "ord", "key", F.col("m_mid").alias("mid"), "score", "second", "status")
 
 
@@ -308,8 +312,9 @@ def request_register_unique(request: DataFrame, register: DataFrame, links: Data
     loose = register.join(links.filter("status = 'link'").select("cem_id", "key"), ["cem_id", "key"], "left_anti")
     q = profiles(request.filter("nl <> '' AND cf <> ''"), "q", "mid", False)
     g = profiles(loose, "g", "key", False)
-    pairs = _keyed(q, "q", 1, True, False).join(_keyed(g, "g", 2, False, False), ["cem_id", "bkey"])
-    pairs = pairs.filter((F.substring_index("bkey", "|", 1) == _first_meeting("q", "g", False)) & F.col("bkey").startswith("sound:"))
+    pairs = _keyed(q, "q", 1, True, False).join(_keyed(g, "g", 2, False, False), ["cem_id", "kind", "bkey"])
+    sounds = [k for k, (meet, _) in _kinds(False) if meet[0] == "sound"]
+    pairs = pairs.filter((F.col("kind") == _first_meeting("q", "g", False)) & F.col("kind").isin(*sounds))
     same = lambda c: F.col(f"q_{c}") == F.col(f"g_{c}")
     last = same("nl") | (F.levenshtein("q_nl", "g_nl", 2) >= 0)
     first_exact = same("cf")
