@@ -10,6 +10,7 @@ from plotlink.catalog import sqltext as S
 from plotlink.catalog.registry import VIEWS, model, oracle, query, view
 from plotlink.catalog.views import with_views
 from plotlink.functions.lineage import shared_root
+from plotlink.operators import standardize as std
 from plotlink.streaming import progress as pg
 from plotlink.streaming import refit as rf
 
@@ -49,19 +50,35 @@ view("fx_pin_event", """
   SELECT event_id AS arrival, cast(floor(@EPOCH_US(ts)@ / 3600000000e0) as bigint) AS ts, 41 * user_id + 5 AS k FROM events WHERE event_type = 'view'""")
 
 
-@query("live_refit")
-def _(t):
-    m = model(t)
+def _pin_stream(t):
     at = t.pin.select("arrival", "cem_id", "pk", "lat", "lng")
-    pins = _event_stream(t, "fx_pin_event").join(at, "arrival").select("arrival", "ts", "cem_id", "pk", "lat", "lng")
-    from plotlink.operators import standardize as std
+    return _event_stream(t, "fx_pin_event").join(at, "arrival").select("arrival", "ts", "cem_id", "pk", "lat", "lng")
+
+
+def _before_pins(t):
+    """Memorials as they are without any field pin."""
+    def build():
+        mem = std.clean_pins(t.memorial, t.cemetery).withColumns({"lat": F.col("pin_lat"), "lng": F.col("pin_lng")})
+        return std.memorial_table(mem.drop("pin_lat", "pin_lng", "reason", "e", "n"))
+
+    return model(t)._stage("memorial_before_pins", build)
+
 
-    mem = std.clean_pins(t.memorial, t.cemetery).withColumns({"lat": F.col("pin_lat"), "lng": F.col("pin_lng")})
-    mem = std.memorial_table(mem.drop("pin_lat", "pin_lng", "reason", "e", "n"))
-    df = rf.run_refit_stream(pins, mem, m.register, m.cemetery, *_dirs(t, "refit"))
+@query("live_refit")
+def _(t):
+    m, mem = model(t), _before_pins(t)
+    df = rf.run_refit_stream(_pin_stream(t), lambda pins: rf.refit_lots(pins, mem, m.register, m.cemetery), *_dirs(t, "refit"))
     return df.withColumns({"e": F.round("e", 2), "n": F.round("n", 2), "spread": F.round("spread", 4)})
 
 
+@query("live_refit_rows")
+def _(t):
+    m, mem = model(t), _before_pins(t)
+    linked, drawn = m.linked, m.drawn
+    return rf.run_refit_stream(_pin_stream(t), lambda pins: rf.refit_rows(pins, mem, m.register, m.cemetery, linked, drawn), *_dirs(t, "rows"))
+
+
+oracle("live_refit_rows", "SELECT * FROM o_walk WHERE cem_id IN (SELECT cem_id FROM fx_pin)")
 view("o_refit_anchor", "SELECT * FROM o_gps_anchor WHERE cem_id IN (SELECT cem_id FROM fx_pin)")
 view("o_refit_cluster", clusters_sql("o_refit_anchor", ["cem_id", "section", "sub", "block", "lot_key"]))
 oracle("live_refit", "SELECT * REPLACE (round(e, 2) AS e, round(n, 2) AS n, round(spread, 4) AS spread) FROM o_refit_cluster")

@@ -3,22 +3,34 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.operators.anchors import anchor_clusters, gps_anchors
+from plotlink.operators.anchors import anchor_clusters, fit_walk_rows, gps_anchors
 from plotlink.operators.maintain import latest_pins, overlay_field_pins
 
 
-def refit(pins: DataFrame, memorial: DataFrame, register: DataFrame, cemetery: DataFrame) -> DataFrame:
-    """Lot clusters of the cemeteries that have pins, with the pins laid over the memorials."""
-    cems = pins.select("cem_id").distinct()
+def _overlaid(pins: DataFrame, memorial: DataFrame, register: DataFrame, cemetery: DataFrame):
+    """Memorials of the pinned cemeteries with the pins laid over them, and pinned register rows."""
     last = latest_pins(pins, cemetery)
-    mem = memorial.join(cems, "cem_id", "left_semi").withColumn("pk", F.col("mid").cast("string"))
+    mem = memorial.join(pins.select("cem_id").distinct(), "cem_id", "left_semi").withColumn("pk", F.col("mid").cast("string"))
     ros = last.filter(F.col("pk").startswith("ros:")).select("cem_id", F.substring("pk", 5, 99).try_cast("bigint").alias("key"), "lat", "lng")
-    return anchor_clusters(gps_anchors(overlay_field_pins(mem, last), register.join(ros, ["cem_id", "key"]), cemetery))
+    return overlay_field_pins(mem, last), register.join(ros, ["cem_id", "key"])
 
 
-def run_refit_stream(pins: DataFrame, memorial: DataFrame, register: DataFrame, cemetery: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Each micro-batch logs its pins and refits only the cemeteries it touches; a cemetery's
-    newest epoch is its present state."""
+def refit_lots(pins: DataFrame, memorial: DataFrame, register: DataFrame, cemetery: DataFrame) -> DataFrame:
+    """Lot clusters of the cemeteries that have pins."""
+    mem, ros = _overlaid(pins, memorial, register, cemetery)
+    return anchor_clusters(gps_anchors(mem, ros, cemetery))
+
+
+def refit_rows(pins: DataFrame, memorial: DataFrame, register: DataFrame, cemetery: DataFrame, linked: DataFrame, plat: DataFrame) -> DataFrame:
+    """Walk-row placements of the cemeteries that have pins."""
+    mem, ros = _overlaid(pins, memorial, register, cemetery)
+    here = register.join(pins.select("cem_id").distinct(), "cem_id", "left_semi")
+    return fit_walk_rows(here, linked, mem, ros, plat, cemetery)
+
+
+def run_refit_stream(pins: DataFrame, refit, out: str, checkpoint: str) -> DataFrame:
+    """Each micro-batch logs its pins and refits (``refit``: pins -> results) only the
+    cemeteries it touches; a cemetery's newest epoch is its present state."""
     spark = pins.sparkSession
 
     def sink(batch: DataFrame, epoch: int):
@@ -26,10 +38,10 @@ def run_refit_stream(pins: DataFrame, memorial: DataFrame, register: DataFrame,
         log = spark.read.parquet(f"{out}/pins")
         touched = log.filter(F.col("epoch") == epoch).select("cem_id").distinct()
         known = log.filter(F.col("epoch") <= epoch).drop("epoch").join(touched, "cem_id", "left_semi")
-        refit(known, memorial, register, cemetery).write.mode("overwrite").parquet(f"{out}/clusters/epoch={epoch:08d}")
+        refit(known).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch:08d}")
 
     q = pins.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    log = spark.read.parquet(f"{out}/clusters")
-    last = log.groupBy("cem_id").agg(F.max("epoch").alias("epoch"))
-    return log.join(last, ["cem_id", "epoch"]).drop("epoch")
+    # a cemetery whose newest refit placed nothing must not fall back on an older one
+    last = spark.read.parquet(f"{out}/pins").groupBy("cem_id").agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{out}/state").join(last, ["cem_id", "epoch"]).drop("epoch")
