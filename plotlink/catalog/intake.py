@@ -11,7 +11,6 @@ from plotlink.functions.lineage import shared_root
 from plotlink.operators import maintain as mt
 from plotlink.plans import publish as pb
 from plotlink.sources import feeds, places, registers
-from plotlink.streaming import progress as pg
 
 # ---- positional rows -----------------------------------------------------------------
 view("fx_mem_row", """

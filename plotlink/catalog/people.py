@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from plotlink import config as C
 from plotlink.catalog import sqltext as S
 from plotlink.catalog.registry import model, oracle, query, view
-from plotlink.functions import geo
 from plotlink.operators import anchors as an
 from plotlink.operators import burials as bu
 from plotlink.operators import family as fa

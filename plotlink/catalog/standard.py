@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from plotlink import config as C
 from plotlink.catalog import sqltext as S
 from plotlink.catalog.registry import oracle, query, view
-from plotlink.functions import geo
 from plotlink.operators import standardize as std
 
 KEYS = ["last", "first", "nl", "sx", "nm", "cf", "fr", "sk"]

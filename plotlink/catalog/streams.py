@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from plotlink.catalog import fixtures
 from plotlink.catalog.places import clusters_sql
-from plotlink.catalog import sqltext as S
 from plotlink.catalog.registry import VIEWS, model, oracle, query, view
 from plotlink.catalog.views import with_views
 from plotlink.functions.lineage import shared_root

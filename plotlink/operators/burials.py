@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotlink.functions import geo, plots
-from plotlink.functions.frames import union_all
 from plotlink.operators.standardize import plot_keys
 
 KEY = ["cem_id", "section", "group_sub", "group_block"]

@@ -211,13 +211,13 @@ def fit_trust_fallback(pairs: DataFrame, fit: DataFrame, loo: DataFrame) -> Data
     t = t.withColumns({"rot": F.round(F.degrees(F.atan2("d", "a")), 6), "sc": F.round(F.sqrt(F.expr("a * a + d * d")), 6),
                        "strong": (F.col("coords") >= 6) & (F.col("spread") >= 90)})
     cons = t.filter("loo <= 12 AND strong").agg(F.coalesce(geo.median_upper("rot"), F.lit(0.0)).alias("c_rot"), F.coalesce(geo.median_upper("sc"), F.lit(0.35)).alias("c_sc"))
-    # the consensus is one row; it is joined on a constant so that every map sees it
-    t = t.withColumn("_one", F.lit(1)).join(cons.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # the consensus is one row, so it can be broadcast; the constant key lets every map see it
+    t = t.withColumn("_one", F.lit(1)).join(F.broadcast(cons.withColumn("_one", F.lit(1))), "_one").drop("_one")
     dev = F.abs(F.pmod(F.col("rot") - F.col("c_rot") + 540, F.lit(360.0)) - 180)
     consistent = (dev <= 7) & (F.col("sc") / F.col("c_sc")).between(0.8, 1.25)
     ok = (F.col("loo") <= 20) & (F.col("strong") | (consistent & (F.col("coords") >= 4)))
     good = t.filter(ok).select("map_id", *T6, F.when((F.col("loo") <= 8) & F.col("strong"), "good").otherwise("fair").alias("quality"))
-    rest = pairs.join(good.select("map_id"), "map_id", "left_anti").withColumn("_one", F.lit(1)).join(cons.withColumn("_one", F.lit(1)), "_one")
+    rest = pairs.join(good.select("map_id"), "map_id", "left_anti").withColumn("_one", F.lit(1)).join(F.broadcast(cons.withColumn("_one", F.lit(1))), "_one")
     ca, cd = F.col("c_sc") * F.cos(F.radians("c_rot")), F.col("c_sc") * F.sin(F.radians("c_rot"))
     off = rest.select("map_id", "ord", ca.alias("ca"), cd.alias("cd"), F.round(F.col("e") - (ca * F.col("x") - cd * F.col("y")), 2).alias("tx"),
                       F.round(F.col("n") - (cd * F.col("x") + ca * F.col("y")), 2).alias("ty"))

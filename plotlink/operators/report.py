@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotlink import config as C
 from plotlink.functions import geo, names
 from plotlink.functions.frames import once, union_all
 from plotlink.functions.order import pick_at, ranked

@@ -1,11 +1,11 @@
 """Bundles, JSON feeds and sheets read into the burial tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotlink import config as C
-from plotlink.functions import dates, geo, names, plots
+from plotlink.functions import dates, geo, plots
 from plotlink.functions.frames import once
 
 MEMORIAL_POS = ["mid", "name", "maiden", "by", "dy", "plot", "lat", "lng", "flags", "fam"]

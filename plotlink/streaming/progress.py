@@ -39,7 +39,7 @@ def run_merge_stream(changes: DataFrame, out: str, checkpoint: str, ties: str =
     q.awaitTermination()
     log = changes.sparkSession.read.parquet(out)
     last = log.agg(F.max("epoch").alias("epoch"))
-    return log.join(last, "epoch").drop("epoch")
+    return log.join(F.broadcast(last), "epoch").drop("epoch")
 
 
 def backup_restore(current: DataFrame, backup: DataFrame) -> DataFrame:
