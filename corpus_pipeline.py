@@ -1,8 +1,43 @@
 """A training corpus from documents: five stages, each written as Parquet and read by the next."""
 
-from plotlink.llm.common import new_path
+from pyspark.sql import functions as F
 
-STAGES = []
+from plotlink.llm import decontaminate, jaccard_tree, line_templates, packing, quality_rules
+from plotlink.llm.common import new_path, same
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the quality rules keep."""
+    verdicts = quality_rules.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.kept_documents(docs, verdicts)
+
+
+def lines(spark, docs, sf_dir):
+    """Documents less the lines of recurring templates; ``n_chars`` follows the text."""
+    out = line_templates.without(docs, line_templates.dropped_lines(docs)).drop("_n_lines", "_n_dropped")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group, that of the smallest doc_id; of repeated rows one."""
+    classes = jaccard_tree.jaccard_join(docs, k=5, num=80, den=100)
+    gone = classes.filter(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, same(docs["doc_id"], F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def benchmark(spark, docs, sf_dir):
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def pack(spark, docs, sf_dir):
+    """The pieces of all documents with their places in training sequences."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pack", pack)]
 
 #: The stages train, parse and solve; SQL can't express them, tests compare them with brute force.
 ORACLE_SQL = None

@@ -45,6 +45,38 @@ def op3(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    from plotlink.llm.language_id import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+    out = language_id(docs, docs.filter(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op5_decontaminate")
+def op5(spark, sf_dir):
+    from plotlink.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    from plotlink.llm.quality_rules import quality
+
+    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed").alias("rules_failed"))
+
+
+@query("op7_line_templates")
+def op7(spark, sf_dir):
+    from plotlink.llm.line_templates import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query("op8_secret_ledger")
 def op8(spark, sf_dir):
     from plotlink.llm import secret_ledger as s

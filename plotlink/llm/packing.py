@@ -99,11 +99,12 @@ def best_pattern(values: np.ndarray, capacity: int) -> np.ndarray:
     return counts
 
 
-def cutting_stock(demand: np.ndarray, capacity: int) -> list:
-    """[(pattern, sequences)] for the demand of sizes 1..len(demand), at or near the fewest sequences.
+def cutting_stock(demand: np.ndarray, capacity: int, gap: float = 0.002) -> list:
+    """[(pattern, sequences)] for the demand of sizes 1..len(demand), near the fewest sequences.
 
     Revised simplex over the master program: start with sequences of one size, price with the
-    duals, and exchange a basis column while a pattern worth over one sequence exists."""
+    duals, and exchange a basis column while a pattern worth over one sequence exists. The duals
+    over the best pattern's worth bound the optimum from below, so it ends within ``gap`` of it."""
     sizes = np.flatnonzero(demand) + 1
     m = len(sizes)
     if not m:
@@ -117,7 +118,7 @@ def cutting_stock(demand: np.ndarray, capacity: int) -> list:
         duals = np.zeros(capacity)
         duals[sizes - 1] = np.maximum(inverse.sum(axis=0), 0)
         column = best_pattern(duals, capacity)[sizes - 1].astype(float)
-        if column @ duals[sizes - 1] <= 1 + 1e-7:
+        if column @ duals[sizes - 1] <= 1 + gap:
             break
         way = inverse @ column
         ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
@@ -174,7 +175,7 @@ def slots(plan: list) -> dict:
     return {k: np.array(v, np.int64).T for k, v in out.items()}
 
 
-def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, grid: int = 8, id_col="doc_id", text_col="text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, grid: int = 16, id_col="doc_id", text_col="text") -> DataFrame:
     """Pieces with sequence_id and offset. Rests never share a sequence with a full one."""
     cut = written(pieces(docs, tokenizer_path, end_id, size, grid, id_col, text_col), "pieces")
     sizes = cut.groupBy("kind", "part").agg(F.count("*").alias("n"))
