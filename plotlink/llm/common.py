@@ -84,23 +84,39 @@ def new_path(spark, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def by_group(frames, key: list):
-    """Whole groups, one frame each, of rows that arrive sorted by ``key``."""
+def by_key(frames, key: list):
+    """Frames of many whole groups each, of rows that arrive sorted by ``key``."""
     import pandas as pd
 
-    held, at = [], None
+    held = []
     for pdf in frames:
         if not len(pdf):
             continue
-        ids = pdf.groupby(key, sort=False, dropna=False).ngroup().to_numpy()
-        cuts = np.flatnonzero(np.diff(ids)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)]):
-            part = pdf.iloc[lo:hi]
-            now = tuple(part.iloc[0][key])
-            if held and now != at:
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-            at = now
+        last = pdf[key].iloc[-1].tolist()
+        if held and held[-1][key].iloc[-1].tolist() == last and pdf[key].iloc[0].tolist() == last:
+            held.append(pdf)  # still one group
+            continue
+        at = len(pdf)
+        while at and pdf[key].iloc[at - 1].tolist() == last:
+            at -= 1
+        whole = pd.concat([*held, pdf.iloc[:at]])
+        if len(whole):
+            yield whole
+        held = [pdf.iloc[at:]]
     if held:
         yield pd.concat(held)
+
+
+def by_group(frames, key: list):
+    """Whole groups, one frame each, of rows that arrive sorted by ``key``."""
+    for pdf in by_key(frames, key):
+        for _, group in pdf.groupby(key, sort=False, dropna=False):
+            yield group
+
+
+def ranges(at: np.ndarray, row: np.ndarray):
+    """(first place, length) of runs of consecutive ``at`` within one ``row``; both in order."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row) != 0)]))
+    return first, np.diff(np.concatenate([first, [len(at)]]))

@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.llm.common import MIX2, id_and_text, mixed, pages, rolling, word_hashes, words_of, written
+from plotlink.llm.common import MIX2, as_long, by_key, id_and_text, mixed, pages, ranges, rolling, word_hashes, words_of, written
 
-GRAM = 8
+GRAM = 12
+#: Windows that a task compares with each other at a time.
+COMPARED = 1 << 20
 #: Counters of each row of the sketch and rows; 2 x 2^27 bits (32 MB) are broadcast, whatever the input.
 WIDTH_BITS, DEPTH, BLOCK_BITS = 27, 2, 20
 _NULL_ID = -(1 << 63)
@@ -139,13 +141,40 @@ def sketch(docs: DataFrame, window: int) -> bytes:
     return out.tobytes()
 
 
-def candidates(docs: DataFrame, window: int, bits) -> DataFrame:
-    """Windows that may occur twice: two hashes of the word sequence, document and start; ``again``
-    if the document itself has it earlier."""
+def _judge(h, w, k, start):
+    """Which windows have the same sequence (equal h and w) at a smaller (k, start) among the given."""
+    order = np.lexsort((start, k, w, h))
+    new = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)])
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = (k[order] > k[first]) | ((k[order] == k[first]) & (start[order] > start[first]))
+    out = np.zeros(len(h), bool)
+    out[order] = later
+    return out
+
+
+def _rows(h, w, k, crc, start, gone):
+    """Runs of windows as rows: those to be compared further with their hashes, those gone without."""
+    first, n = ranges(start, np.cumsum(np.concatenate([[0], (np.diff(k) != 0) | (np.diff(crc) != 0) | (np.diff(gone) != 0) | ((np.diff(h) != 0) & ~gone[1:])]))) if len(h) else ranges(start, start)
+    data = w.tobytes()
+    return pd.DataFrame({"h": h[first], "k": k[first], "crc": crc[first], "start": start[first].astype(np.int32), "n": n.astype(np.int32),
+                         "ws": [None if g else data[8 * a:8 * (a + m)] for a, m, g in zip(first.tolist(), n.tolist(), gone[first].tolist())]})
+
+
+_RUNS = "h long, k long, crc long, start int, n int, ws binary"
+
+
+def repeats(docs: DataFrame, window: int, bits) -> DataFrame:
+    """k, crc, start, n: runs of windows whose word sequence starts earlier. A task first compares
+    what it has itself, so a passage that very many documents share leaves a task once; what it
+    can't settle meets the same minimiser of other tasks."""
     size = 1 << WIDTH_BITS
 
+    def settled(held):
+        h, w, k, crc, start = (np.concatenate(x) for x in zip(*held))
+        return _rows(h, w, k, crc, start, _judge(h, w, k, start))
+
     def run(frames):
-        table = np.frombuffer(bits.value, np.uint8)
+        table, held, n_held = np.frombuffer(bits.value, np.uint8), [], 0
         for pdf in _news(frames):
             _, n, hashes, doc_of = _batch(pdf["text"], window)
             grams, least, inside = minimisers(hashes, doc_of, window)
@@ -154,21 +183,40 @@ def candidates(docs: DataFrame, window: int, bits) -> DataFrame:
                 c = _cells(least, row) + row * size
                 maybe &= (table[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
             at = np.flatnonzero(maybe)
-            if not len(at):
+            if len(at):
+                of = doc_of[at]
+                held.append((as_long(least[at]), as_long(rolling(hashes, window, MIX2)[at]), pdf["doc_id"].to_numpy()[of], pdf["crc"].to_numpy()[of], at - (np.cumsum(n) - n)[of]))
+                n_held += len(at)
+            if n_held >= COMPARED:
+                yield settled(held)
+                held, n_held = [], 0
+        if held:
+            yield settled(held)
+
+    def meet(frames):
+        for pdf in by_key(frames, ["h"]):
+            done = pdf["ws"].isna()
+            yield pdf.loc[done, ["k", "crc", "start", "n"]]
+            pdf = pdf[~done]
+            if not len(pdf):
                 continue
-            first = (np.cumsum(n) - n)[doc_of[at]]
-            w1, w2 = rolling(hashes, window)[at].view(np.int64), rolling(hashes, window, MIX2)[at].view(np.int64)
-            out = pd.DataFrame({"w1": w1, "w2": w2, "k": pdf["doc_id"].to_numpy()[doc_of[at]], "crc": pdf["crc"].to_numpy()[doc_of[at]], "start": (at - first).astype(np.int32)})
-            yield out.assign(again=out.assign(d=doc_of[at]).duplicated(["d", "w1", "w2"]))
+            n = pdf["n"].to_numpy()
+            row = np.repeat(np.arange(len(pdf)), n)
+            start = pdf["start"].to_numpy().astype(np.int64)[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            k = pdf["k"].to_numpy()[row]
+            gone = np.flatnonzero(_judge(pdf["h"].to_numpy()[row], np.frombuffer(b"".join(pdf["ws"]), np.int64), k, start))
+            first, m = ranges(start[gone], row[gone])
+            at = gone[first]
+            yield pd.DataFrame({"k": k[at], "crc": pdf["crc"].to_numpy()[row[at]], "start": start[at].astype(np.int32), "n": m.astype(np.int32)})
 
-    return docs.mapInPandas(run, "w1 long, w2 long, k long, crc long, start int, again boolean")
+    return docs.mapInPandas(run, _RUNS).repartition("h").sortWithinPartitions("h").mapInPandas(meet, "k long, crc long, start int, n int")
 
 
-def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Which of n words lie in a window with one of these starts."""
+def covered(starts: np.ndarray, ns: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Which of n words lie in one of the windows that start at starts, starts + 1, ... (ns of them)."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
+    np.add.at(edge, np.minimum(starts + ns + window - 1, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -179,27 +227,21 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
     known = written(profiles(base).filter(F.col("n_words") >= window), "profiles")
     firsts = known.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    copies = known.join(firsts, "sha").filter("doc_id > first").select(F.col("doc_id").alias("k"), "crc")
+    copies = known.join(firsts, "sha").filter("doc_id > first").select(F.col("doc_id").alias("k"), "crc", F.lit(-1).alias("start"), F.lit(0).alias("n"))
     bits = spark.sparkContext.broadcast(sketch(base, window))
-    maybe = written(candidates(base, window, bits), "windows")
-    counted = maybe.filter("not again").groupBy("w1", "w2").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("last > first")
-    later = maybe.filter("not again").join(counted, ["w1", "w2"]).filter("k > first").select("k", "crc", "start")
-    marks = later.union(maybe.filter("again").select("k", "crc", "start")).union(copies.select("k", "crc", F.lit(-1).alias("start"))) \
-        .groupBy("k", "crc").agg(F.collect_set("start").alias("starts"))
+    marks = repeats(base, window, bits).union(copies).groupBy("k", "crc").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
 
     def run(frames):
         for pdf in pages(frames):
             rows = []
-            for doc, text, starts in zip(pdf["doc_id"], pdf["text"], pdf["starts"]):
-                words = words_of(text)
+            for doc, text, starts, ns in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["ns"]):
+                words = kept = words_of(text)
                 if starts is not None and len(starts):
                     starts = np.asarray(starts, np.int64)
-                    gone = np.ones(len(words), bool) if starts.min() < 0 else covered(starts, window, len(words))
+                    gone = np.ones(len(words), bool) if starts.min() < 0 else covered(starts, np.asarray(ns, np.int64), window, len(words))
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                else:
-                    kept = words
                 rows.append((None if doc == _NULL_ID else doc, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
 
     joined = base.join(marks.withColumnRenamed("crc", "c"), (F.col("doc_id") == F.col("k")) & (F.col("crc") == F.col("c")), "left")
-    return joined.select("doc_id", "text", "starts").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.select("doc_id", "text", "starts", "ns").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
