@@ -99,6 +99,20 @@ def best_pattern(values: np.ndarray, capacity: int) -> np.ndarray:
     return counts
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row exchange: small, and free of the threads of a BLAS library."""
+    n = len(a)
+    m = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for i in range(n):
+        p = i + int(np.argmax(np.abs(m[i:, i])))
+        m[[i, p]] = m[[p, i]]
+        m[i] /= m[i, i]
+        factor = m[:, i].copy()
+        factor[i] = 0
+        m -= np.outer(factor, m[i])
+    return m[:, n:]
+
+
 def cutting_stock(demand: np.ndarray, capacity: int, gap: float = 0.002) -> list:
     """[(pattern, sequences)] for the demand of sizes 1..len(demand), near the fewest sequences.
 
@@ -113,14 +127,14 @@ def cutting_stock(demand: np.ndarray, capacity: int, gap: float = 0.002) -> list
     inverse, x = np.diag(1.0 / (capacity // sizes)), demand[sizes - 1] / (capacity // sizes)
     for turn in range(60 * m + 200):
         if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand[sizes - 1], 0)
+            inverse = inverted(basis)
+            x = np.maximum((inverse * demand[sizes - 1]).sum(axis=1), 0)
         duals = np.zeros(capacity)
         duals[sizes - 1] = np.maximum(inverse.sum(axis=0), 0)
         column = best_pattern(duals, capacity)[sizes - 1].astype(float)
         if column @ duals[sizes - 1] <= 1 + gap:
             break
-        way = inverse @ column
+        way = (inverse * column).sum(axis=1)
         ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
         leave = int(np.argmin(ratio))
         if not np.isfinite(ratio[leave]):
