@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plotlink.llm import decontaminate, jaccard_tree, line_templates, packing, quality_rules
-from plotlink.llm.common import new_path, same
+from plotlink.llm.common import new_path, same, without_ids
 
 
 def quality(spark, docs, sf_dir):
@@ -14,15 +14,15 @@ def quality(spark, docs, sf_dir):
 
 def lines(spark, docs, sf_dir):
     """Documents less the lines of recurring templates; ``n_chars`` follows the text."""
-    out = line_templates.without(docs, line_templates.dropped_lines(docs)).drop("_n_lines", "_n_dropped")
+    out = line_templates.without(docs, line_templates.dropped_lines(docs))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group, that of the smallest doc_id; of repeated rows one."""
     classes = jaccard_tree.jaccard_join(docs, k=5, num=80, den=100)
-    gone = classes.filter(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, same(docs["doc_id"], F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = classes.filter(~same(F.col("doc_id"), F.col("component_id"))).select("doc_id")
+    return without_ids(docs, gone, "doc_id").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark(spark, docs, sf_dir):

@@ -76,6 +76,20 @@ def pages(pdf_iter, rows: int = 256):
             yield pdf.iloc[at:at + rows]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, longer if the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The documents, all columns, whose id is not in the one column of ``ids``."""
+    name = free(docs, "_gone")
+    return docs.join(ids.toDF(name).distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

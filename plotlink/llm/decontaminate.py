@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.llm.common import as_long, id_and_text, mixed, pages, written
+from plotlink.llm.common import as_long, id_and_text, mixed, pages, without_ids, written
 from plotlink.llm.jaccard_tree import sets_of
 
 #: Bits of the filter that documents' shingles pass before they are joined with items'.
@@ -108,5 +108,4 @@ def contamination(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80,
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents, all columns, that hold no item."""
-    bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return without_ids(docs, found.select("doc_id"), id_col)

@@ -1,6 +1,7 @@
 """N-gram Jaccard join by signature trees.
 
-Equal shingle sets are one node. A prefix of each set, rarest shingles first, is its list of keys: two
+Equal shingle sets are one node. Documents that have enough shingles to themselves link with none and
+are settled first. A prefix of each other set, rarest shingles first, is its list of keys: two
 sets that are similar enough share one, so the graph of sets and keys has every link within one of
 its components. A component is a block. In a block a signature tree is built: leaves are sets with a
 token bitmap and a size, inner nodes the OR of bitmaps and the range of sizes; a dual traversal
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from plotlink.llm.common import as_long, by_group, id_and_text, mixed, pages, shingle_set, words_of, written
 from plotlink.llm.components import components
 
-_NULL_ID = -(1 << 63)
+_NULL_ID, _SHARED = -(1 << 63), -(1 << 63) + 1
 #: Shingles counted at a time; those seen this often in one go are reported; at most so many are ranked.
 COUNTED, SEEN, RANKED = 1 << 21, 4, 1 << 16
 BITS, LEAF, FAN = 4096, 4, 4
@@ -65,25 +66,22 @@ def needed(total: int, num: int, den: int) -> int:
     return -(-num * total // (num + den))
 
 
-def profiles(docs: DataFrame, k: int, num: int, den: int, ranks) -> DataFrame:
-    """doc_id, two hashes and the size of the set, and its prefix."""
+def prefixes(docs: DataFrame, k: int, num: int, den: int, ranks) -> DataFrame:
+    """node, n and the prefix of its set."""
     def run(frames):
         values, place = ranks.value
-        for pdf in pages(frames, 128):
+        for pdf in pages(frames):
             rows = []
             for doc, s in zip(pdf["doc_id"], sets_of(pdf["text"], k)):
                 n = len(s)
-                take = n - -(-num * n // den) + 1 if n else 0
                 order = np.zeros(n, np.int64)
                 if len(values) and n:
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     order = np.where(values[at] == s, place[at], 0)
-                prefix = s[np.lexsort((mixed(s), order))[:take]]
-                with np.errstate(over="ignore"):
-                    rows.append((doc, int(s.sum(dtype=np.uint64).astype(np.int64)), int(mixed(s).sum(dtype=np.uint64).astype(np.int64)), n, as_long(prefix)))
-            yield pd.DataFrame(rows, columns=["doc_id", "s1", "s2", "n", "prefix"])
+                rows.append((doc, n, as_long(s[np.lexsort((mixed(s), order))[:n - -(-num * n // den) + 1]])))
+            yield pd.DataFrame(rows, columns=["node", "n", "prefix"])
 
-    return docs.mapInPandas(run, "doc_id long, s1 long, s2 long, n int, prefix array<long>")
+    return docs.mapInPandas(run, "node long, n int, prefix array<long>")
 
 
 class Tree:
@@ -199,27 +197,72 @@ def _linked(base: DataFrame, nodes: DataFrame, blocks: DataFrame, num: int, den:
     return links.union(written(more, "links"))
 
 
+def _sizes(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, two hashes and the size of each document's shingle set."""
+    def run(frames):
+        for pdf in pages(frames):
+            sets = sets_of(pdf["text"], k)
+            with np.errstate(over="ignore"):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "s1": [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets],
+                                    "s2": [int(mixed(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets], "n": [len(s) for s in sets]})
+
+    return docs.mapInPandas(run, "doc_id long, s1 long, s2 long, n int")
+
+
+def _own_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, own: how many of the shingles with a hash in the first quarter no other document has.
+    A task sends each hash once, so one that very many documents hold is a few rows."""
+    def run(frames):
+        held, ids, n = [], [], 0
+
+        def told():
+            values, first, times = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+            return pd.DataFrame({"shingle": as_long(values), "holder": np.where(times == 1, np.concatenate(ids)[first], _SHARED)})
+
+        for pdf in pages(frames):
+            for doc, s in zip(pdf["doc_id"], sets_of(pdf["text"], k)):
+                s = s[(mixed(s) >> np.uint64(62)) == 0]
+                held.append(s)
+                ids.append(np.full(len(s), doc, np.int64))
+                n += len(s)
+            if n >= COUNTED:
+                yield told()
+                held, ids, n = [], [], 0
+        if n:
+            yield told()
+
+    met = docs.mapInPandas(run, "shingle long, holder long").repartition("shingle").groupBy("shingle").agg(F.min("holder").alias("holder"), F.max("holder").alias("other"), F.count("*").alias("times"))
+    return met.filter((F.col("times") == 1) & (F.col("holder") != _SHARED)).groupBy(F.col("holder").alias("owner")).agg(F.count("*").alias("own"))
+
+
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
                  chunk_shingles: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links. Two documents
-    link when ``den * |intersection| >= num * |union|`` over sets of k-word shingles."""
+    link when ``den * |intersection| >= num * |union|`` over sets of k-word shingles.
+
+    First, documents with more shingles of their own than a link would leave them are settled: they
+    link with none. (Their prefix, own shingles first, has no key that another document has.)"""
     spark = docs.sparkSession
     base = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text")
-    top = common_shingles(base, k).collect()  # RANKED rows at most
+    known = written(_sizes(base, k), "sizes")
+    classes = written(known.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")), "classes")
+    spare = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
+    maybe = known.join(classes, ["s1", "s2", "n"]).filter("doc_id = node").join(_own_shingles(base, k), F.col("node") == F.col("owner"), "left") \
+        .filter(F.coalesce("own", F.lit(0)) < spare).select("node").distinct()
+    few = written(base.join(maybe, F.col("doc_id") == F.col("node")).select("doc_id", "text"), "texts")
+    top = common_shingles(few, k).collect()  # RANKED rows at most
     values = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
     at, place = np.argsort(values), np.arange(len(top), 0, -1)  # the rarest first
     ranks = spark.sparkContext.broadcast((values[at], place[at]))
-    known = written(profiles(base, k, num, den, ranks), "sets")
-    classes = written(known.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = known.join(classes, ["s1", "s2", "n"]).filter("doc_id = node").select("node", "n", "prefix")
+    nodes = written(prefixes(few, k, num, den, ranks), "prefixes")
     keyed = nodes.select("node", F.explode("prefix").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other")
     edges = keyed.join(shared, "key").filter("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     blocks = written(components(edges), "blocks")
-    links = _linked(base, nodes, blocks, num, den, k, chunk_shingles)
+    links = _linked(few, nodes, blocks, num, den, k, chunk_shingles)
     class_of = components(links)
     grouped = classes.join(class_of, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))
     null_id = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
-    return known.select("doc_id", "s1", "s2", "n").join(grouped, ["s1", "s2", "n"], "left").select(
+    return known.join(grouped, ["s1", "s2", "n"], "left").select(
         null_id("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).select(
         "doc_id", "n_shingles", null_id("component_id"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.llm.common import id_and_text, pages, written
+from plotlink.llm.common import free, id_and_text, pages, written
 
 LEAD, BANDS = 2, 4
 FIELD = b"<*>"
@@ -87,17 +87,20 @@ def _crc(text: str):
     return F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, less the dropped lines; with _n_lines and _n_dropped."""
-    of = gone.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("gone").alias("_gone"))
-    rows = docs.join(of, (F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)) == F.col("_id")) & (_crc(text_col) == F.col("_crc")), "left")
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple = ()) -> DataFrame:
+    """The documents, all columns, less the dropped lines; ``counts`` names two more columns, for the
+    lines there were and those dropped."""
+    key, crc, at = (free(docs, x) for x in ("_key", "_crc", "_at"))
+    of = gone.select(F.col("doc_id").alias(key), F.col("crc").alias(crc), F.col("gone").alias(at))
+    rows = docs.join(of, (F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)) == F.col(key)) & (_crc(text_col) == F.col(crc)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    rows = rows.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return rows.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_id", "_crc", "_gone")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(at), i)), "\n")
+    for name, n in zip(counts, (F.size(lines), F.size(at))):
+        rows = rows.withColumn(name, F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long"))
+    return rows.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(kept)).drop(key, crc, at)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that stays."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return without(base, dropped_lines(base, **options)).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return without(base, dropped_lines(base, **options), counts=("n_lines", "n_dropped")).select("doc_id", "n_lines", "n_dropped", "text")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.llm.common import pages, same, words_of, written
+from plotlink.llm.common import pages, same, without_ids, words_of, written
 
 STATS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines".split()
 SYMBOLS = "#*$%&|<>"
@@ -134,5 +134,4 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def kept_documents(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents, all columns, that no row of ``verdicts`` with their id rejects."""
-    bad = verdicts.filter("not kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, same(F.col(id_col), F.col("_bad")), "left_anti")
+    return without_ids(docs, verdicts.filter("not kept").select("doc_id"), id_col)
