@@ -99,3 +99,76 @@ def op10(spark, sf_dir):
     extra = spark.sql("""SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')
                          AS t(conv_id, turn, role, text)""")
     return c.digests(c.examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op2_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, i AS st, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM w)),
+ranked AS (SELECT doc_id, st, row_number() OVER (PARTITION BY h ORDER BY doc_id, st) AS rn FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(st, st + 19)) AS p FROM ranked WHERE rn > 1),
+each AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS c FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(c, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+def _sets(table_name, key, k):
+    """Distinct k-word shingles, A-Z in lower case; a shorter sequence is one."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""SELECT DISTINCT {key}, array_to_string(ws[i:i + {k} - 1], ' ') AS g FROM (
+        SELECT {key}, ws, unnest(generate_series(1, greatest(len(ws) - {k} + 1, 1))) AS i
+        FROM (SELECT {key}, {_WORDS.replace("coalesce(text, '')", lower)} AS ws FROM {table_name}) WHERE len(ws) > 0)"""
+
+
+SQL["op5_decontaminate"] = f"""
+WITH d AS ({_sets('documents', 'doc_id', 5)}), b AS ({_sets('benchmark', 'item_id', 5)}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+met AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n_item::BIGINT AS n_item FROM met JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
+
+
+def _spans_sql():
+    from plotlink.llm.secret_ledger import RULES
+
+    one = """SELECT doc_id, {order} AS r, '{kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS st, length(m[i]) AS len
+        FROM (SELECT doc_id, g, m, v, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, string_split_regex(text, '{p}') AS g,
+              regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {group}) AS v FROM t)) WHERE length(v[i]) >= {least}"""
+    return " UNION ALL ".join(one.format(order=i, kind=r.kind, p=r.pattern.replace("'", "''"), group=r.group, least=r.least) for i, r in enumerate(RULES))
+
+
+SQL["op8_secret_ledger"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({_spans_sql()}),
+a AS (SELECT doc_id, count(*) FILTER (r = 0) AS n_assign, count(*) FILTER (r = 1) AS n_access, count(*) FILTER (r = 2) AS n_hex,
+      string_agg(kind || ':' || st || ':' || (st + len), ',' ORDER BY st, r) FILTER (r < 3) AS base, string_agg(kind || ':' || st || ':' || (st + len), ',' ORDER BY st, r) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob FROM t LEFT JOIN a USING (doc_id)"""
+
+SQL["op9_jaccard_join"] = f"""
+WITH RECURSIVE d AS MATERIALIZED ({_sets('documents', 'doc_id', 4)}),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM d x JOIN d y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM met JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT a AS doc_id, a AS node FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least_node, doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(node) AS least_node FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+def _escaped_sql(x):
+    for pattern, to in (("&(amp;|lt;|#91;|#10;)", r"&amp;\1"), ("<(/?s>)", r"&lt;\1"), (r"\[(/?INST\])", r"&#91;\1")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+SQL["op10_chat_format"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS last,
+      length({_escaped_sql('text')}) + length(replace({_escaped_sql('role')}, chr(10), '&#10;')) + 8 AS size FROM c),
+r AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR i = last))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id"""
