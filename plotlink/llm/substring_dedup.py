@@ -23,7 +23,7 @@ from plotlink.llm.common import MIX2, as_long, by_key, id_and_text, mixed, pages
 
 GRAM = 12
 #: Windows that a task compares with each other at a time.
-COMPARED = 1 << 20
+COMPARED = 1 << 18
 #: Counters of each row of the sketch and rows; 2 x 2^27 bits (32 MB) are broadcast, whatever the input.
 WIDTH_BITS, DEPTH, BLOCK_BITS = 27, 2, 20
 _NULL_ID = -(1 << 63)
