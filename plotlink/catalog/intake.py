@@ -28,7 +28,7 @@ def _(t):
 
 view("o_mem_rows", """
   SELECT cem_id, min(o) AS ord, mid2 AS mid, arg_max(r, o) AS r FROM (
-    SELECT *, cast(floor(q / 40) as bigint) * 100000 + q % 40 AS o, {name: name, maiden: maiden, byr: "by", dy: dy, plot: plot, lat: lat, lng: lng, flags: flags, fam: fam} AS r
+    SELECT *, cast(floor(q / 40) as bigint) * 4294967296 + q % 40 AS o, {name: name, maiden: maiden, byr: "by", dy: dy, plot: plot, lat: lat, lng: lng, flags: flags, fam: fam} AS r
     FROM fx_mem_row WHERE mid2 is not null) GROUP BY cem_id, mid2""")
 oracle("read_memorial_rows", """
   SELECT cem_id, ord, mid, r.name AS name, r.maiden AS maiden, r.byr AS "by", r.dy AS dy, r.plot AS plot, r.lat AS lat, r.lng AS lng, r.flags AS flags, r.fam AS fam FROM o_mem_rows""")
@@ -45,7 +45,7 @@ def _(t):
 
 
 oracle("read_register_rows", """
-  SELECT cem_id, cast(floor(ord / 1000) as bigint) * 100000 + row_number() OVER (PARTITION BY cem_id, floor(ord / 1000) ORDER BY ord) - 1 AS ord, key, name, sex, bd, dd, burial,
+  SELECT cem_id, cast(floor(ord / 1000) as bigint) * 4294967296 + row_number() OVER (PARTITION BY cem_id, floor(ord / 1000) ORDER BY ord) - 1 AS ord, key, name, sex, bd, dd, burial,
          section, sub, block, lot, grave, status, flags, note, former FROM fx_register""")
 
 # ---- request and memorial feeds ----------------------------------------------------------
@@ -254,7 +254,7 @@ oracle("walk_order_transcript", """
            max(case when is_row then split_part(text, ' ', 2) end) OVER (PARTITION BY file, rn) AS row FROM o_line) WHERE is_name AND sec is not null AND row is not null)""")
 
 view("fx_triplet", """
-  SELECT cem_id AS file, q AS line, case when q % 200 = 199 then 'Copyright 2020' when q % 4 = 0 then case when q % 8 = 0 then upper(substr(sur, 1, 1)) || substr(sur, 2) || ', ' || fst else upper(sur) end
+  SELECT cem_id AS file, q AS line, case when q = case when cem_id % 5 = 0 then 199 else max(q) OVER (PARTITION BY cem_id) end then 'Copyright 2020' when q % 4 = 0 then case when q % 8 = 0 then upper(substr(sur, 1, 1)) || substr(sur, 2) || ', ' || fst else upper(sur) end
            when q % 4 = 1 then case when q % 3 = 0 then '[removed]' else lower(blk) end when q % 4 = 2 then cast(lot as string) || ' a' else case when q % 5 = 0 then 'County Ch.' else blk end end AS text FROM fx_base""")
 
 
@@ -270,7 +270,7 @@ oracle("triplet_transcript", """
   FROM (SELECT *, min(case when line > row_at and regexp_matches(text, '^[0-9]') then line end) OVER (PARTITION BY file, rec) AS lot_at FROM (
     SELECT *, min(case when not is_name and regexp_matches(text, '^[A-Za-z]$') then line end) OVER (PARTITION BY file, rec) AS row_at FROM (
       SELECT *, sum(case when is_name then 1 else 0 end) OVER (PARTITION BY file ORDER BY line) AS rec FROM (
-        SELECT *, line % 4 = 0 AS is_name FROM fx_triplet WHERE line < 199)))) WHERE rec > 0 GROUP BY file, rec""")
+        SELECT *, line % 4 = 0 AS is_name FROM (SELECT *, min(case when text like 'Copyright%' then line end) OVER (PARTITION BY file) AS stop FROM fx_triplet) WHERE stop is null or line < stop)))) WHERE rec > 0 GROUP BY file, rec""")
 
 # ---- places ------------------------------------------------------------------------------
 view("fx_listing", """
@@ -481,11 +481,11 @@ view("fx_cached_key", "SELECT cem_id AS register, q + 1 AS key, q % 6 = 2 or q >
 
 @query("missing_keys")
 def _(t):
-    return mt.missing_keys(t.cached_key, 700)
+    return mt.missing_keys(t.cached_key, t.cached_key.groupBy("register").agg((F.max("key") + 20).alias("max_key")))
 
 
 oracle("missing_keys", """
-  SELECT r.register, k.key FROM (SELECT register, max(case when not miss then key end) AS last FROM fx_cached_key GROUP BY 1) r CROSS JOIN (SELECT unnest(generate_series(1, 700)) AS key) k
+  SELECT r.register, k.key FROM (SELECT register, max(case when not miss then key end) AS last FROM fx_cached_key GROUP BY 1) r JOIN (SELECT register, unnest(generate_series(1, max(key) + 20)) AS key FROM fx_cached_key GROUP BY register) k ON k.register = r.register
   WHERE NOT EXISTS (SELECT 1 FROM fx_cached_key c WHERE c.register = r.register AND c.key = k.key AND (NOT c.miss OR c.key <= r.last))""")
 
 

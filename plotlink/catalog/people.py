@@ -228,6 +228,17 @@ oracle("header_stats", f"""
   FROM (SELECT q.cem_id, coalesce(p.st in {_DONE}, false) AS f FROM fx_request q LEFT JOIN o_progress p ON p.pk = cast(q.mid as varchar))""")
 
 
+@query("finish_list")
+def _(t):
+    return rp.finished_work(t.request_now, _progress(t), t.memorial)
+
+
+oracle("finish_list", f"""
+  SELECT q.cem_id, q.mid, q.name, p.st, p.up, p.ts, case when p.st = 'done' and p.up then 'uploaded' when p.st = 'done' then 'to_upload' else 'closed' end AS stage
+  FROM fx_request_now q JOIN o_progress p ON p.pk = cast(q.mid as varchar) WHERE p.st in {_DONE}
+  UNION ALL SELECT cem_id, mid, name, st, false, ts, 'confirmed' FROM o_fulfilled""")
+
+
 @query("finish_stages")
 def _(t):
     return rp.finish_stages(t.request_now, _progress(t), t.memorial)
@@ -287,14 +298,14 @@ oracle("round_trip_error", f"""
       AND l.sub = coalesce(m.sub, '') AND l.block = coalesce(m.block, '') AND l.lot = coalesce(m.lot, '') WHERE m.lat is not null AND l.level <> 'section') GROUP BY cem_id""")
 
 # ---- search ----
-TYPED = ["smith", "john sm", "oster eth", "zz", "a", "mary moore", "ell"]
-_qs = ", ".join(f"('{x}')" for x in TYPED)
+TYPED = ["smith", "SMITH", "john sm", "oster eth", "zz", "a", "mary moore", " Mary  Moore", "O'Ster", "J.", "ell"]
+_qs = ", ".join(f"({S.q(x)}, {S.norm(S.q(x))})" for x in TYPED)
 view("o_hits", f"""
   SELECT q.query, b.*, row_number() OVER (PARTITION BY q.query, b.cem_id ORDER BY b.kind, b.ord) AS rank
-  FROM (VALUES {_qs}) q(query) JOIN (
+  FROM (VALUES {_qs}) q(query, typed) JOIN (
     SELECT cem_id, 'mem' AS kind, mid AS id, ord, name, sk FROM o_mem UNION ALL
     SELECT r.cem_id, 'ros', r.key, r.ord, r.name, r.sk FROM o_reg r WHERE NOT EXISTS (SELECT 1 FROM o_linked l WHERE l.cem_id = r.cem_id AND l.key = r.key)) b
-  ON len(q.query) >= 2 AND len(list_filter(string_split(q.query, ' '), lambda x: not contains(b.sk, x))) = 0""")
+  ON len(q.typed) >= 2 AND len(list_filter(string_split(q.typed, ' '), lambda x: not contains(b.sk, x))) = 0""")
 
 
 @query("search_burials")
@@ -319,7 +330,7 @@ oracle("search_all", """
   SELECT h.query, h.cem_id, cast(h.rank as int) AS rank, h.kind, h.id, h.name, fl.truncated FROM o_hits h JOIN run r ON r.query = h.query AND r.cem_id = h.cem_id AND r.cum - r.n < 120
   JOIN fl ON fl.query = h.query WHERE h.rank <= 6""")
 
-FILTERS = ["smith", "section a", "row 5", "ba"]
+FILTERS = ["smith", "Section A", "row: 5", "ba"]
 _fs = ", ".join(f"('{x}')" for x in FILTERS)
 
 
@@ -332,7 +343,7 @@ oracle("filter_requests", f"""
   SELECT q.query, e.cem_id, e.mid, e.name FROM (VALUES {_fs}) q(query) JOIN (
     SELECT e.*, trim(regexp_replace(lower(concat_ws(' ', name || ' ' || plot, case when r_section is not null then r_section || ' ' || r_block || ' ' || r_lot end)), '[^a-z0-9]+', ' ', 'g')) AS hay,
            coalesce(p.st in {_DONE}, false) AS f FROM o_enriched e LEFT JOIN o_progress p ON p.pk = cast(e.mid as varchar)) e
-  ON NOT e.f AND len(list_filter(string_split(q.query, ' '), lambda x: not contains(e.hay, x))) = 0""")
+  ON NOT e.f AND len(list_filter(string_split(trim(regexp_replace(lower(q.query), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: not contains(e.hay, x))) = 0""")
 
 HERE = (43.0201, -84.0152)
 GIVEN = ["Section C", "Section A"]

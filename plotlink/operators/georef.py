@@ -89,24 +89,41 @@ def leave_one_out(pairs: DataFrame, group: list[str] = ("map_id",)) -> DataFrame
     return out.withColumnRenamed("n", "n_loo")
 
 
-SAMPLE, TRIPLES = 64, 4000
+TRIPLES = 4000
+#: One multiplicative generator for each corner of a drawn triple.
+DRAWS, PRIME = (48271, 69621, 39373), 2147483647
+#: Parts into which the hypotheses of a group are dealt when they meet its pairs.
+PARTS = 8
 
 
-def ransac_affine(pairs: DataFrame, group: list[str] = ("map_id",), inlier_m: float = 13, exhaustive: int = 26, seed: int = 12345) -> DataFrame:
+def _drawn(corner: int, seed: int) -> Column:
+    """Index 1..n of a corner of triple ``_h``: integer arithmetic that any engine repeats."""
+    return ((F.col("_h") * DRAWS[corner] + (corner + 1) * seed) % PRIME * 16807 % PRIME % F.col("_n") + 1)
+
+
+def _triples(items: DataFrame, g: list[str], cols: list[str], exhaustive: int, draws: int, seed: int) -> DataFrame:
+    """Triples of the numbered items (``_i``, group size ``_n``) of each group: all of them up to
+    ``exhaustive`` items, else ``draws`` triples drawn from all items."""
+    side = lambda s: items.select(*g, *[F.col(c).alias(f"{c}{s}") for c in (*cols, "_i")])
+    few = items.filter(F.col("_n") <= exhaustive).select(*g, *[F.col(c).alias(f"{c}0") for c in (*cols, "_i")])
+    every = few.join(side(1), g).filter("_i0 < _i1").join(side(2), g).filter("_i1 < _i2")
+    number = items.filter((F.col("_n") > exhaustive) & (F.col("_i") == 1)).select(*g, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("_h"))
+    drawn = number.select(*g, *[_drawn(j, seed).alias(f"_i{j}") for j in range(3)]).filter("_i0 <> _i1 AND _i1 <> _i2 AND _i0 <> _i2").distinct()
+    for j in range(3):
+        drawn = drawn.join(side(j), [*g, f"_i{j}"])
+    return every.unionByName(drawn.select(every.columns))
+
+
+def ransac_affine(pairs: DataFrame, group: list[str] = ("map_id",), inlier_m: float = 13, exhaustive: int = 12, seed: int = 12345) -> DataFrame:
     """Best affine by consensus. Hypotheses are exact fits of pair triples: all of them for
-    groups of up to ``exhaustive`` pairs, else a seeded sample, so their number is bounded
-    whatever a group's size. The triple with most inliers (at least four) is refitted on
+    groups of up to ``exhaustive`` pairs, else triples drawn from all pairs, so their number is
+    bounded whatever a group's size. The triple with most inliers (at least four) is refitted on
     them, widened to every pair it now explains, and refitted once more."""
     g = list(group)
     size = pairs.groupBy(*g).agg(F.count("*").alias("_n"))
     p = pairs.join(size, g)
-    rank = F.when(F.col("_n") <= exhaustive, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "x", "y", "e", "n", "ord"))
-    w = Window.partitionBy(*g).orderBy(rank, "ord", "x", "y")
-    p = p.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= SAMPLE)
-    side = lambda s: p.select(*g, *[F.col(c).alias(f"{c}{s}") for c in ("x", "y", "e", "n", "_i")], *(["_n"] if s == 0 else []))
-    tri = side(0).join(side(1), g).filter("_i0 < _i1").join(side(2), g).filter("_i1 < _i2")
-    all_ = SAMPLE * (SAMPLE - 1) * (SAMPLE - 2) // 6
-    tri = tri.filter((F.col("_n") <= exhaustive) | (F.pmod(F.xxhash64(F.lit(seed), "_i0", "_i1", "_i2"), F.lit(all_)) < TRIPLES))
+    p = p.withColumn("_i", F.row_number().over(Window.partitionBy(*g).orderBy("ord", "x", "y")))
+    tri = _triples(p, g, ["x", "y", "e", "n"], exhaustive, TRIPLES, seed)
     det = F.expr("(x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)")
     tri = tri.withColumn("_det", det).filter(F.abs("_det") >= 400)
     lin = lambda t: (F.expr(f"({t}1 - {t}0) * (y2 - y0) - ({t}2 - {t}0) * (y1 - y0)") / F.col("_det"),
@@ -114,8 +131,9 @@ def ransac_affine(pairs: DataFrame, group: list[str] = ("map_id",), inlier_m: fl
     (a, b), (d, f) = lin("e"), lin("n")
     tri = once(tri, {"a": a, "b": b, "d": d, "f": f})
     tri = tri.withColumns({"c": F.expr("e0 - a * x0 - b * y0"), "g": F.expr("n0 - d * x0 - f * y0")})
-    hyp = tri.select(*g, "_i0", "_i1", "_i2", *T6)
-    hit = hyp.join(pairs.select(*g, "x", "y", "e", "n"), g).filter(residual() <= inlier_m)
+    hyp = tri.select(*g, "_i0", "_i1", "_i2", *T6, F.pmod(F.xxhash64("_i0", "_i1", "_i2"), F.lit(PARTS)).cast("int").alias("_part"))
+    dealt = pairs.select(*g, "x", "y", "e", "n", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    hit = hyp.join(dealt, [*g, "_part"]).filter(residual() <= inlier_m)
     cnt = hit.groupBy(*g, "_i0", "_i1", "_i2", *T6).agg(F.count("*").alias("_c")).filter("_c >= 4")
     best = cnt.groupBy(*g).agg(F.min_by(F.struct(*T6), F.struct(-F.col("_c"), "_i0", "_i1", "_i2")).alias("t")).select(*g, "t.*")
     within = lambda t: pairs.join(t.select(*g, *T6), g).filter(residual() <= inlier_m).drop(*T6)
@@ -344,11 +362,10 @@ def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: Data
     seeds = written(seeds, "seeds")
     span = lambda df, u, v, out: df.groupBy("map_id").agg(F.sqrt(F.pow(F.max(u) - F.min(u), 2) + F.pow(F.max(v) - F.min(v), 2)).alias(out))
     scale0 = span(centroids, "e", "n", "_se").join(span(big, "cx", "cy", "_sp"), "map_id").select("map_id", F.try_divide("_se", "_sp").alias("scale0"))
-    few = seeds.withColumn("_i", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("size"), F.xxhash64(F.lit(seed), "cluster", "block")))) \
-        .filter(F.col("_i") <= SAMPLE)
-    side = lambda s: few.select("map_id", *[F.col(c).alias(f"{c}{s}") for c in ("_i", "cluster", "block", "x", "y", "e", "n")])
-    tri = side(0).join(side(1), "map_id").filter("_i0 < _i1 AND cluster0 <> cluster1 AND block0 <> block1") \
-        .join(side(2), "map_id").filter("_i1 < _i2 AND cluster2 <> cluster0 AND cluster2 <> cluster1 AND block2 <> block0 AND block2 <> block1")
+    of_page = Window.partitionBy("map_id")
+    numbered = seeds.withColumns({"_i": F.row_number().over(of_page.orderBy(F.desc("size"), "cluster", "block")), "_n": F.count("*").over(of_page)})
+    tri = _triples(numbered, ["map_id"], ["cluster", "block", "x", "y", "e", "n"], 64, 10 * TRIPLES, seed).filter(
+        "cluster0 <> cluster1 AND block0 <> block1 AND cluster2 <> cluster0 AND cluster2 <> cluster1 AND block2 <> block0 AND block2 <> block1")
     h = ["map_id", "_i0", "_i1", "_i2"]
     pts = tri.select(*h, F.explode(F.array(*[F.struct(*[F.col(f"{c}{s}").alias(c) for c in ("x", "y", "e", "n")]) for s in (0, 1, 2)])).alias("p")).select(*h, "p.*")
     hyp = fit_similarity(pts, h).join(scale0, "map_id")

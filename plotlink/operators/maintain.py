@@ -90,12 +90,15 @@ def stale_partitions(registry: DataFrame, stage_state: DataFrame, cadence_s: dic
     return j.select("cem_id", "stage", reason.isNotNull().alias("due"), reason.alias("reason"))
 
 
-def missing_keys(cached: DataFrame, max_key: int) -> DataFrame:
-    """Register keys to probe (again): 1..max that are not cached, where misses beyond the
-    last real key count as not cached. ``cached``: register, key, miss."""
+def missing_keys(cached: DataFrame, bounds: DataFrame, run: int = 10_000) -> DataFrame:
+    """Register keys to probe (again): 1..max_key that are not cached, where misses beyond the
+    last real key count as not cached. ``cached``: register, key, miss; ``bounds``: register,
+    max_key. Keys are laid out in runs, so a long register is many rows, not one long array."""
     last = cached.groupBy("register").agg(F.coalesce(F.max(F.when(~F.col("miss"), F.col("key"))), F.lit(0)).alias("last"))
     known = cached.join(last, "register").filter(~F.col("miss") | (F.col("key") <= F.col("last"))).select("register", "key")
-    return last.select("register", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max_key).cast("bigint"))).alias("key")) \
+    runs = last.select("register").join(bounds.filter("max_key >= 1"), "register").select(
+        "register", "max_key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("max_key").cast("bigint"), F.lit(run).cast("bigint"))).alias("first"))
+    return runs.select("register", F.explode(F.sequence("first", F.least(F.col("first") + run - 1, F.col("max_key").cast("bigint")))).alias("key")) \
         .join(known, ["register", "key"], "left_anti")
 
 

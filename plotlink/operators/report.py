@@ -122,34 +122,32 @@ def round_trip_error(memorial: DataFrame, located: DataFrame, cemetery: DataFram
 
 # ---------------------------------------------------------------- search
 
-def _terms(query: str) -> list[str]:
-    return [t for t in query.split(" ") if t]
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def _matching(hay: Column, queries: list[str]) -> Column:
-    """Indexes of the queries all of whose terms occur in the text (queries are a handful of
-    typed strings, so this stays one projection)."""
+def _matching(hay: Column, queries: list[str], norm, least: int) -> Column:
+    """Indexes of the queries, normalised like the text by ``norm`` and then at least ``least``
+    characters long, all of whose terms occur in the text (queries are a handful of typed
+    strings, so this stays one projection)."""
     hits = []
     for i, q in enumerate(queries):
-        cond = F.lit(True)
-        for t in _terms(q):
-            cond = cond & F.contains(hay, F.lit(t))
-        hits.append(F.when(cond, F.lit(i)))
+        typed = norm(F.lit(q))
+        hits.append(F.when((F.char_length(typed) >= least) & F.forall(F.split(typed, " "), lambda t: F.contains(hay, t)), F.lit(i)))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
 def search_burials(memorial: DataFrame, register: DataFrame, linked: DataFrame, queries: list[str], limit: int = 60) -> DataFrame:
     """First ``limit`` hits per cemetery and query: memorials first, then register rows that
-    no memorial stands for. Queries are normalised like names; shorter than two letters find
-    nothing."""
-    clean = [q for q in queries if len(q) >= 2]
+    no memorial stands for. Queries are normalised like names, then shorter than two letters find
+    nothing; the typed text is reported."""
     mem = memorial.select("cem_id", F.lit("mem").alias("kind"), F.col("mid").alias("id"), "ord", "name", "sk")
     ros = register.join(linked.select("cem_id", "key"), ["cem_id", "key"], "left_anti") \
         .select("cem_id", F.lit("ros").alias("kind"), F.col("key").alias("id"), "ord", "name", "sk")
-    df = mem.unionByName(ros).withColumn("qi", F.explode(_matching(F.col("sk"), clean)))
+    df = mem.unionByName(ros).withColumn("qi", F.explode(_matching(F.col("sk"), queries, names.norm_name, 2)))
     w = Window.partitionBy("qi", "cem_id").orderBy("kind", "ord")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit) \
-        .withColumn("query", F.get(F.array(*[F.lit(q) for q in clean]), F.col("qi"))).select("query", "cem_id", "rank", "kind", "id", "name")
+        .withColumn("query", F.get(F.array(*[F.lit(q) for q in queries]), F.col("qi"))).select("query", "cem_id", "rank", "kind", "id", "name")
 
 
 def search_all(memorial: DataFrame, register: DataFrame, linked: DataFrame, queries: list[str], per_cem: int = 6, total: int = 120) -> DataFrame:
@@ -167,11 +165,11 @@ def search_all(memorial: DataFrame, register: DataFrame, linked: DataFrame, quer
 
 def filter_requests(enriched: DataFrame, progress: DataFrame, queries: list[str], hide_done: bool = True) -> DataFrame:
     text = F.concat_ws(" ", F.concat_ws(" ", "name", "plot"), F.when(F.col("r_section").isNotNull(), F.concat_ws(" ", "r_section", "r_block", "r_lot")))
-    df = once(enriched, {"hay": F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))})
+    df = once(enriched, {"hay": _plain(text)})
     df = _status(df, progress)
     if hide_done:
         df = df.filter("NOT finished")
-    return df.withColumn("qi", F.explode(_matching(F.col("hay"), queries))) \
+    return df.withColumn("qi", F.explode(_matching(F.col("hay"), queries, _plain, 0))) \
         .withColumn("query", F.get(F.array(*[F.lit(q) for q in queries]), F.col("qi"))).select("query", "cem_id", "mid", "name")
 
 

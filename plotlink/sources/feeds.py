@@ -12,13 +12,14 @@ MEMORIAL_POS = ["mid", "name", "maiden", "by", "dy", "plot", "lat", "lng", "flag
 REGISTER_POS = ["key", "name", "sex", "bd", "dd", "burial", "section", "sub", "block", "lot", "grave", "status", "flags", "note", "former"]
 
 
-PAGE_ROWS = 100000
+#: Ordinals leave room for 2^32 rows on a page, more than one document can hold.
+PAGE_BITS = 32
 
 
 def _ord(df: DataFrame, pos: str) -> Column:
     """Row order across the pages of a feed (one document per page, or a single one)."""
     page = F.col("page") if "page" in df.columns else F.lit(0)
-    return (page.cast("bigint") * PAGE_ROWS + F.col(pos)).alias("ord")
+    return (F.shiftleft(page.cast("bigint"), PAGE_BITS) + F.col(pos)).alias("ord")
 
 
 def _positional(df: DataFrame, json_col: str, names_: list[str]) -> DataFrame:
