@@ -23,6 +23,13 @@ def _tokenizer(name):
     return public_tokenizers.path(name)
 
 
+def ranks():
+    """The packing tokenizer's vocabulary as a rank file, and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 @query("op1_token_counts")
 def op1(spark, sf_dir):
     from plotlink.llm.token_counts import token_counts
@@ -42,7 +49,7 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     from plotlink.llm.packing import packed
 
-    return packed(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return packed(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), ranks=ranks())
 
 
 @query("op4_language_id")

@@ -114,8 +114,21 @@ def test_packing_of_odd_rows(spark):
     import public_tokenizers
 
     texts = [t for t in cases.ODD_TEXTS] + ["a <|endoftext|> b  c", " lead", "trail ", "don't we'LL 12 3a"]
-    rows = packing.packed(cases.documents(spark, texts, extra=True).filter("doc_id < 21"), public_tokenizers.path("byte_bpe_50k.json")).collect()
-    check_packing(rows, list(enumerate(texts))[:21])
+    for ranks in (None, catalog.ranks()):
+        rows = packing.packed(cases.documents(spark, texts, extra=True).filter("doc_id < 21"), public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks).collect()
+        check_packing(rows, list(enumerate(texts))[:21])
+
+
+def test_both_ways_to_token_ids_agree():
+    import public_tokenizers
+
+    both = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), catalog.ranks())
+    own = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(2)
+    signs = [chr(c) for c in range(9, 0x250) if packing._PLAIN.fullmatch(chr(c))] + list("–—‘’“”…      \n\n\t''")
+    for _ in range(3000):
+        text = "".join(rng.choice(signs, rng.integers(0, 60)))
+        assert both.one(text) == own.one(text), repr(text)
 
 
 def test_cutting_stock_meets_demand_near_its_bound():
