@@ -74,31 +74,39 @@ def _evidence(side: str, spread: bool, with_plot: bool):
         ys = [v(c) - 1, v(c), v(c) + 1] if spread else [v(c)]
         return F.when(v(c) != 0, F.array(*[y.cast("string") for y in ys])).otherwise(none)
 
+    # births over three years apart cost what only other evidence, keyed itself, makes good again; an
+    # unknown birth meets every other ("any"), a known one meets an unknown one ("none")
+    reach = [(v("by") + i).cast("string") for i in range(-3, 4)] if spread else [v("by").cast("string")]
+    births = F.when(v("by") != 0, F.array(*reach, F.lit("none" if spread else "any"))).otherwise(F.array(*([F.lit("any")] if spread else [F.lit("none"), F.lit("any")])))
+    under = lambda head, ys: F.transform(ys, lambda y: F.concat_ws("|", head, y))
+    initial = F.left(v("fr"), F.lit(1))
     out = {
-        "cf": F.when(v("cf") != "", F.array(v("cf"))).otherwise(none),
+        "cf": F.when(v("cf") != "", under(v("cf"), births)).otherwise(none),
         "by": year("by"),
         "dy": year("dy"),
+        "init_by": F.when((v("fr") != "") & (v("by") != 0), under(initial, F.array(*reach))).otherwise(none),
     }
     if with_plot:
         ok = (v("section") != "") & (v("section") != "*") & (v("block") != "") & (v("lot") != "")
         out["plot"] = F.when(ok, F.array(F.concat_ws("|", v("section"), v("block"), v("lot")))).otherwise(none)
-    out["init"] = F.when(v("fr") != "", F.array(F.left(v("fr"), F.lit(1)))).otherwise(none)
+        placed = (v("fr") != "") & (v("section") != "") & (v("section") != "*")
+        out["init_section"] = F.when(placed, F.array(F.concat_ws("|", initial, v("section")))).otherwise(none)
     return out
 
 
 # how surnames meet: (name, left column, right column, evidence it needs)
-_ALL = ("cf", "by", "dy", "plot", "init")
+_ALL = ("cf", "by", "dy", "plot", "init_by", "init_section")
 _MEET = [
     ("sound", "sx", "sx", ("cf", "by", "dy", "plot")),
-    ("name", "nl", "nl", ("init",)),
+    ("name", "nl", "nl", ("init_by", "init_section")),
     ("maiden", "nl", "nm", _ALL),
     ("former", "nm", "nl", _ALL),
 ]
 
 
-def _kinds(with_plot: bool):
-    """Every (surname relation, evidence) pair with its number; lower numbers keep the pair."""
-    known = [(m, e) for m in _MEET for e in m[3] if with_plot or e != "plot"]
+def _kinds(with_plot: bool, initials: bool = True, meets: tuple = ("sound", "name", "maiden", "former")):
+    """Every wanted (surname relation, evidence) pair with its number; lower numbers keep the pair."""
+    known = [(m, e) for m in _MEET for e in m[3] if m[0] in meets and (with_plot or e not in ("plot", "init_section")) and (initials or not e.startswith("init"))]
     return list(enumerate(known))
 
 
@@ -106,10 +114,10 @@ def _tagged(values: Column, kind: int, surname: Column) -> Column:
     return F.transform(values, lambda k: F.struct(F.lit(kind).alias("kind"), F.concat_ws("|", surname, k).alias("bkey")))
 
 
-def _keyed(df: DataFrame, side: str, which: int, spread: bool, with_plot: bool) -> DataFrame:
+def _keyed(df: DataFrame, side: str, which: int, spread: bool, with_plot: bool, kinds: list) -> DataFrame:
     ev = _evidence(side, spread, with_plot)
     keys = []
-    for kind, (meet, e) in _kinds(with_plot):
+    for kind, (meet, e) in kinds:
         surname = F.col(f"{side}_{meet[which]}")
         # empty surnames agree by sound alone, as two blank sound codes do
         usable = F.lit(True) if meet[0] == "sound" else surname != ""
@@ -117,32 +125,38 @@ def _keyed(df: DataFrame, side: str, which: int, spread: bool, with_plot: bool)
     return df.select("*", F.inline(F.flatten(F.filter(F.array(*keys), lambda k: k.isNotNull()))))
 
 
-def _first_meeting(left: str, right: str, with_plot: bool) -> Column:
+def _first_meeting(left: str, right: str, kinds: list) -> Column:
     a = lambda c: F.col(f"{left}_{c}")
     b = lambda c: F.col(f"{right}_{c}")
     near = lambda c: (a(c) != 0) & (b(c) != 0) & (F.abs(a(c) - b(c)) <= 1)
-    known = (a("section") != "") & (a("section") != "*") & (a("block") != "") & (a("lot") != "")
+    placed = (a("section") != "") & (a("section") != "*")
+    known = placed & (a("block") != "") & (a("lot") != "")
+    born = (a("by") != 0) & (b("by") != 0) & (F.abs(a("by") - b("by")) <= 3)
+    initial = (a("fr") != "") & (F.left(a("fr"), F.lit(1)) == F.left(b("fr"), F.lit(1)))
     holds = {
-        "cf": (a("cf") != "") & (a("cf") == b("cf")),
+        "cf": (a("cf") != "") & (a("cf") == b("cf")) & ((a("by") == 0) | (b("by") == 0) | born),
         "by": near("by"),
         "dy": near("dy"),
         "plot": known & (a("section") == b("section")) & (a("block") == b("block")) & (a("lot") == b("lot")),
-        "init": (a("fr") != "") & (F.left(a("fr"), F.lit(1)) == F.left(b("fr"), F.lit(1))),
+        "init_by": initial & born,
+        "init_section": initial & placed & (a("section") == b("section")),
     }
     out = F
-    for kind, ((name, lc, rc, _), e) in _kinds(with_plot):
+    for kind, ((name, lc, rc, _), e) in kinds:
         meets = a(lc) == b(rc) if name == "sound" else (a(lc) != "") & (a(lc) == b(rc))
         out = out.when(meets & holds[e], kind)
     return out
 
 
-def scored_profiles(left: DataFrame, right: DataFrame, l: str, r: str, floor: int, with_plot: bool = True) -> DataFrame:
-    """Profile pairs whose score reaches ``floor`` (at least 55), each exactly once."""
+def scored_profiles(left: DataFrame, right: DataFrame, l: str, r: str, floor: int, with_plot: bool = True, **wanted) -> DataFrame:
+    """Profile pairs whose score reaches ``floor`` (at least 55), each exactly once; ``wanted``
+    narrows the kinds of meeting to those that can reach it."""
     if floor < C.LINK_MAYBE:
         raise ValueError("the evidence keys are complete only for scores of 55 and more")
-    pairs = _keyed(left, l, 1, True, with_plot).join(_keyed(right, r, 2, False, with_plot), ["cem_id", "kind", "bkey"])
+    kinds = _kinds(with_plot, **wanted)
+    pairs = _keyed(left, l, 1, True, with_plot, kinds).join(_keyed(right, r, 2, False, with_plot, kinds), ["cem_id", "kind", "bkey"])
     # kept apart from the join, where it would be part of one method too long to be compiled
-    pairs = once(pairs.drop("bkey"), {"_first": _first_meeting(l, r, with_plot)}).filter("kind = _first")
+    pairs = once(pairs.drop("bkey"), {"_first": _first_meeting(l, r, kinds)}).filter("kind = _first")
     return once(pairs.drop("kind", "_first"), {"score": score(l, r)}).filter(F.col("score") >= floor)
 
 
@@ -293,7 +307,7 @@ def request_register_fuzzy(request: DataFrame, register: DataFrame) -> DataFrame
     """Best register row by name and years alone (plots never count here): 70 is enough, 58
     with exact names and no year apart by more than three."""
     pairs = scored_profiles(profiles(request, "q", "mid", False), profiles(register, "g", "key", False), "q", "g",
-                            C.REQUEST_RELAXED, with_plot=False).filter("q_sx = g_sx")
+                            C.REQUEST_RELAXED, with_plot=False, initials=False, meets=("sound",)).filter("q_sx = g_sx")
     close = lambda c: (F.col(f"q_{c}") == 0) | (F.col(f"g_{c}") == 0) | (F.abs(F.col(f"q_{c}") - F.col(f"g_{c}")) <= 3)
     exact = (F.col("g_nl") == F.col("q_nl")) & (F.col("q_fr") != "") & \
         ((F.col("g_cf") == F.col("q_cf")) | (F.col("g_fr") == F.col("q_fr")))
@@ -312,9 +326,10 @@ def request_register_unique(request: DataFrame, register: DataFrame, links: Data
     loose = register.join(links.filter("status = 'link'").select("cem_id", "key"), ["cem_id", "key"], "left_anti")
     q = profiles(request.filter("nl <> '' AND cf <> ''"), "q", "mid", False)
     g = profiles(loose, "g", "key", False)
-    pairs = _keyed(q, "q", 1, True, False).join(_keyed(g, "g", 2, False, False), ["cem_id", "kind", "bkey"])
-    sounds = [k for k, (meet, _) in _kinds(False) if meet[0] == "sound"]
-    pairs = pairs.filter((F.col("kind") == _first_meeting("q", "g", False)) & F.col("kind").isin(*sounds))
+    # years that agree, or none to compare: what meets by first name alone has years that don't clash
+    kinds = _kinds(False, initials=False, meets=("sound",))
+    pairs = _keyed(q, "q", 1, True, False, kinds).join(_keyed(g, "g", 2, False, False, kinds), ["cem_id", "kind", "bkey"])
+    pairs = pairs.filter(F.col("kind") == _first_meeting("q", "g", kinds))
     same = lambda c: F.col(f"q_{c}") == F.col(f"g_{c}")
     last = same("nl") | (F.levenshtein("q_nl", "g_nl", 2) >= 0)
     first_exact = same("cf")
