@@ -143,6 +143,16 @@ oracle("family_links", """
   SELECT cem_id, mid, kin, count(*) AS n_kin, arg_min(k_mid, k_ord) AS first_kin, case dir when 0 then 'lists' else 'listed_by' end AS direction FROM o_kin_edge GROUP BY cem_id, mid, kin, dir""")
 
 
+@query("family_members")
+def _(t):
+    return fa.family_members(model(t).memorial)
+
+
+oracle("family_members", """
+  WITH p AS (SELECT cem_id, kin, mid, 'bears' AS role FROM o_mem_name WHERE kin <> '' UNION ALL SELECT cem_id, kin, mid, 'lists' FROM o_fam_name)
+  SELECT * FROM p SEMI JOIN (SELECT cem_id, kin FROM p GROUP BY ALL HAVING count(DISTINCT role) = 2) USING (cem_id, kin)""")
+
+
 @query("family_hints")
 def _(t):
     m = model(t)

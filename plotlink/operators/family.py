@@ -44,6 +44,17 @@ def family_links(memorial: DataFrame) -> DataFrame:
     return side(named, listed, "lists").unionByName(side(listed, named, "listed_by"))
 
 
+def family_members(memorial: DataFrame) -> DataFrame:
+    """Who bears and who lists every name that occurs both ways in a cemetery. With the rows of
+    ``family_links`` this holds every relative, without laying out all pairs of a name."""
+    by = ["cem_id", "kin"]
+    bears = _named(memorial).select(*by, "mid", F.lit("bears").alias("role"))
+    lists = _listed(memorial).select(*by, "mid", F.lit("lists").alias("role"))
+    both = bears.unionByName(lists)
+    met = both.groupBy(*by).agg(F.min("role").alias("_lo"), F.max("role").alias("_hi")).filter("_lo < _hi").select(*by)
+    return both.join(met, by)
+
+
 def locatable(memorial: DataFrame, located: DataFrame, gps_acc: int, levels) -> DataFrame:
     """Memorials with a place: their own pin, else their plot's place at one of ``levels``."""
     from plotlink.plans.locate import with_location
