@@ -16,6 +16,8 @@ their sets, so repeated rows share a class, and sets with the same smallest doc_
 document; a null doc_id takes part under the smallest number and stays null in the result; an empty
 table gives no rows."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -236,7 +238,7 @@ def _own_shingles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                 chunk_shingles: int = 1 << 21) -> DataFrame:
+                 chunk_shingles: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links. Two documents
     link when ``den * |intersection| >= num * |union|`` over sets of k-word shingles.
 
@@ -255,7 +257,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     at, place = np.argsort(values), np.arange(len(top), 0, -1)  # the rarest first
     ranks = spark.sparkContext.broadcast((values[at], place[at]))
     nodes = written(prefixes(few, k, num, den, ranks), "prefixes")
-    keyed = nodes.select("node", F.explode("prefix").alias("key"))
+    # sizes of a link differ by den/num at most, so by one class: each set stands in its own and the next
+    own_class = F.floor(F.log("n") / math.log(1.0001 * den / num)).cast("int")
+    keyed = nodes.select("node", F.explode("prefix").alias("key"), F.array(own_class, own_class + 1).alias("c")).select("node", F.explode("c").alias("c"), "key") \
+        .select("node", F.xxhash64("key", "c").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other")
     edges = keyed.join(shared, "key").filter("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     blocks = written(components(edges), "blocks")
