@@ -114,27 +114,32 @@ def _triples(items: DataFrame, g: list[str], cols: list[str], exhaustive: int, d
     return every.unionByName(drawn.select(every.columns))
 
 
-def ransac_affine(pairs: DataFrame, group: list[str] = ("map_id",), inlier_m: float = 13, exhaustive: int = 12, seed: int = 12345) -> DataFrame:
+def ransac_affine(pairs: DataFrame, group: list[str] = ("map_id",), inlier_m: float = 13, exhaustive: int = 12, seed: int = 12345, area: float = 400,
+                  vote: str | None = None, least: int = 4, scales: tuple[float, float] | None = None, draws: int = TRIPLES) -> DataFrame:
     """Best affine by consensus. Hypotheses are exact fits of pair triples: all of them for
     groups of up to ``exhaustive`` pairs, else triples drawn from all pairs, so their number is
-    bounded whatever a group's size. The triple with most inliers (at least four) is refitted on
-    them, widened to every pair it now explains, and refitted once more."""
+    bounded whatever a group's size. The triple with most inliers (at least ``least``) is refitted on
+    them, widened to every pair it now explains, and refitted once more. ``area``: least double
+    area of a triple; ``vote``: the column whose distinct values are counted, else every pair
+    counts; ``scales``: what both axes of a hypothesis may stretch."""
     g = list(group)
     size = pairs.groupBy(*g).agg(F.count("*").alias("_n"))
     p = pairs.join(size, g)
     p = p.withColumn("_i", F.row_number().over(Window.partitionBy(*g).orderBy("ord", "x", "y")))
-    tri = _triples(p, g, ["x", "y", "e", "n"], exhaustive, TRIPLES, seed)
+    tri = _triples(p, g, ["x", "y", "e", "n"], exhaustive, draws, seed)
     det = F.expr("(x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)")
-    tri = tri.withColumn("_det", det).filter(F.abs("_det") >= 400)
+    tri = tri.withColumn("_det", det).filter(F.abs("_det") >= area)
     lin = lambda t: (F.expr(f"({t}1 - {t}0) * (y2 - y0) - ({t}2 - {t}0) * (y1 - y0)") / F.col("_det"),
                      F.expr(f"({t}2 - {t}0) * (x1 - x0) - ({t}1 - {t}0) * (x2 - x0)") / F.col("_det"))
     (a, b), (d, f) = lin("e"), lin("n")
     tri = once(tri, {"a": a, "b": b, "d": d, "f": f})
     tri = tri.withColumns({"c": F.expr("e0 - a * x0 - b * y0"), "g": F.expr("n0 - d * x0 - f * y0")})
+    if scales:
+        tri = tri.filter(F.expr("sqrt(a * a + d * d)").between(*scales) & F.expr("sqrt(b * b + f * f)").between(*scales))
     hyp = tri.select(*g, "_i0", "_i1", "_i2", *T6, F.pmod(F.xxhash64("_i0", "_i1", "_i2"), F.lit(PARTS)).cast("int").alias("_part"))
-    dealt = pairs.select(*g, "x", "y", "e", "n", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    dealt = pairs.select(*g, "x", "y", "e", "n", *([vote] if vote else []), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
     hit = hyp.join(dealt, [*g, "_part"]).filter(residual() <= inlier_m)
-    cnt = hit.groupBy(*g, "_i0", "_i1", "_i2", *T6).agg(F.count("*").alias("_c")).filter("_c >= 4")
+    cnt = hit.groupBy(*g, "_i0", "_i1", "_i2", *T6).agg((F.count_distinct(vote) if vote else F.count("*")).alias("_c")).filter(F.col("_c") >= least)
     best = cnt.groupBy(*g).agg(F.min_by(F.struct(*T6), F.struct(-F.col("_c"), "_i0", "_i1", "_i2")).alias("t")).select(*g, "t.*")
     within = lambda t: pairs.join(t.select(*g, *T6), g).filter(residual() <= inlier_m).drop(*T6)
     first = fit_affine(within(best), g)
@@ -422,10 +427,11 @@ def explain_cells(cells: DataFrame, fitted: DataFrame, register_lots: DataFrame,
         near = pairs.join(t.select("map_id", *T6), "map_id").withColumn("_d", residual()).filter(F.col("_d") < reach)
         return near.groupBy("map_id", "cell").agg(F.min_by(F.struct("x", "y", "e", "n", "w", "ord"), "_d").alias("p")).select("map_id", "p.*")
 
-    fit = ransac_affine(pairs, inlier_m=near_m, seed=seed)
+    # a sheet measured in cells: any triple that isn't in one line, one vote for a cell, at least six
+    fit = ransac_affine(pairs, inlier_m=near_m, seed=seed, area=1e-6, vote="ord", least=6, scales=(0.5, 25), draws=10 * TRIPLES)
     for _ in range(3):
         fit = written(fit, "sheet-fit")
-        again = fit_affine(winners(fit, near_m), least=6).withColumnRenamed("n_pairs", "used")
+        again = fit_affine(winners(fit, near_m - 2), least=6).withColumnRenamed("n_pairs", "used")
         fit = again.select(*fit.columns).unionByName(fit.join(again.select("map_id"), "map_id", "left_anti"))
     placed = cells.join(fit.select("map_id", *T6), "map_id").withColumns({"we": F.expr("a * x + b * y + c"), "wn": F.expr("d * x + f * y + g")}).drop(*T6)
     known = placed.join(fitted.select("map_id", "lot", F.col("e").alias("fe"), F.col("n").alias("fn")), ["map_id", "lot"]) \

@@ -28,18 +28,17 @@ def active(progress: DataFrame) -> DataFrame:
 
 
 def run_merge_stream(changes: DataFrame, out: str, checkpoint: str, ties: str = "incoming") -> DataFrame:
-    """Runs a change stream to its present end. Each micro-batch writes the merged log under
-    its own epoch, so a replayed batch overwrites only itself; the last epoch is the state."""
+    """Runs a change stream to its present end. Each micro-batch writes the graves it changed under
+    its own epoch, so a replayed batch overwrites only itself; a grave's newest epoch is its state."""
 
     def sink(batch: DataFrame, epoch: int):
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch:08d}")
 
-    q = merge_progress(changes, ties).writeStream.outputMode("complete").foreachBatch(sink) \
+    q = merge_progress(changes, ties).writeStream.outputMode("update").foreachBatch(sink) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     log = changes.sparkSession.read.parquet(out)
-    last = log.agg(F.max("epoch").alias("epoch"))
-    return log.join(F.broadcast(last), "epoch").drop("epoch")
+    return log.groupBy("pk").agg(F.max_by(F.struct(*VALUES, "arrival"), "epoch").alias("v")).select("pk", "v.*")
 
 
 def backup_restore(current: DataFrame, backup: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotlink.operators.anchors import anchor_clusters, fit_walk_rows, gps_anchors
 from plotlink.operators.maintain import latest_pins, overlay_field_pins
@@ -32,10 +33,12 @@ def run_refit_stream(pins: DataFrame, refit, out: str, checkpoint: str) -> DataF
     """Each micro-batch logs its pins and refits (``refit``: pins -> results) only the
     cemeteries it touches; a cemetery's newest epoch is its present state."""
     spark = pins.sparkSession
+    # the log lies by epoch and cemetery, so a batch reads only the cemeteries it touches
+    logged = lambda: spark.read.schema(T.StructType([*pins.schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(f"{out}/pins")
 
     def sink(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(f"{out}/pins/epoch={epoch:08d}")
-        log = spark.read.parquet(f"{out}/pins")
+        batch.write.partitionBy("cem_id").mode("overwrite").parquet(f"{out}/pins/epoch={epoch:08d}")
+        log = logged()
         touched = log.filter(F.col("epoch") == epoch).select("cem_id").distinct()
         known = log.filter(F.col("epoch") <= epoch).drop("epoch").join(touched, "cem_id", "left_semi")
         refit(known).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch:08d}")
@@ -43,5 +46,5 @@ def run_refit_stream(pins: DataFrame, refit, out: str, checkpoint: str) -> DataF
     q = pins.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     # a cemetery whose newest refit placed nothing must not fall back on an older one
-    last = spark.read.parquet(f"{out}/pins").groupBy("cem_id").agg(F.max("epoch").alias("epoch"))
+    last = logged().groupBy("cem_id").agg(F.max("epoch").alias("epoch"))
     return spark.read.parquet(f"{out}/state").join(last, ["cem_id", "epoch"]).drop("epoch")

@@ -287,3 +287,49 @@ def test_family_links_ignore_oneself(spark):
     m = mems(spark, [("Ann Lee", "", 0, 0, "", None, None, 0, "Ann Lee|Bo Lee"), ("Bo Lee", "", 0, 0, "", None, None, 0, "")])
     got = sorted((r["mid"], r["kin"], r["n_kin"], r["first_kin"], r["direction"]) for r in family.family_links(m).collect())
     assert got == [(1, "bo lee", 1, 2, "lists"), (2, "bo lee", 1, 1, "listed_by")]
+
+
+def test_pages_of_any_size_keep_their_ordinals_apart(spark):
+    long = "[" + ",".join(f'[{i + 1},"A B"]' for i in range(100_050)) + "]"
+    df = spark.createDataFrame([(1, 0, long), (1, 1, '[[900001,"C D"],[900002,"E F"]]')], "cem_id int, page int, rows string")
+    out = feeds.read_memorial_rows(df)
+    assert out.count() == out.select("ord").distinct().count() == 100_052
+    assert [r["mid"] for r in out.orderBy(F.desc("ord")).limit(2).collect()] == [900002, 900001]
+
+
+def test_consensus_draws_from_all_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        x, y = rng.uniform(0, 900), rng.uniform(0, 900)
+        good = i >= 70  # the true pairs come last, where a prefix would not reach
+        e, n = (0.5 * x - 0.1 * y + 7, 0.1 * x + 0.6 * y - 3) if good else (rng.uniform(-500, 500), rng.uniform(-500, 500))
+        rows.append((1, i, x, y, e, n, 1.0))
+    fit = georef.ransac_affine(spark.createDataFrame(rows, "map_id long, ord long, x double, y double, e double, n double, w double")).first()
+    assert [round(fit[c], 3) for c in "abcdfg"] == [0.5, -0.1, 7.0, 0.1, 0.6, -3.0] and fit["used"] >= 50
+
+
+def test_a_cell_has_one_vote(spark):
+    rows = []
+    for i in range(8):  # eight cells on a unit grid, each with its true place
+        x, y = float(i % 4), float(i // 4)
+        rows.append((1, f"c{i}", x, y, 4 * x + 1, 4 * y + 2))
+    pairs = spark.createDataFrame(rows, "map_id long, cell string, x double, y double, e double, n double").withColumns({"ord": F.xxhash64("cell"), "w": F.lit(1.0)})
+    five = pairs.filter("cell < 'c5'").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("_k")  # 15 pairs, but five cells
+    find = lambda p: georef.ransac_affine(p, inlier_m=1, area=1e-6, vote="ord", least=6, scales=(0.5, 25)).collect()
+    assert find(five) == []
+    assert round(find(pairs)[0]["a"], 6) == 4.0
+
+
+def test_missing_keys_in_runs(spark):
+    cached = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 4, False), (1, 6, True), (2, 3, True)], "register int, key long, miss boolean")
+    bounds = spark.createDataFrame([(1, 7), (2, 3)], "register int, max_key long")
+    got = sorted((r["register"], r["key"]) for r in maintain.missing_keys(cached, bounds, 2).collect())
+    assert got == [(1, 3), (1, 5), (1, 6), (1, 7), (2, 1), (2, 2), (2, 3)]
+
+
+def test_typed_text_is_normalised_before_its_length_counts(spark):
+    mem = spark.createDataFrame([(1, 7, 0, "Mary O'Ster", "mary oster"), (1, 8, 1, "Jay Moss", "jay moss")], "cem_id int, mid long, ord long, name string, sk string")
+    none = spark.createDataFrame([], "cem_id int, key long, ord long, name string, sk string")
+    got = {(r["query"], r["id"]) for r in report.search_burials(mem, none, none.select("cem_id", "key"), ["O'STER", " mary  O", "J.", "moss"]).collect()}
+    assert got == {("O'STER", 7), ("moss", 8), (" mary  O", 7)}
