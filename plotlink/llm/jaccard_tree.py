@@ -177,24 +177,36 @@ def _block_links(members: DataFrame, num: int, den: int, k: int) -> DataFrame:
     return members.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long")
 
 
+def _size_class(num: int, den: int):
+    """Sizes of a link differ by den/num at most, so by one class."""
+    return F.floor(F.log("n") / math.log(1.0001 * den / num)).cast("int")
+
+
 def _linked(base: DataFrame, nodes: DataFrame, blocks: DataFrame, num: int, den: int, k: int, chunk_shingles: int) -> DataFrame:
-    """Links that connect whatever is similar within blocks (node, component)."""
-    sized = blocks.join(nodes.select("node", "n"), "node")
-    total = sized.groupBy("component").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks"))
-    placed = written(blocks.join(total, "component").select(
-        "node", F.col("component").alias("block"), "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("i")), "placed")
-    pivots = placed.filter("node = block and chunks > 1").select("node", "block", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
-    alone = placed.select("node", "block", "i").union(pivots.select("node", "block", "i")).distinct() \
+    """Links that connect whatever is similar within blocks (node, component). A large block's chunks
+    lie within a size class, so only those of the same and the next class can hold links."""
+    sized = blocks.join(nodes.select("node", "n"), "node").withColumn("class", _size_class(num, den))
+    large = sized.groupBy("component").agg(F.sum("n").alias("n")).filter(F.col("n") > chunk_shingles).select("component", F.lit(True).alias("large"))
+    parts = sized.groupBy("component", "class").agg(F.ceil(F.sum("n") / chunk_shingles).cast("long").alias("parts"), F.min("node").alias("pivot"))
+    chunk = F.col("class").cast("long") * (1 << 40)
+    rows = sized.join(large, "component", "left").join(parts, ["component", "class"]).select(
+        "node", F.col("component").alias("block"), F.coalesce("large", F.lit(False)).alias("large"), "class", "parts", "pivot")
+    placed = written(rows.withColumn("i", F.when(F.col("large"), chunk + F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(-1)), "placed")
+    pivots = placed.filter("large and parts > 1 and node = pivot").select("node", "block", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")) \
+        .select("node", "block", (F.col("c") + F.col("p")).alias("i"))
+    alone = placed.select("node", "block", "i").union(pivots).distinct() \
         .select("node", "block", "i", F.lit(-1).alias("j"), F.lit(0).alias("side"), F.col("node").alias("label"))
-    texts = lambda rows: base.join(rows, F.col("doc_id") == F.col("node")).drop("doc_id")
+    texts = lambda members: base.join(members, F.col("doc_id") == F.col("node")).drop("doc_id")
     links = written(_block_links(texts(alone), num, den, k), "links")
-    large = placed.filter("chunks > 1")
-    if large.isEmpty():
+    split = placed.filter("large")
+    if split.isEmpty():
         return links
-    labels = large.join(components(links), "node", "left").select("node", "block", "chunks", "i", F.coalesce("component", "node").alias("label"))
+    labels = split.join(components(links), "node", "left").select("node", "block", "class", "i", F.coalesce("component", "node").alias("label"))
     open_ = labels.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("block")
-    pairs = labels.join(open_, "block").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("x != i") \
-        .select("node", "block", F.least("i", "x").alias("lo"), F.greatest("i", "x").alias("hi"), F.when(F.col("i") < F.col("x"), 1).otherwise(2).alias("side"), "label")
+    chunks = split.select("block", "class", F.col("i").alias("x")).distinct()
+    near = labels.join(open_, "block").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    pairs = near.join(chunks, ["block", "class"]).filter("x <> i").select(
+        "node", "block", F.least("i", "x").alias("lo"), F.greatest("i", "x").alias("hi"), F.when(F.col("i") < F.col("x"), 1).otherwise(2).alias("side"), "label")
     more = _block_links(texts(pairs.withColumnsRenamed({"lo": "i", "hi": "j"})), num, den, k)
     return links.union(written(more, "links"))
 
@@ -257,8 +269,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     at, place = np.argsort(values), np.arange(len(top), 0, -1)  # the rarest first
     ranks = spark.sparkContext.broadcast((values[at], place[at]))
     nodes = written(prefixes(few, k, num, den, ranks), "prefixes")
-    # sizes of a link differ by den/num at most, so by one class: each set stands in its own and the next
-    own_class = F.floor(F.log("n") / math.log(1.0001 * den / num)).cast("int")
+    own_class = _size_class(num, den)  # each set stands in its own and the next, where the larger of a link is
     keyed = nodes.select("node", F.explode("prefix").alias("key"), F.array(own_class, own_class + 1).alias("c")).select("node", F.explode("c").alias("c"), "key") \
         .select("node", F.xxhash64("key", "c").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other")
