@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, grid: i
     def run(frames):
         from pyspark import TaskContext
 
-        encoder, part, ranks = per_worker(f"encoder:{tokenizer_path}:{ranks}", lambda: Encoder(tokenizer_path, ranks)), TaskContext.get().partitionId(), {}
+        encoder, part, numbers = per_worker(f"encoder:{tokenizer_path}:{ranks}", lambda: Encoder(tokenizer_path, ranks)), TaskContext.get().partitionId(), {}
         for pdf in pages(frames):
             rows = []
             for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
@@ -66,8 +66,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, grid: i
                 for at in range(0, len(ids), step):
                     cut = ids[at:at + step]
                     kind = 0 if len(cut) == step else -(-len(cut) // (4 * grid))
-                    rank = ranks.get(kind, 0)
-                    ranks[kind] = rank + 1
+                    rank = numbers.get(kind, 0)
+                    numbers[kind] = rank + 1
                     rows.append((doc, at // 4, len(cut) // 4, zlib.crc32(cut), len(ids) // 4, kind, part, rank))
             yield pd.DataFrame(rows, columns="doc_id start length ids_crc32 doc_tokens kind part rank".split()).astype({"doc_id": "Int64"})
 
