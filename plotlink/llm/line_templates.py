@@ -4,9 +4,13 @@ A line is parsed to a fixed depth: its number of tokens, then its leading tokens
 hold a digit as a variable field. Below stand its templates: the line with those fields open, and
 for each quarter of its further tokens the line with that quarter open as well, so lines that differ
 in one field of words still meet. A template recurs when documents of many different makings hold
-it; copies and near copies count as one making, known by the smallest word hash outside the line. A
-template with an open quarter also needs several fillings. Lines of recurring templates are dropped
-wherever they stand.
+it; copies and near copies count as one making, known by smallest word hashes outside the line. There
+are two ways to show it. In small groups the distinct values of one hash are compared with the
+texts. They run out in large groups, so there the values of three hashes together make a class, and
+the effective number of classes (texts squared over the sum of squared class sizes) is compared with
+a fixed number: near copies fall into one large class however many they are, texts of their own into
+ever more. A template with an open quarter also needs several fillings. Lines of recurring templates
+are dropped wherever they stand.
 
 Defined cases: lines without a token are kept and never counted; a null text is empty; repeated rows
 count once and are judged alike; a null doc_id counts like any other; an empty table gives no rows."""
@@ -14,13 +18,16 @@ count once and are judged alike; a null doc_id counts like any other; an empty t
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.llm.common import free, id_and_text, pages, written
+from plotlink.llm.common import BASE, MIX1, MIX2, as_long, free, id_and_text, mixed, pages, written
 
 LEAD, BANDS = 2, 4
+#: The hashes of a making: crc32 as it is, and mixed with these.
+SALTS = (MIX1, MIX2)
 FIELD = b"<*>"
 _DIGIT = re.compile(rb"\d")
 _NULL_ID = -(1 << 63)
@@ -42,43 +49,66 @@ def keys_of(tokens: list) -> tuple:
     return leaf, whole
 
 
+def makings(crcs: list, starts: list) -> tuple:
+    """(maker, making) of each line: the smallest crc32 of the words of the other lines, and one hash of
+    that and the smallest mixed values; 0 where there is no other line. ``starts``: of lines in ``crcs``."""
+    if len(starts) < 2:
+        return np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    crc = np.array(crcs, np.uint64)
+    making = np.zeros(len(starts), np.uint64)
+    for salt in (None, *SALTS):
+        least = np.minimum.reduceat(crc if salt is None else mixed(crc + np.uint64(salt)), starts)
+        first = int(np.argmin(least))
+        others = np.full(len(starts), least[first])
+        others[first] = np.delete(least, first).min()
+        if salt is None:
+            maker = as_long(others)
+        with np.errstate(over="ignore"):
+            making = mixed(making * np.uint64(BASE) + others)
+    return maker, as_long(making)
+
+
 def parsed(docs: DataFrame) -> DataFrame:
-    """One row for each line with a token: doc_id, crc of the text, line, leaf, maker and templates."""
+    """One row for each line with a token: doc_id, crc of the text, line, leaf, maker, making, templates."""
     def run(frames):
         for pdf in pages(frames, 128):
             rows = []
             for doc, crc, text in zip(pdf["doc_id"], pdf["crc"], pdf["text"]):
-                lines = []
+                lines, crcs, starts = [], [], []
                 for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
                     tokens = line.split()
                     if tokens:
-                        least = min(map(zlib.crc32, tokens))
+                        starts.append(len(crcs))
+                        crcs.extend(map(zlib.crc32, tokens))
                         if _DIGIT.search(line):
                             tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
-                        lines.append((i, least, tokens))
-                order = sorted((x[1], x[0]) for x in lines)[:2]
-                for i, _, tokens in lines:
-                    maker = next((least for least, j in order if j != i), 0)
+                        lines.append((i, tokens))
+                for (i, tokens), maker, making in zip(lines, *map(np.ndarray.tolist, makings(crcs, starts))):
                     leaf, templates = keys_of(tokens)
-                    rows.append((doc, crc, i, leaf - (1 << 63), maker, [t - (1 << 63) for t in templates]))
-            yield pd.DataFrame(rows, columns="doc_id crc line leaf maker templates".split())
+                    rows.append((doc, crc, i, leaf - (1 << 63), maker, making, [t - (1 << 63) for t in templates]))
+            yield pd.DataFrame(rows, columns="doc_id crc line leaf maker making templates".split())
 
-    return docs.mapInPandas(run, "doc_id long, crc long, line int, leaf long, maker long, templates array<long>")
+    return docs.mapInPandas(run, "doc_id long, crc long, line int, leaf long, maker long, making long, templates array<long>")
 
 
 def recurring(lines: DataFrame, least: int, share: float, fillings: int) -> DataFrame:
     """doc_id, crc and the numbers of the lines whose template recurs."""
-    leaves = lines.select("leaf", "maker").distinct().groupBy("leaf").agg(F.count("*").alias("makers")).filter(F.col("makers") >= least).select("leaf")
-    below = written(lines.join(leaves, "leaf").select("doc_id", "crc", "line", "maker", F.col("templates")[0].alias("whole"), F.posexplode("templates").alias("band", "template")), "below")
+    leaves = lines.select("leaf", "making").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
+    below = written(lines.join(leaves, "leaf").select("doc_id", "crc", "line", "maker", "making", F.col("templates")[0].alias("whole"), F.posexplode("templates").alias("band", "template")), "below")
     counted = below.groupBy("template", "band").agg(F.countDistinct("maker").alias("makers"), F.countDistinct("crc").alias("texts"), F.countDistinct("whole").alias("fillings"))
-    often = counted.filter((F.col("makers") >= least) & (F.col("makers") >= share * F.col("texts")) & ((F.col("band") == 0) | (F.col("fillings") >= fillings)))
+    # every text in one class of its making
+    classes = below.groupBy("template", "band", "crc").agg(F.min("making").alias("making")).groupBy("template", "band", "making").agg(F.count("*").cast("double").alias("size"))
+    spread = classes.groupBy("template", "band").agg((F.pow(F.sum("size"), 2) / F.sum(F.col("size") * F.col("size"))).alias("effective"))
+    small = (F.col("makers") >= least) & (F.col("makers") >= share * F.col("texts"))
+    often = counted.join(spread, ["template", "band"]).filter((small | (F.col("effective") >= least)) & ((F.col("band") == 0) | (F.col("fillings") >= fillings)))
     gone = below.select("doc_id", "crc", "line", "template", "band").join(often.select("template", "band"), ["template", "band"])
     return gone.groupBy("doc_id", "crc").agg(F.collect_set("line").alias("gone"))
 
 
 def dropped_lines(docs: DataFrame, least: int = 10, share: float = 0.3, fillings: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, crc and the line numbers to drop. ``least``: makings that a template needs; ``share``:
-    of the different texts that hold it, how many must differ in making."""
+    of the different texts that hold it, how many must differ in making, unless its effective number
+    of makings is ``least``."""
     base = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", _crc("text").alias("crc"))
     return recurring(written(parsed(base), "lines"), least, share, fillings)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 
@@ -250,6 +251,22 @@ def test_recurring_templates_go_and_copies_stay(spark):
     assert all(r.n_dropped == 0 for d, r in got.items() if d >= 1000)
 
 
+def test_a_line_of_very_many_texts_recurs_and_many_near_copies_stay(spark):
+    draw = random.Random(7)
+    words = [f"word{i}" for i in range(120)]
+    text = lambda: "\n".join(" ".join(draw.sample(words, 10)) for _ in range(2))
+    rows = [(i, text() + "\nAll rights to this page belong to its owner", "en", "s", 0) for i in range(600)]
+    near = [f"part{i}" for i in range(60)]
+    for i in range(600):
+        own = list(near)
+        for j in draw.sample(range(60), 3):
+            own[j] = f"edit{i}x{j}"
+        rows.append((10_000 + i, "\n".join(" ".join(own[k:k + 12]) for k in range(0, 60, 12)), "en", "s", 0))
+    got = {r.doc_id: r for r in line_templates.line_dedup(spark.createDataFrame(rows, cases.DOCUMENTS)).collect()}
+    assert all("All rights" not in got[i].text for i in range(600))
+    assert all(r.n_dropped == 0 for d, r in got.items() if d >= 10_000)
+
+
 def test_line_templates_of_odd_rows(spark):
     docs = cases.documents(spark, extra=True)
     got = line_templates.line_dedup(docs).collect()
