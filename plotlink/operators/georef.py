@@ -94,6 +94,8 @@ TRIPLES = 4000
 DRAWS, PRIME = (48271, 69621, 39373), 2147483647
 #: Parts into which the hypotheses of a group are dealt when they meet its pairs.
 PARTS = 8
+#: The same for the triples of a page's seeds.
+SEED_PARTS = 32
 
 
 def _drawn(corner: int, seed: int) -> Column:
@@ -347,14 +349,19 @@ def fit_similarity(pairs: DataFrame, group: list[str] = ("map_id",)) -> DataFram
     g = pairs.groupBy(*group).agg(
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("e").alias("me"), F.avg("n").alias("mn"),
         (F.covar_pop("x", "e") + F.covar_pop("y", "n")).alias("_p"), (F.covar_pop("x", "n") - F.covar_pop("y", "e")).alias("_q"), (F.var_pop("x") + F.var_pop("y")).alias("_v"))
-    g = g.filter("_v > 1e-9").withColumns({"sc": F.expr("_p / _v"), "ss": F.expr("_q / _v")})
+    return _similarity(g, list(group))
+
+
+def _similarity(g: DataFrame, group: list[str], n: int = 1) -> DataFrame:
+    """Fits from means and the centred sums ``_p``, ``_q`` and ``_v`` of ``n`` times the mean square."""
+    g = g.filter(F.col("_v") > 1e-9 * n).withColumns({"sc": F.expr("_p / _v"), "ss": F.expr("_q / _v")})
     g = g.filter(F.sqrt(F.expr("sc * sc + ss * ss")).between(0.1, 3))
     return g.select(*group, F.col("sc").alias("a"), (-F.col("ss")).alias("b"), F.expr("me - sc * mx + ss * my").alias("c"), F.col("ss").alias("d"),
                     F.col("sc").alias("f"), F.expr("mn - ss * mx - sc * my").alias("g"))
 
 
-def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: DataFrame, reach: float = 40, min_cluster: int = 25, rounds: int = 3, seed: int = 12345) -> DataFrame:
-    """Global placement of a page: big clusters that could be pinned blocks are seeds, seed
+def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: DataFrame, reach: float = 40, min_cluster: int = 25, rounds: int = 3) -> DataFrame:
+    """Global placement of a page: big clusters that could be pinned blocks are seeds, all seed
     triples give similarity hypotheses (small rotation, plausible scale), and the one that
     explains most labels over at least five blocks wins, refined on what it explains.
     ``centroids``: map_id, block, e, n."""
@@ -369,19 +376,24 @@ def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: Data
     scale0 = span(centroids, "e", "n", "_se").join(span(big, "cx", "cy", "_sp"), "map_id").select("map_id", F.try_divide("_se", "_sp").alias("scale0"))
     of_page = Window.partitionBy("map_id")
     numbered = seeds.withColumns({"_i": F.row_number().over(of_page.orderBy(F.desc("size"), "cluster", "block")), "_n": F.count("*").over(of_page)})
-    tri = _triples(numbered, ["map_id"], ["cluster", "block", "x", "y", "e", "n"], 64, 10 * TRIPLES, seed).filter(
-        "cluster0 <> cluster1 AND block0 <> block1 AND cluster2 <> cluster0 AND cluster2 <> cluster1 AND block2 <> block0 AND block2 <> block1")
+    # every triple, dealt by its first seed
+    dealt = numbered.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SEED_PARTS - 1))))
+    side = lambda df, s: df.select("map_id", "_part", *[F.col(c).alias(f"{c}{s}") for c in ("_i", "cluster", "block", "x", "y", "e", "n")])
+    tri = side(numbered.withColumn("_part", F.col("_i") % SEED_PARTS), 0).join(side(dealt, 1), ["map_id", "_part"]).filter("_i0 < _i1 AND cluster0 <> cluster1 AND block0 <> block1") \
+        .join(side(dealt, 2), ["map_id", "_part"]).filter("_i1 < _i2 AND cluster2 <> cluster0 AND cluster2 <> cluster1 AND block2 <> block0 AND block2 <> block1")
     h = ["map_id", "_i0", "_i1", "_i2"]
-    pts = tri.select(*h, F.explode(F.array(*[F.struct(*[F.col(f"{c}{s}").alias(c) for c in ("x", "y", "e", "n")]) for s in (0, 1, 2)])).alias("p")).select(*h, "p.*")
-    hyp = fit_similarity(pts, h).join(scale0, "map_id")
+    tri = once(tri, {f"m{c}": F.expr(f"({c}0 + {c}1 + {c}2) / 3") for c in "xyen"})
+    of = lambda term: sum((F.expr(term.replace("#", i)) for i in "012"), F.lit(0.0))
+    tri = once(tri, {"_p": of("(x# - mx) * (e# - me) + (y# - my) * (n# - mn)"), "_q": of("(x# - mx) * (n# - mn) - (y# - my) * (e# - me)"), "_v": of("pow(x# - mx, 2) + pow(y# - my, 2)")})
+    hyp = _similarity(tri, [*h, "_part"], 3).join(scale0, "map_id")
     sc = F.sqrt(F.expr("a * a + d * d"))
     hyp = hyp.filter(sc.between(F.col("scale0") * 0.55, F.col("scale0") * 1.8) & (F.abs(F.degrees(F.atan2("d", "a"))) <= 12)).drop("scale0")
 
-    def explain(t, keys):
-        hit = t.join(seeds, "map_id").withColumn("dist", residual()).filter(F.col("dist") <= reach)
+    def explain(t, keys, seeds=seeds, on=("map_id",)):
+        hit = t.join(seeds, list(on)).withColumn("dist", residual()).filter(F.col("dist") <= reach)
         return hit.groupBy(*keys, *T6, "cluster").agg(F.min_by(F.struct("block", "size", "x", "y", "e", "n"), F.struct("dist", "block")).alias("s"))
 
-    won = explain(hyp, h).groupBy(*h, *T6).agg(F.count_distinct("s.block").alias("n_blocks"), F.sum("s.size").alias("score")).filter("n_blocks >= 5")
+    won = explain(hyp, h, dealt.select(*seeds.columns, "_part"), ("map_id", "_part")).groupBy(*h, *T6).agg(F.count_distinct("s.block").alias("n_blocks"), F.sum("s.size").alias("score")).filter("n_blocks >= 5")
     best = won.groupBy("map_id").agg(F.min_by(F.struct(*T6, "n_blocks", "score"), F.struct(-F.col("score"), "_i0", "_i1", "_i2")).alias("t")).select("map_id", "t.*")
     for _ in range(rounds):
         best = written(best, "similarity")

@@ -333,3 +333,18 @@ def test_typed_text_is_normalised_before_its_length_counts(spark):
     none = spark.createDataFrame([], "cem_id int, key long, ord long, name string, sk string")
     got = {(r["query"], r["id"]) for r in report.search_burials(mem, none, none.select("cem_id", "key"), ["O'STER", " mary  O", "J.", "moss"]).collect()}
     assert got == {("O'STER", 7), ("moss", 8), (" mary  O", 7)}
+
+
+def test_a_page_of_many_seeds_is_placed_by_its_few_true_ones(spark):
+    rng = random.Random(1)
+    true, clusters, dom, cent = (0, 1, 2, 3, 9), [], [], []
+    for b in range(12):
+        e, n = rng.uniform(0, 9000), rng.uniform(0, 9000)
+        bx, by = (2 * e - 100, 2 * n + 60) if b in true else (rng.uniform(0, 18000), rng.uniform(0, 18000))
+        clusters += [(1, b, str(i), i, bx, by, 6, 5, bx, by) for i in range(6)]
+        dom += [(1, f"B{b:02d}", i) for i in range(6)]
+        cent.append((1, f"B{b:02d}", e, n))
+    got = georef.similarity_consensus(
+        spark.createDataFrame(clusters, "map_id long, cluster long, s string, num long, x double, y double, size long, max_num long, cx double, cy double"),
+        spark.createDataFrame(dom, "map_id long, block string, num long"), spark.createDataFrame(cent, "map_id long, block string, e double, n double"), min_cluster=5).collect()
+    assert len(got) == 1 and got[0]["n_blocks"] >= 5 and abs(got[0]["a"] - 0.5) < 1e-6 and abs(got[0]["c"] - 50) < 1e-3 and abs(got[0]["g"] + 30) < 1e-3
