@@ -116,7 +116,7 @@ def _triples(items: DataFrame, g: list[str], cols: list[str], exhaustive: int, d
     return every.unionByName(drawn.select(every.columns))
 
 
-def ransac_affine(pairs: DataFrame, group: list[str] = ("map_id",), inlier_m: float = 13, exhaustive: int = 12, seed: int = 12345, area: float = 400,
+def ransac_affine(pairs: DataFrame, group: list[str] = ("map_id",), inlier_m: float = 13, exhaustive: int = 26, seed: int = 12345, area: float = 400,
                   vote: str | None = None, least: int = 4, scales: tuple[float, float] | None = None, draws: int = TRIPLES) -> DataFrame:
     """Best affine by consensus. Hypotheses are exact fits of pair triples: all of them for
     groups of up to ``exhaustive`` pairs, else triples drawn from all pairs, so their number is

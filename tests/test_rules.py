@@ -348,3 +348,14 @@ def test_a_page_of_many_seeds_is_placed_by_its_few_true_ones(spark):
         spark.createDataFrame(clusters, "map_id long, cluster long, s string, num long, x double, y double, size long, max_num long, cx double, cy double"),
         spark.createDataFrame(dom, "map_id long, block string, num long"), spark.createDataFrame(cent, "map_id long, block string, e double, n double"), min_cluster=5).collect()
     assert len(got) == 1 and got[0]["n_blocks"] >= 5 and abs(got[0]["a"] - 0.5) < 1e-6 and abs(got[0]["c"] - 50) < 1e-3 and abs(got[0]["g"] + 30) < 1e-3
+
+
+def test_groups_of_up_to_26_pairs_are_searched_exhaustively(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(26):  # four true pairs, of which no draw holds three
+        x, y = rng.uniform(0, 900), rng.uniform(0, 900)
+        e, n = (0.5 * x - 0.1 * y + 7, 0.1 * x + 0.6 * y - 3) if i + 1 in (1, 4, 12, 20) else (rng.uniform(-50_000, 50_000), rng.uniform(-50_000, 50_000))
+        rows.append((1, i, x, y, e, n, 1.0))
+    fits = georef.ransac_affine(spark.createDataFrame(rows, "map_id long, ord long, x double, y double, e double, n double, w double")).collect()
+    assert [[round(f[c], 3) for c in "abcdfg"] for f in fits] == [[0.5, -0.1, 7.0, 0.1, 0.6, -3.0]] and fits[0]["used"] == 4
