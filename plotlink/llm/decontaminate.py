@@ -8,8 +8,11 @@ so short items are found in documents of any length. Candidates are verified by
 
 Defined cases: a text without words contains nothing; an item of under five words is one shingle, its
 whole sequence, found in documents that equal it; an item without words matches nothing; repeated
-rows of documents give a row each time, counted once; rows without an id take part with a null id; an
-empty table on either side gives no rows. A-Z is compared in lower case."""
+rows of documents or items count once; items of one id, or without an id, whose texts differ stay
+apart and give a row each; rows without an id take part with a null id; an empty
+table on either side gives no rows. A-Z is compared in lower case."""
+
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,8 @@ FILTER_BITS = 1 << 22
 
 
 def item_sketches(items: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """item_id, n, part (power of two of the size), shingle, probe: whether it is in the sketch."""
+    """item_id, item (hash of the shingle set), n, part (power of two of the size), shingle, probe:
+    whether it is in the sketch. Of items with one id and one set, one is given."""
     def run(frames):
         for pdf in pages(frames):
             rows = []
@@ -36,11 +40,11 @@ def item_sketches(items: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     sketch = np.argsort(mixed(s), kind="stable")[:take]
                     probe = np.zeros(len(s), bool)
                     probe[sketch] = True
-                    rows.append(pd.DataFrame({"item_id": item, "n": len(s), "part": part, "shingle": as_long(s), "probe": probe}))
+                    rows.append(pd.DataFrame({"item_id": item, "item": hashlib.sha256(s.tobytes()).digest()[:16], "n": len(s), "part": part, "shingle": as_long(s), "probe": probe}))
             if rows:
                 yield pd.concat(rows).astype({"item_id": "Int64"})
 
-    return items.mapInPandas(run, "item_id long, n int, part int, shingle long, probe boolean")
+    return items.mapInPandas(run, "item_id long, item binary, n int, part int, shingle long, probe boolean").distinct()
 
 
 def _filter(sketches: DataFrame) -> tuple:
@@ -99,11 +103,11 @@ def contamination(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80,
     known = spark.sparkContext.broadcast(_filter(sketches))
     base = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "text", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
     hits = written(doc_hits(base, k, known).distinct(), "hits")
-    met = hits.join(sketches, "shingle").groupBy("doc_id", "crc", "item_id", "n").agg(
+    met = hits.join(sketches, "shingle").groupBy("doc_id", "crc", "item_id", "item", "n").agg(
         F.count("*").alias("n_shared"), F.max(F.col("low") & F.col("probe")).alias("found"))
     sure = met.filter(F.col("found") & (F.col("n_shared") * den >= F.col("n") * num))
-    return sure.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max(F.col("n").cast("long")).alias("n_item")).select(
-        F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id"), "item_id", "n_shared", "n_item")
+    return sure.groupBy("doc_id", "item_id", "item", "n").agg(F.max("n_shared").alias("n_shared")).select(
+        F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id"), "item_id", "n_shared", F.col("n").cast("long").alias("n_item"))
 
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

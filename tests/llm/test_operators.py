@@ -190,6 +190,15 @@ def test_contamination_of_odd_rows(spark):
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_repeated_items_count_once_and_items_of_one_id_stay_apart(spark):
+    ws = [f"w{i}" for i in range(54)]  # 50 shingles
+    docs = spark.createDataFrame([(1, " ".join(ws[:24] + [f"x{i}" for i in range(30)]), "en", "s", 0), (2, " ".join(ws[:49]), "en", "s", 0)], cases.DOCUMENTS)  # 20 and 45 of them
+    other = " ".join(ws[:5] + ws[10:15] + [f"v{i}" for i in range(44)])  # 2 of document 2's, as many in all
+    items = spark.createDataFrame([(7, " ".join(ws)), (7, " ".join(ws)), (7, other), (None, " ".join(ws)), (None, " ".join(ws)), (None, other), (None, " ".join(ws[:49]))], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.contamination(docs, items.repartition(3)).collect()), key=str)
+    assert got == [(2, 7, 45, 50), (2, None, 45, 45), (2, None, 45, 50)]
+
+
 # 6 quality rules
 
 
