@@ -2,9 +2,13 @@
 
 Rules compare counts of a text with a cutoff. A labelled half selects which cutoffs help; on the
 other half, held out, an exact binomial tail shows for each stratum, rule and cutoff that at most
-``risk`` of the good documents are rejected, at a level divided by the number of such tests
-(Bonferroni), so all guarantees hold together with probability 1 - ``level``. Of the cutoffs that
-pass, a stratum takes the one that rejects most bad documents; a rule without such a cutoff is off.
+``risk`` of the good documents are rejected. The cutoffs of a rule reject nested sets, so they are
+tested in a fixed sequence, the loosest first, at one level; it is divided by the number of strata and
+rules for which the first half finds a cutoff of use (Bonferroni), so all guarantees hold together
+with probability 1 - ``level``. Of the cutoffs that pass, a stratum takes the one that rejects most bad
+documents; a rule without such a cutoff is off. Strata with too few held-out good labels to pass for
+themselves (``least_labels``) are judged as one: their bound is for the good documents of all of
+them together, not for each.
 
 Defined cases: a null or empty text has no words and fails the base; a null stratum is a stratum; a
 document with conflicting labels counts by its lowest; labels without document, null ids and null
@@ -92,6 +96,11 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
+def least_labels(n_tests: int, risk: float, level: float) -> int:
+    """Held-out good labels, none of them rejected, that ``n_tests`` tests at ``level`` need."""
+    return math.ceil(math.log(level / max(n_tests, 1)) / math.log1p(-risk))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, benefit: float = 0.9,
                label_id: str = "doc_id", label: str = "quality") -> DataFrame:
     """stratum, rule, cutoff and what it was chosen by. Everything per document stays in Spark; what
@@ -104,18 +113,23 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, level
     counts = rows.select("stratum", "good", held.alias("held"), F.inline(tests)).groupBy("stratum", "rule", "cutoff", "strict").agg(
         F.count_if(F.col("held") & (F.col("good") == 1)).alias("n"), F.count_if(F.col("held") & (F.col("good") == 1) & F.col("rejected")).alias("k"),
         F.count_if(~F.col("held") & (F.col("good") == 1) & F.col("rejected")).alias("good_out"), F.count_if(~F.col("held") & (F.col("good") == 0) & F.col("rejected")).alias("bad_out"))
-    n_tests = rows.select("stratum").distinct().count() * sum(len(r[4]) for r in RULES.values())
+    counts = written(counts, "counts")
+    need = least_labels(counts.select("stratum").distinct().count() * len(RULES), risk, level)
+    counts = counts.withColumn("judge", F.when(F.col("n") < need, "pool").when(F.col("stratum").isNull(), "null").otherwise(F.concat(F.lit("="), "stratum")))
+    judges = counts.groupBy("judge", "rule", "cutoff", "strict").agg(*[F.sum(c).alias(c) for c in ("n", "k", "good_out", "bad_out")])
+    of_use = judges.filter((F.col("bad_out") > 0) & (F.col("bad_out") >= benefit * (F.col("bad_out") + F.col("good_out"))))
+    n_tests = of_use.select("judge", "rule").distinct().count()
 
     def bound(frames):
         for pdf in frames:
             yield pdf.assign(p=[tail(int(k), int(n), risk) if n else 1.0 for k, n in zip(pdf["k"], pdf["n"])])
 
-    fields = "stratum string, rule string, cutoff int, strict int, n long, k long, good_out long, bad_out long"
-    tested = counts.mapInPandas(bound, fields + ", p double")
-    fit = tested.filter((F.col("p") <= level / max(n_tests, 1)) & (F.col("bad_out") > 0)
-                        & (F.col("bad_out") >= benefit * (F.col("bad_out") + F.col("good_out"))))
-    best = fit.groupBy("stratum", "rule").agg(F.max(F.struct("bad_out", F.col("strict") * -1, "cutoff", "n", "k", "p")).alias("b"))
-    return best.select("stratum", "rule", "b.cutoff", "b.bad_out", "b.n", "b.k", "b.p")
+    fields = "judge string, rule string, cutoff int, strict int, n long, k long, good_out long, bad_out long"
+    # the p values of a rule rise with the strictness: those within the level are the sequence up to its first failure
+    fit = of_use.mapInPandas(bound, fields + ", p double").filter(F.col("p") <= level / max(n_tests, 1))
+    best = fit.groupBy("judge", "rule").agg(F.max(F.struct("bad_out", F.col("strict") * -1, "cutoff", "n", "k", "p")).alias("b"))
+    return counts.select("stratum", "judge").distinct().join(best, "judge").select(
+        "stratum", "rule", "b.cutoff", "b.bad_out", "b.n", "b.k", "b.p", (F.col("judge") == "pool").alias("pooled"))
 
 
 def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:

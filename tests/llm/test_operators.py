@@ -238,6 +238,15 @@ def test_thresholds_hold_the_risk_and_find_bad_documents(spark):
     assert few.filter("kept").count() == 6200
 
 
+def test_strata_of_few_labels_are_judged_together(spark):
+    langs = ["de", "fr", None]
+    good = [(i, f"plain words of text number {i} that nobody would ever want to reject here today", langs[i % 3], "s", 0) for i in range(1800)]
+    bad = [(10_000 + i, f"buy ### $$$ %%% now {i} *** &&& ||| cheap <<< >>> offer for you all today", langs[i % 3], "s", 0) for i in range(150)]
+    docs = spark.createDataFrame(good + bad, cases.DOCUMENTS)
+    out = quality_rules.quality(docs, spark.createDataFrame([(d[0], int(d[0] < 10_000)) for d in good + bad], "doc_id long, quality int")).cache()
+    assert out.filter("doc_id >= 10000 and kept").count() == 0 and out.filter("doc_id < 10000 and not kept").count() == 0
+
+
 def test_quality_of_odd_rows(spark):
     docs = cases.documents(spark)
     none = spark.createDataFrame([(None, 1), (3, None), (999, 0)], "doc_id long, quality int")
