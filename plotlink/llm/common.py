@@ -84,10 +84,28 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The documents, all columns, whose id is not in the one column of ``ids``."""
-    name = free(docs, "_gone")
-    return docs.join(ids.toDF(name).distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+def text_hash(text: Column) -> Column:
+    """What tells the texts of one id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+    """The documents, all columns, whose ``keys`` are no row of ``gone``, which has a column for each; nulls are equal."""
+    names = [free(docs, f"_gone{i}_") for i in range(len(keys))]
+    on = [key.eqNullSafe(F.col(name)) for key, name in zip(keys, names)]
+    return docs.join(gone.toDF(*names).distinct(), on, "left_anti")
+
+
+def numbered(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with a column ``name``: the id, or where it is null or stands for several texts, a number of
+    its own behind all ids for each of them, so that no row goes for another's text."""
+    key, h = F.col(id_col).cast("long"), text_hash(F.col(text_col))
+    several = written(docs.select(key.alias("id"), h.alias("h")).groupBy("id").agg((F.min("h") != F.max("h")).alias("x")).filter("id is null or x").select("id"), "several")
+    odd = free(docs, "_several")
+    rows = docs.join(several.withColumnRenamed("id", odd).filter(f"{odd} is not null"), key == F.col(odd), "left")
+    # the highest bits mark such numbers; ids that are as large count as numbers themselves
+    own = F.xxhash64(key, h).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(3 << 61))
+    return rows.withColumn(name, F.when(key.isNull() | F.col(odd).isNotNull(), own).otherwise(key)).drop(odd)
 
 
 def same(a: Column, b: Column) -> Column:
