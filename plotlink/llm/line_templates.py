@@ -13,95 +13,141 @@ ever more. A template with an open quarter also needs several fillings. Lines of
 are dropped wherever they stand.
 
 Defined cases: lines without a token are kept and never counted; a null text is empty; repeated rows
-count once and are judged alike; a null doc_id counts like any other; an empty table gives no rows."""
-
-import re
-import zlib
+count once and are judged alike; a null doc_id counts like any other; an empty table gives no rows. Words
+and templates are told apart by 64-bit hashes, texts by doc_id and crc32."""
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotlink.llm.common import BASE, MIX1, MIX2, as_long, free, id_and_text, mixed, pages, written
+from plotlink.llm.common import BASE, MIX1, MIX2, as_long, free, id_and_text, mixed, pages, word_hashes, written
 
 LEAD, BANDS = 2, 4
-#: The hashes of a making: crc32 as it is, and mixed with these.
+#: The hashes of a making: a word's hash as it is, and mixed with these.
 SALTS = (MIX1, MIX2)
-FIELD = b"<*>"
-_DIGIT = re.compile(rb"\d")
+#: What stands for a token with a digit, and for a token that a line lacks.
+FIELD, NONE = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"<*>", b""))
+#: Bytes of text that are parsed at once; a longer text is parsed by itself.
+PAGE = 1 << 22
 _NULL_ID = -(1 << 63)
-
-
-def keys_of(tokens: list) -> tuple:
-    """(leaf, templates): hashes of the node of the tree and of the templates below it."""
-    import xxhash
-
-    h, n = xxhash.xxh64_intdigest, len(tokens)
-    leaf = h(b"%d " % n + b" ".join(tokens[:LEAD]))
-    whole = [h(b" ".join(tokens))]
-    rest = tokens[LEAD:]
-    if len(rest) >= BANDS:
-        cut = [len(rest) * b // BANDS for b in range(BANDS + 1)]
-        parts = [h(b" ".join(rest[cut[b]:cut[b + 1]])) for b in range(BANDS)]
-        for b in range(BANDS):
-            whole.append(h(b"%d %d " % (leaf, b) + b" ".join(b"%d" % p for i, p in enumerate(parts) if i != b)))
-    return leaf, whole
-
-
-def makings(crcs: list, starts: list) -> tuple:
-    """(maker, making) of each line: the smallest crc32 of the words of the other lines, and one hash of
-    that and the smallest mixed values; 0 where there is no other line. ``starts``: of lines in ``crcs``."""
-    if len(starts) < 2:
-        return np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    crc = np.array(crcs, np.uint64)
-    making = np.zeros(len(starts), np.uint64)
-    for salt in (None, *SALTS):
-        least = np.minimum.reduceat(crc if salt is None else mixed(crc + np.uint64(salt)), starts)
-        first = int(np.argmin(least))
-        others = np.full(len(starts), least[first])
-        others[first] = np.delete(least, first).min()
-        if salt is None:
-            maker = as_long(others)
-        with np.errstate(over="ignore"):
-            making = mixed(making * np.uint64(BASE) + others)
-    return maker, as_long(making)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_DIGIT = np.isin(np.arange(256), np.arange(48, 58))
+
+
+def others(least: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each line the smallest value of the other lines of its text; ``text`` numbers the texts of the lines,
+    ``first`` is each text's first line. A line that is its text's only one gets the largest number."""
+    low = np.minimum.reduceat(least, first)
+    at = np.flatnonzero(least == low[text])
+    at = at[np.unique(text[at], return_index=True)[1]]  # the first line that has it, of each text
+    rest = least.copy()
+    rest[at] = np.iinfo(np.uint64).max
+    out = low[text]
+    out[at] = np.minimum.reduceat(rest, first)[text[at]]
+    return out
+
+
+def parse(texts: list) -> dict | None:
+    """Lines with a token of many texts at once: text (its place), line, leaf, maker, making and templates, as
+    arrays. Every word is hashed once; a template is a sum of its words' hashes times powers of an odd
+    number by place, so an open quarter is taken off the whole line's sum."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join(raw)
+    signs = np.frombuffer(joined, np.uint8)
+    space = _SPACE[signs]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(signs) else []
+    if not len(starts):
+        return None
+    h = word_hashes(joined.split())
+    line = np.searchsorted(np.flatnonzero(signs == 10), starts)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    size = np.diff(np.concatenate([first, [len(h)]]))
+    of = np.repeat(np.arange(len(first)), size)
+    place = np.arange(len(h)) - first[of]
+    base = np.cumsum([0] + [r.count(b"\n") + 1 for r in raw])[:-1]
+    text = np.searchsorted(base, line[first], "right") - 1
+    text_first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    number = np.cumsum(np.concatenate([[0], text[1:] != text[:-1]]))
+
+    with np.errstate(over="ignore"):
+        making = np.zeros(len(first), np.uint64)
+        for salt in (None, *SALTS):
+            low = others(np.minimum.reduceat(h if salt is None else mixed(h + np.uint64(salt)), first), number, text_first)
+            if salt is None:
+                maker = low
+            making = mixed(making * np.uint64(BASE) + low)
+        alone = np.diff(np.concatenate([text_first, [len(first)]]))[number] == 1
+        maker, making = (np.where(alone, np.uint64(0), x) for x in (maker, making))
+
+        token = np.where(np.logical_or.reduceat(_DIGIT[signs], starts), FIELD, h)
+        lead = [np.where(size > i, token[np.minimum(first + i, len(h) - 1)], NONE) for i in range(LEAD)]
+        leaf = size.astype(np.uint64)
+        for x in lead:
+            leaf = mixed(leaf * np.uint64(BASE) + x)
+        powers = np.cumprod(np.full(int(size.max()), np.uint64(MIX1), np.uint64))
+        terms = token * powers[place]
+        sums = np.add.reduceat(terms, first)
+        templates = np.zeros((len(first), BANDS + 1), np.uint64)
+        templates[:, 0] = mixed(sums + leaf)
+        rest = size[of] - LEAD
+        inner = np.flatnonzero((place >= LEAD) & (rest >= BANDS))
+        if len(inner):
+            # the quarters of a line's further tokens are as even as they can be
+            quarter = of[inner] * BANDS + (BANDS * (place[inner] - LEAD + 1) - 1) // rest[inner]
+            edge = np.flatnonzero(np.concatenate([[True], quarter[1:] != quarter[:-1]]))
+            at, band = quarter[edge] // BANDS, quarter[edge] % BANDS
+            templates[at, band + 1] = mixed(mixed(sums[at] - np.add.reduceat(terms[inner], edge) + leaf[at]) + (band + 1).astype(np.uint64))
+    return {"text": text, "line": line[first] - base[text], "leaf": leaf, "maker": maker, "making": making, "templates": templates, "banded": size - LEAD >= BANDS}
+
+
+def pieces(pdf: pd.DataFrame):
+    """Slices of a frame with about PAGE characters of text each."""
+    at = size = 0
+    for i, n in enumerate(pdf["text"].str.len()):
+        if i > at and size + n > PAGE:
+            yield pdf.iloc[at:i]
+            at, size = i, 0
+        size += n
+    yield pdf.iloc[at:]
 
 
 def parsed(docs: DataFrame) -> DataFrame:
     """One row for each line with a token: doc_id, crc of the text, line, leaf, maker, making, templates."""
     def run(frames):
-        for pdf in pages(frames, 128):
-            rows = []
-            for doc, crc, text in zip(pdf["doc_id"], pdf["crc"], pdf["text"]):
-                lines, crcs, starts = [], [], []
-                for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    tokens = line.split()
-                    if tokens:
-                        starts.append(len(crcs))
-                        crcs.extend(map(zlib.crc32, tokens))
-                        if _DIGIT.search(line):
-                            tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
-                        lines.append((i, tokens))
-                for (i, tokens), maker, making in zip(lines, *map(np.ndarray.tolist, makings(crcs, starts))):
-                    leaf, templates = keys_of(tokens)
-                    rows.append((doc, crc, i, leaf - (1 << 63), maker, making, [t - (1 << 63) for t in templates]))
-            yield pd.DataFrame(rows, columns="doc_id crc line leaf maker making templates".split())
+        for page in pages(frames):
+            for pdf in pieces(page):
+                got = parse(list(pdf["text"]))
+                if got is None:
+                    continue
+                rows = as_long(got["templates"])
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[got["text"]], "crc": pdf["crc"].to_numpy()[got["text"]], "line": got["line"].astype(np.int32),
+                                    "leaf": as_long(got["leaf"]), "maker": as_long(got["maker"]), "making": as_long(got["making"]),
+                                    "templates": [r if b else r[:1] for r, b in zip(rows, got["banded"])]})
 
     return docs.mapInPandas(run, "doc_id long, crc long, line int, leaf long, maker long, making long, templates array<long>")
 
 
 def recurring(lines: DataFrame, least: int, share: float, fillings: int) -> DataFrame:
-    """doc_id, crc and the numbers of the lines whose template recurs."""
+    """doc_id, crc and the numbers of the lines whose template recurs. Lines go on only while they can: by their
+    leaf's makings, then by their template's lines. A text counts once for a template, by its smallest
+    values; values are counted first and templates after, so a template that a third of all texts hold is
+    counted by many tasks."""
+    key = ["template", "band"]
     leaves = lines.select("leaf", "making").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("leaf")
-    below = written(lines.join(leaves, "leaf").select("doc_id", "crc", "line", "maker", "making", F.col("templates")[0].alias("whole"), F.posexplode("templates").alias("band", "template")), "below")
-    counted = below.groupBy("template", "band").agg(F.countDistinct("maker").alias("makers"), F.countDistinct("crc").alias("texts"), F.countDistinct("whole").alias("fillings"))
-    # every text in one class of its making
-    classes = below.groupBy("template", "band", "crc").agg(F.min("making").alias("making")).groupBy("template", "band", "making").agg(F.count("*").cast("double").alias("size"))
-    spread = classes.groupBy("template", "band").agg((F.pow(F.sum("size"), 2) / F.sum(F.col("size") * F.col("size"))).alias("effective"))
+    able = written(lines.join(leaves, "leaf").select("doc_id", "crc", "line", "maker", "making", "templates"), "able")
+    heavy = able.select(F.posexplode("templates").alias("band", "template")).groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(*key)
+    below = able.select("doc_id", "crc", "line", "maker", "making", F.col("templates")[0].alias("whole"), F.posexplode("templates").alias("band", "template"))
+    below = written(below.join(heavy, key), "below")
+    texts = below.groupBy(*key, "crc").agg(*[F.min(c).alias(c) for c in ("maker", "making", "whole")])
+    values = texts.select(*key, F.posexplode(F.array("maker", "making", "whole")).alias("kind", "value")).groupBy(*key, "kind", "value").agg(F.count("*").cast("double").alias("size"))
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0.0))
+    counted = values.groupBy(*key).agg(of(0, F.lit(1.0)).alias("makers"), of(0, F.col("size")).alias("texts"), of(1, F.col("size") * F.col("size")).alias("squares"), of(2, F.lit(1.0)).alias("fillings"))
     small = (F.col("makers") >= least) & (F.col("makers") >= share * F.col("texts"))
-    often = counted.join(spread, ["template", "band"]).filter((small | (F.col("effective") >= least)) & ((F.col("band") == 0) | (F.col("fillings") >= fillings)))
-    gone = below.select("doc_id", "crc", "line", "template", "band").join(often.select("template", "band"), ["template", "band"])
+    many = F.col("texts") * F.col("texts") >= least * F.col("squares")  # texts squared over the squared classes: their effective number
+    often = counted.filter((small | many) & ((F.col("band") == 0) | (F.col("fillings") >= fillings)))
+    gone = below.select("doc_id", "crc", "line", *key).join(often.select(*key), key).select("doc_id", "crc", "line").distinct()
     return gone.groupBy("doc_id", "crc").agg(F.collect_set("line").alias("gone"))
 
 
