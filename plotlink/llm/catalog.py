@@ -154,8 +154,15 @@ def _sets(table_name, key, k):
         FROM (SELECT {key}, {_WORDS.replace("coalesce(text, '')", lower)} AS ws FROM {table_name}) WHERE len(ws) > 0)"""
 
 
+def _exact_sets(table_name, key, n):
+    """Distinct sequences of n words, of the rows that have as many."""
+    return f"SELECT * FROM ({_sets(table_name, key, n)}) WHERE len(string_split(g, ' ')) = {n}"
+
+
+_SHORTER = " UNION ".join(f"SELECT * FROM ({_exact_sets('documents', 'doc_id', n)}) WHERE {n} IN (SELECT len(string_split(g, ' ')) FROM b)" for n in range(1, 5))
+
 SQL["op5_decontaminate"] = f"""
-WITH d AS ({_sets('documents', 'doc_id', 5)}), b AS ({_sets('benchmark', 'item_id', 5)}),
+WITH b AS MATERIALIZED ({_sets('benchmark', 'item_id', 5)}), d AS ({_sets('documents', 'doc_id', 5)} UNION {_SHORTER}),
 n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
 met AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n_item::BIGINT AS n_item FROM met JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
