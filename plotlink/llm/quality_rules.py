@@ -1,27 +1,29 @@
 """Quality rules with risk-controlled thresholds.
 
-Rules compare counts of a text with a cutoff. A labelled half selects which cutoffs help; on the
-other half, held out, an exact binomial tail shows for each stratum, rule and cutoff that at most
-``risk`` of the good documents are rejected. The cutoffs of a rule reject nested sets, so they are
-tested in a fixed sequence, the loosest first, at one level; it is divided by the number of strata and
-rules for which the first half finds a cutoff of use (Bonferroni), so all guarantees hold together
-with probability 1 - ``level``. Of the cutoffs that pass, a stratum takes the one that rejects most bad
-documents; a rule without such a cutoff is off. Strata with too few held-out good labels to pass for
-themselves (``least_labels``) are judged as one: their bound is for the good documents of all of
-them together, not for each.
+Rules compare counts of a text with a cutoff. Labelled texts are folded, so copies are one trial, and split
+by their hash. One half lays out a path for each stratum: cutoffs of use, the most precise first and of a
+rule the loosest first, each step rejecting what the steps before reject and more. On the other half, held
+out, an exact binomial tail shows for each step that all rules of the path so far together reject at most
+``risk`` of the good texts. The steps of a path reject nested sets, so they are tested in their fixed
+sequence, up to the first failure, at one level; it is divided by the number of paths (Bonferroni), so the
+guarantees of all strata hold together with probability 1 - ``level``. A stratum takes the last step that
+passes; without one its rules are off. Strata with too few held-out good labels to pass for themselves
+(``least_labels``) are judged as one: their bound is for the good texts of all of them together, not
+for each.
 
 Defined cases: a null or empty text has no words and fails the base; a null stratum is a stratum; a
-document with conflicting labels counts by its lowest; labels without document, null ids and null
-labels teach nothing; without labels, only the base decides; repeated rows are judged alike."""
+document with conflicting labels, and copies with different ones, count by their lowest; labels without
+document, null ids and null labels teach nothing; without labels, only the base decides; repeated rows are
+judged alike; rows of one id are judged each by its own text."""
 
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotlink.llm.common import pages, same, without_ids, words_of, written
+from plotlink.llm.common import pages, same, text_hash, without_rows, words_of, written
 
 STATS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines".split()
 SYMBOLS = "#*$%&|<>"
@@ -58,14 +60,14 @@ def measure(text: str) -> tuple:
 
 
 def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and STATS of every whole text."""
+    """doc_id, stratum, same (hash of the text) and STATS of every whole text."""
     def run(frames):
         for pdf in pages(frames):
             got = pd.DataFrame([measure(x) for x in pdf["text"]], columns=STATS, index=pdf.index, dtype="int64")
-            yield pd.concat([pdf[["doc_id", "stratum"]].astype({"doc_id": "Int64"}), got], axis=1)
+            yield pd.concat([pdf[["doc_id", "stratum", "same"]].astype({"doc_id": "Int64"}), got], axis=1)
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.mapInPandas(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in STATS))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_hash(F.col(text_col)).alias("same"))
+    return base.mapInPandas(run, "doc_id long, stratum string, same long, " + ", ".join(f"{c} long" for c in STATS))
 
 
 def base_failed():
@@ -101,35 +103,59 @@ def least_labels(n_tests: int, risk: float, level: float) -> int:
     return math.ceil(math.log(level / max(n_tests, 1)) / math.log1p(-risk))
 
 
+def paths(fitted: DataFrame, benefit: float) -> DataFrame:
+    """judge, rule, cutoff, step: the path of each judge, from counts of the fitting half by judge, rule and
+    cutoff. A cutoff is of use if at least ``benefit`` of what it rejects is bad."""
+    of_use = fitted.filter((F.col("bad_out") > 0) & (F.col("bad_out") >= benefit * (F.col("bad_out") + F.col("good_out"))))
+    share = F.col("good_out") / (F.col("good_out") + F.col("bad_out"))
+    # a stricter cutoff comes no earlier than the looser ones of its rule
+    late = of_use.withColumn("late", F.max(share).over(Window.partitionBy("judge", "rule").orderBy("strict")))
+    order = Window.partitionBy("judge").orderBy("late", F.desc("bad_out"), "rule", "strict")  # rules x cutoffs at most
+    return late.select("judge", "rule", "cutoff", F.row_number().over(order).alias("step"))
+
+
+def first_step(path: Column) -> Column:
+    """The first step of a path (array of rule, cutoff, step) that rejects a measured row; null if none does."""
+    sign = {rule: r[3] for rule, r in RULES.items()}
+    value = F.create_map(*[x for rule in RULES for x in (F.lit(rule), _value(rule) * sign[rule])])
+    signs = F.create_map(*[x for rule in RULES for x in (F.lit(rule), F.lit(sign[rule]))])
+    return F.array_min(F.transform(path, lambda x: F.when(value[x["rule"]] > x["cutoff"] * signs[x["rule"]], x["step"])))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, benefit: float = 0.9,
                label_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """stratum, rule, cutoff and what it was chosen by. Everything per document stays in Spark; what
-    reaches one place are counts: strata x rules x cutoffs."""
+    """stratum, rule, cutoff and what they were chosen by: n held-out good texts, k of them rejected by all the
+    stratum's rules together, p. Everything per text stays in Spark, and so do counts: strata x rules x cutoffs."""
     labelled = labels.select(F.col(label_id).cast("long").alias("lid"), F.col(label).cast("int").alias("good")).dropna().groupBy("lid").agg(F.min("good").alias("good"))
     rows = measured.filter(~base_failed()).join(labelled, F.col("doc_id") == F.col("lid"))
-    held = F.crc32(F.concat_ws(":", F.lit("holdout"), F.col("doc_id"))) % 2 == 0
+    texts = written(rows.groupBy("stratum", "same", *STATS).agg(F.min("good").alias("good")).withColumn("held", F.pmod(F.xxhash64(F.lit("holdout"), "same"), F.lit(2)) == 0), "trials")
+    held_good = texts.groupBy("stratum").agg(F.count_if(F.col("held") & (F.col("good") == 1)).alias("n"))
+    need = least_labels(held_good.count(), risk, level)
+    judge = F.when(F.col("n") < need, "pool").when(F.col("stratum").isNull(), "null").otherwise(F.concat(F.lit("="), "stratum"))
+    judges = written(held_good.select(F.col("stratum").alias("s"), judge.alias("judge")), "judges")
+    texts = texts.join(judges, same(F.col("stratum"), F.col("s"))).drop("s")
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.lit(i).alias("strict"), _rejects(rule, _value(rule), c).alias("rejected"))
                       for rule, r in RULES.items() for i, c in enumerate(sorted(r[4], reverse=r[3] > 0))])
-    counts = rows.select("stratum", "good", held.alias("held"), F.inline(tests)).groupBy("stratum", "rule", "cutoff", "strict").agg(
-        F.count_if(F.col("held") & (F.col("good") == 1)).alias("n"), F.count_if(F.col("held") & (F.col("good") == 1) & F.col("rejected")).alias("k"),
-        F.count_if(~F.col("held") & (F.col("good") == 1) & F.col("rejected")).alias("good_out"), F.count_if(~F.col("held") & (F.col("good") == 0) & F.col("rejected")).alias("bad_out"))
-    counts = written(counts, "counts")
-    need = least_labels(counts.select("stratum").distinct().count() * len(RULES), risk, level)
-    counts = counts.withColumn("judge", F.when(F.col("n") < need, "pool").when(F.col("stratum").isNull(), "null").otherwise(F.concat(F.lit("="), "stratum")))
-    judges = counts.groupBy("judge", "rule", "cutoff", "strict").agg(*[F.sum(c).alias(c) for c in ("n", "k", "good_out", "bad_out")])
-    of_use = judges.filter((F.col("bad_out") > 0) & (F.col("bad_out") >= benefit * (F.col("bad_out") + F.col("good_out"))))
-    n_tests = of_use.select("judge", "rule").distinct().count()
+    fitted = texts.filter(~F.col("held")).select("judge", "good", F.inline(tests)).filter("rejected").groupBy("judge", "rule", "cutoff", "strict").agg(
+        F.count_if(F.col("good") == 1).alias("good_out"), F.count_if(F.col("good") == 0).alias("bad_out"))
+    path = written(paths(fitted, benefit), "paths")
+    n_paths = path.select("judge").distinct().count()
+    steps = path.groupBy(F.col("judge").alias("j")).agg(F.collect_list(F.struct("rule", "cutoff", "step")).alias("path"))
+    trials = texts.filter(F.col("held") & (F.col("good") == 1)).join(steps, F.col("judge") == F.col("j")).select("judge", first_step(F.col("path")).alias("step"))
+    out = trials.groupBy("judge", "step").agg(F.count("*").alias("c"))
+    total = out.groupBy("judge").agg(F.sum("c").alias("n"))
+    so_far = Window.partitionBy("judge").orderBy("step")
+    tested = path.join(total, "judge").join(out, ["judge", "step"], "left").withColumn("k", F.coalesce(F.sum("c").over(so_far), F.lit(0)))
 
     def bound(frames):
         for pdf in frames:
             yield pdf.assign(p=[tail(int(k), int(n), risk) if n else 1.0 for k, n in zip(pdf["k"], pdf["n"])])
 
-    fields = "judge string, rule string, cutoff int, strict int, n long, k long, good_out long, bad_out long"
-    # the p values of a rule rise with the strictness: those within the level are the sequence up to its first failure
-    fit = of_use.mapInPandas(bound, fields + ", p double").filter(F.col("p") <= level / max(n_tests, 1))
-    best = fit.groupBy("judge", "rule").agg(F.max(F.struct("bad_out", F.col("strict") * -1, "cutoff", "n", "k", "p")).alias("b"))
-    return counts.select("stratum", "judge").distinct().join(best, "judge").select(
-        "stratum", "rule", "b.cutoff", "b.bad_out", "b.n", "b.k", "b.p", (F.col("judge") == "pool").alias("pooled"))
+    # k grows along a path and so does p: what is within the level is the sequence up to its first failure
+    fit = tested.select("judge", "rule", "cutoff", "step", "n", "k").mapInPandas(bound, "judge string, rule string, cutoff int, step int, n long, k long, p double").filter(F.col("p") <= level / max(n_paths, 1))
+    last = F.struct("step", "n", "k", "p")
+    best = fit.groupBy("judge").agg(F.max(last).alias("at")).join(fit.groupBy("judge", "rule").agg(F.max_by("cutoff", "step").alias("cutoff")), "judge")
+    return judges.join(best, "judge").select(F.col("s").alias("stratum"), "rule", "cutoff", "at.n", "at.k", "at.p", (F.col("judge") == "pool").alias("pooled"))
 
 
 def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -146,6 +172,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return judged(measured, written(thresholds(measured, labels, **options), "thresholds"))
 
 
-def kept_documents(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents, all columns, that no row of ``verdicts`` with their id rejects."""
-    return without_ids(docs, verdicts.filter("not kept").select("doc_id"), id_col)
+def kept_documents(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The documents, all columns, without the rows that ``verdicts`` rejects, known by id, text and stratum."""
+    gone = verdicts.filter("not kept").select("doc_id", "same", "stratum")
+    return without_rows(docs, gone, F.col(id_col).cast("long"), text_hash(F.col(text_col)), F.col(stratum_col).cast("string"))
