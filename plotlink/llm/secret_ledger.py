@@ -39,6 +39,15 @@ RULES = (
 )
 
 
+#: Matches that are placed one after the other.
+PIECE = 64
+
+
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, kind order, kind, end), code points, end exclusive. What lies between the
     matches and the matches themselves alternate, so their lengths give the positions."""
@@ -47,14 +56,19 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.char_length(x))
     long_enough = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.char_length(x) >= rule.least)
     each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("len"), long_enough.alias("ok"))
+    # appending copies an array, so matches are placed in pieces, whose starts are summed first
+    pieces = lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / PIECE).cast("int")), lambda i: F.slice(e, i * PIECE + 1, F.lit(PIECE)))
+    width = lambda piece: F.aggregate(piece, F.lit(0), lambda at, x: at + x["gap"] + x["len"])
+    starts = lambda ps: F.aggregate(F.transform(ps, width), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+                         lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["len"]).alias("at"),
         F.when(x["ok"], F.concat(acc["out"], F.array(F.struct(
             (acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"] + x["len"]).alias("end")))))
         .otherwise(acc["out"]).alias("out"))
-    spans = F.aggregate(each, start, step, lambda acc: acc["out"])
+    placed = lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    spans = bound(each, lambda e: bound(pieces(e), lambda ps: F.flatten(F.zip_with(ps, starts(ps), placed))))
     any_match = F.rlike(text, pattern)
     return F.when(F.lower(text).contains(rule.hint) & any_match if rule.hint else any_match, spans).otherwise(empty)
 
@@ -90,9 +104,11 @@ def extended(versions: DataFrame, path: str | None, rules=RULES) -> str:
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
-    """path and all spans of its blob by the given rules, ordered by start, then rule."""
+    """path and all spans of its blob by the given rules, ordered by start, then rule. What two runs at once
+    wrote twice into the ledger counts once."""
     current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    of = ledger.filter(F.array_contains(current, F.struct("kind", "version")) & (F.size("spans") > 0)).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    of = ledger.filter(F.array_contains(current, F.struct("kind", "version")) & (F.size("spans") > 0)).groupBy("blob").agg(F.collect_set(F.struct("kind", "version", "spans")).alias("scans")) \
+        .select("blob", F.sort_array(F.flatten(F.col("scans.spans"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     return versions.select("path", "blob").join(of, "blob", "left").select("path", "blob", F.coalesce("spans", empty).alias("spans"))
 
