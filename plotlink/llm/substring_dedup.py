@@ -156,7 +156,9 @@ def _rows(h, w, k, crc, start, gone):
     """Runs of windows as rows: those to be compared further with their hashes, those gone without."""
     first, n = ranges(start, np.cumsum(np.concatenate([[0], (np.diff(k) != 0) | (np.diff(crc) != 0) | (np.diff(gone) != 0) | ((np.diff(h) != 0) & ~gone[1:])]))) if len(h) else ranges(start, start)
     data = w.tobytes()
-    return pd.DataFrame({"h": h[first], "k": k[first], "crc": crc[first], "start": start[first].astype(np.int32), "n": n.astype(np.int32),
+    # what is settled goes under a hash of its document: it meets no other row, so it need not crowd a window's
+    to = np.where(gone[first], as_long(mixed((k[first] * 31 + crc[first]).view(np.uint64))), h[first])
+    return pd.DataFrame({"h": to, "k": k[first], "crc": crc[first], "start": start[first].astype(np.int32), "n": n.astype(np.int32),
                          "ws": [None if g else data[8 * a:8 * (a + m)] for a, m, g in zip(first.tolist(), n.tolist(), gone[first].tolist())]})
 
 
