@@ -104,7 +104,14 @@ def latent(rows: list, dims: int, seed: int = 11) -> np.ndarray:
 
 
 class Voters:
-    """Bucket weights, latent space, labelled vectors and their labels."""
+    """Bucket weights, latent space, labelled vectors and their labels. Tasks get its values, which any worker
+    can read, and the class with the function that they run."""
+
+    @classmethod
+    def of(cls, values: dict):
+        out = cls.__new__(cls)
+        out.__dict__.update(values)
+        return out
 
     def __init__(self, idf, features, dims, neighbours, prior):
         self.idf, self.neighbours, self.prior = idf, neighbours, prior
@@ -143,10 +150,11 @@ def quality_votes(docs: DataFrame, training: DataFrame, labels: DataFrame, sampl
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     features, prior = taught(plain(training), known, sample_rows)
     n, held = document_counts(plain(docs))
-    voters = docs.sparkSession.sparkContext.broadcast(Voters(np.log((1 + n) / (1 + held)) + 1e-6, features, dims, neighbours, prior))
+    values = docs.sparkSession.sparkContext.broadcast(vars(Voters(np.log((1 + n) / (1 + held)) + 1e-6, features, dims, neighbours, prior)))
 
     def run(frames):
+        voters = Voters.of(values.value)
         for pdf in pages(frames):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": voters.value.scores(list(pdf["text"]))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": voters.scores(list(pdf["text"]))})
 
     return plain(docs).mapInPandas(run, "doc_id long, score double")

@@ -157,9 +157,11 @@ def components(n: int, square: dict, dims: int, most: int) -> tuple:
 
 
 class Whitener:
-    """Everything that makes whitened rows of whole numbers; of fixed size, dims x components."""
+    """Everything that makes whitened rows of whole numbers; of fixed size, dims x components. Made anew in each
+    task from ``parts``, plain values that any worker can read."""
 
     def __init__(self, n, total, vectors, values, trace):
+        self.parts = n, total, vectors, values, trace
         self.n, self.total, self.values, self.trace = n, total, values, trace
         self.out = vectors / np.sqrt(values)
 
@@ -182,7 +184,7 @@ def identity_error(rows: DataFrame, known) -> float:
     """Largest entry, without sign, of the whitened rows' covariance less the identity: each task's products
     are centred by the task's mean, what its mean is off the whole mean is added after."""
     def run(batches):
-        m = known.value
+        m = Whitener(*known.value)
         k = m.out.shape[1]
         count, mean, products = 0, np.zeros(k), np.zeros((k, k))
         for _, _, x in matrices(batches):
@@ -213,13 +215,13 @@ def whitened(vectors: DataFrame, most: int = 32, scale: float = 64.0, shift: int
     model = fit(rows, most)
     if model is None:
         return spark.createDataFrame([], schema)
-    known = spark.sparkContext.broadcast(model)
+    known = spark.sparkContext.broadcast(model.parts)
     error = identity_error(rows, known)
 
     def run(batches):
         from decimal import Decimal
 
-        m = known.value
+        m = Whitener(*known.value)
         k, explained = m.out.shape[1], m.values / m.trace
         for batch, at, x in matrices(batches):
             if x.shape[1] != len(m.total):
