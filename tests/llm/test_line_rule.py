@@ -29,11 +29,11 @@ def brute_kept(rows, least=10, share=0.3, fillings=3):
         lines = [(i, ws) for i, ws in lines if ws]
         hashes = [np.array([xxhash.xxh64_intdigest(w) for w in ws], np.uint64) for _, ws in lines]
         with np.errstate(over="ignore"):
-            least = [[int((h if salt is None else mixed(h + np.uint64(salt))).min()) for h in hashes] for salt in (None, MIX1, MIX2)]
+            lows = [[int((h if salt is None else mixed(h + np.uint64(salt))).min()) for h in hashes] for salt in (None, MIX1, MIX2)]
         for at, (i, ws) in enumerate(lines):
             making = maker = 0
             if len(lines) > 1:
-                rest = [min(x for j, x in enumerate(low) if j != at) for low in least]
+                rest = [min(x for j, x in enumerate(low) if j != at) for low in lows]
                 maker = rest[0]
                 for x in rest:
                     making = one(making * BASE + x)

@@ -185,11 +185,49 @@ def test_contamination_of_odd_rows(spark):
     docs = cases.documents(spark, extra=True)
     items = spark.createDataFrame([(1, cases._A), (2, None), (3, ""), (4, "ONE"), (None, "one two three"), (1, cases._A)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, items).collect()}
-    assert got == {(6, 1), (7, 1), (8, 1), (9, 1), (12, 1), (None, 1), (3, 4), (4, None)}
-    assert decontaminate.clean(docs, decontaminate.contamination(docs, items)).count() == docs.count() - 8
+    # a short item is found wherever its words stand
+    assert got == {(6, 1), (7, 1), (8, 1), (9, 1), (12, 1), (None, 1), (3, 4), (4, 4), (15, 4), (4, None)}
+    assert decontaminate.clean(docs, decontaminate.contamination(docs, items)).count() == docs.count() - 9
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 4, 30, 200])))) for i in range(120)]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([1, 2, 2, 3, 4, 5, 6, 9])] + [(20, " ".join(docs[5][1].split()[:3]).upper())]
+
+    def inside(item, text):
+        i, t = item.lower().split(), text.split()
+        if len(i) < 5:
+            return any(t[at:at + len(i)] == i for at in range(len(t)))
+        a, b = cases.shingles(item, 5), cases.shingles(text, 5)
+        return 100 * len(a & b) >= 80 * len(a)
+
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in docs for i, x in items if inside(x, t)} and len(got) > 40
+
+
+def test_documents_of_one_id_are_judged_each_by_its_text(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(5, item), (5, "clean text of the same id"), (None, item + " more"), (None, "clean text without an id")], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text for r in decontaminate.clean(docs, found).collect()) == ["clean text of the same id", "clean text without an id"]
+
+
+def test_only_sketches_that_meet_are_verified(spark):
+    """What shares no sketch shingle of a partition is no candidate, whatever else it shares."""
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate([30, 60, 200])], "item_id long, text string")
+    sketches = decontaminate.item_sketches(items.withColumnRenamed("item_id", "doc_id"), 5, 80, 100).collect()
+    known = decontaminate._known(decontaminate.item_sketches(items.withColumnRenamed("item_id", "doc_id"), 5, 80, 100))
+    assert sorted(known["bounds"]) == sorted({r.part for r in sketches}) and not known["short"]
+    for r in sketches:
+        h = decontaminate.mixed(np.array([r.shingle], np.int64).view(np.uint64))
+        assert decontaminate.has(known["every"], decontaminate._cells(h))[0]
+        assert not r.probe or (int(h[0]) <= known["bounds"][r.part] and decontaminate.has(known["probes"], decontaminate._cells(h, r.part))[0])
+    assert sum(r.probe for r in sketches) < 0.5 * len(sketches)
+
+
 def test_repeated_items_count_once_and_items_of_one_id_stay_apart(spark):
     ws = [f"w{i}" for i in range(54)]  # 50 shingles
     docs = spark.createDataFrame([(1, " ".join(ws[:24] + [f"x{i}" for i in range(30)]), "en", "s", 0), (2, " ".join(ws[:49]), "en", "s", 0)], cases.DOCUMENTS)  # 20 and 45 of them
@@ -247,6 +285,97 @@ def test_strata_of_few_labels_are_judged_together(spark):
     assert out.filter("doc_id >= 10000 and kept").count() == 0 and out.filter("doc_id < 10000 and not kept").count() == 0
 
 
+def test_copies_of_one_text_prove_nothing(spark):
+    good = [(i, "plain words of one text that nobody would ever want to reject here today", "en", "s", 0) for i in range(3000)]
+    bad = [(10_000 + i, f"buy ### $$$ %%% now {i} *** &&& ||| cheap <<< >>> offer for you all today", "en", "s", 0) for i in range(200)]
+    docs = spark.createDataFrame(good + bad, cases.DOCUMENTS)
+    out = quality_rules.quality(docs, spark.createDataFrame([(d[0], int(d[0] < 10_000)) for d in good + bad], "doc_id long, quality int"))
+    assert out.filter("kept").count() == 3200
+
+
+def test_all_rules_of_a_stratum_together_hold_the_risk(spark):
+    """Five rules that each reject 0.6 % of good texts, 3 % together: no path may take them all at a risk of 2 %."""
+    rng, filler = random.Random(5), [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "lmnprst"]
+    def text(kind):
+        ws = rng.sample(filler, 70) + ["considerable"] * 1
+        if kind == 1:
+            ws += ["#### $$$$ %%%%"] * 4
+        if kind == 2:
+            ws = [w * 4 for w in ws]
+        if kind == 3:
+            return "\n".join([" ".join(ws[:12])] * 4 + [" ".join(ws[12:])])
+        if kind == 4:
+            ws = ws[:12]
+        if kind == 5:
+            ws = [w[0] for w in rng.choices(filler, k=60)]
+        return " ".join(ws)
+
+    n = 8000
+    good = [(i, text(i % 167 + 1 if i % 167 < 5 else 0), "en", "s", 0) for i in range(n)]
+    bad = [(100_000 + i, text(i % 5 + 1), "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(good + bad, cases.DOCUMENTS)
+    labels = spark.createDataFrame([(d[0], int(d[0] < 100_000)) for d in good + bad], "doc_id long, quality int")
+    measured = quality_rules.stats(docs).cache()
+    for risk in (0.02, 0.05):
+        cut = quality_rules.thresholds(measured, labels, risk=risk)
+        out = quality_rules.judged(measured, cut).filter("not base_failed")
+        lost = out.filter("doc_id < 100000 and not kept").count() / out.filter("doc_id < 100000").count()
+        assert lost <= risk, (risk, lost)
+        rows = cut.collect()
+        assert rows and len({(r.n, r.k, r.p) for r in rows}) == 1 and quality_rules.tail(rows[0].k, rows[0].n, risk) <= 0.05
+    assert len(rows) >= 4  # at 5 % all of use are on
+
+
+def test_thresholds_equal_a_plain_version(spark):
+    docs = spark.read.parquet(SF.replace("0.001", "0.1") + "/documents.parquet")
+    labels = spark.read.parquet(SF.replace("0.001", "0.1") + "/labels.parquet")
+    measured = quality_rules.stats(docs).cache()
+    got = {(r.stratum, r.rule): (r.cutoff, r.n, r.k, r.pooled) for r in quality_rules.thresholds(measured, labels).collect()}
+    good = {}
+    for r in labels.collect():
+        good[r.doc_id] = min(r.quality, good.get(r.doc_id, 1))
+    held = {r.same: r.h == 0 for r in measured.select("same", F.pmod(F.xxhash64(F.lit("holdout"), "same"), F.lit(2)).alias("h")).collect()}
+    texts = {}
+    for r in measured.collect():
+        if r.doc_id in good and not (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words):
+            key = (r.stratum, r.same)
+            texts[key] = (r, min(good[r.doc_id], texts[key][1] if key in texts else 1))
+
+    def rejects(r, rule, cutoff):
+        num, factor, den, sign, _ = quality_rules.RULES[rule]
+        v = r[num] if den is None else r[num] * factor // max(r[den], 1)
+        return v > cutoff if sign > 0 else v < cutoff
+
+    strata = {s for s, _ in texts}
+    n_held = {s: sum(held[h] and y == 1 for (t, h), (_, y) in texts.items() if t == s) for s in strata}
+    need = quality_rules.least_labels(len(strata), 0.01, 0.05)
+    judge = {s: "pool" if n_held[s] < need else s for s in strata}
+    want, made = {}, {}
+    for j in set(judge.values()):
+        own = [(r, y, held[h]) for (s, h), (r, y) in texts.items() if judge[s] == j]
+        cuts = []
+        for rule, spec in quality_rules.RULES.items():
+            late = 0.0
+            for strict, c in enumerate(sorted(spec[4], reverse=spec[3] > 0)):
+                out = [y for r, y, x in own if not x and rejects(r, rule, c)]
+                if out and out.count(0) >= 0.9 * len(out) and out.count(0):
+                    late = max(late, out.count(1) / len(out))
+                    cuts.append((late, -out.count(0), rule, strict, c))
+        made[j] = sorted(cuts)
+    n_paths = sum(bool(p) for p in made.values())
+    for j, path in made.items():
+        trials = [r for (s, h), (r, y) in texts.items() if judge[s] == j and held[h] and y == 1]
+        for at in range(len(path)):
+            k = sum(any(rejects(r, rule, c) for _, _, rule, _, c in path[:at + 1]) for r in trials)
+            if not trials or quality_rules.tail(k, len(trials), 0.01) > 0.05 / n_paths:
+                break
+            for s in strata:
+                if judge[s] == j:
+                    for _, _, rule, _, c in path[:at + 1]:
+                        want[s, rule] = (c, len(trials), k, j == "pool")
+    assert got == want and want
+
+
 def test_quality_of_odd_rows(spark):
     docs = cases.documents(spark)
     none = spark.createDataFrame([(None, 1), (3, None), (999, 0)], "doc_id long, quality int")
@@ -317,6 +446,27 @@ def test_secrets_equal_the_patterns(spark, corpus):
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
 
 
+def test_very_many_spans_take_time_in_proportion(spark):
+    import time
+
+    text = lambda n: " ".join(f"{i:016x}" for i in range(n))
+    times = []
+    for n in (500, 40_000):
+        versions = secret_ledger.versioned(spark.createDataFrame([(1, text(n)), (2, "none")], "doc_id long, text string").withColumn("start", F.lit("clash")))
+        start = time.time()
+        row = secret_ledger.digest(secret_ledger.findings(versions, secret_ledger.scan(versions))).filter("doc_id = 1").first()
+        times.append(time.time() - start)
+        assert row.n_hex == n and row.base_sha256 == digest(base_spans(text(n)))
+    assert times[1] < 20  # the square of it would take minutes
+
+
+def test_a_ledger_written_twice_lists_spans_once(spark):
+    versions = secret_ledger.versioned(spark.createDataFrame([(1, "token=abcdefghijkl " + "f" * 16), (2, "x")], "doc_id long, text string"))
+    once = secret_ledger.scan(versions)
+    got = {r.doc_id: r.spans for r in secret_ledger.digest(secret_ledger.findings(versions, once.union(once))).collect()}
+    assert got == {r.doc_id: r.spans for r in secret_ledger.digest(secret_ledger.findings(versions, once)).collect()} and got[1].count(",") == 1
+
+
 def test_ledger_scans_only_what_it_lacks(spark):
     first = secret_ledger.versioned(spark.createDataFrame([("a", "token=abcdefghijkl"), ("b", "nothing"), ("c", "nothing")], "doc_id string, text string"))
     path = secret_ledger.extended(first, None)

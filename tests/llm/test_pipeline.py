@@ -44,4 +44,32 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert name == "pack" or docs.columns == columns
+        if name == "near_duplicates":
+            kept = {(r.doc_id, r.text) for r in docs.collect()}
+            # of the texts with _A the smallest id stays; the nameless one, a near copy, goes
+            assert (6, cases._A) in kept and not {d for d, _ in kept} & {7, 8, 9, 12, None}
     assert docs.count() > 0
+
+
+def test_no_row_goes_for_the_text_of_another(spark):
+    good = lambda i: " ".join(f"{chr(97 + (i * 7 + j) % 26)}ord{chr(97 + j % 26)}{chr(97 + i)}" for j in range(30))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, good(0)), (None, "junk"), (5, good(1)), (5, "bad"), (6, good(2)), (5, good(1) + " tail"), (5, "own text " + item), (None, "nameless " + item)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], cases.DOCUMENTS)
+    stages = dict(corpus_pipeline.STAGES)
+    five = stages["quality"](spark, docs, SF)
+    assert sorted(r.text for r in five.collect()) == sorted(t for _, t in rows if t not in ("junk", "bad"))
+    assert sorted(r.text for r in stages["benchmark"](spark, five, SF).collect()) == sorted([good(0), good(1), good(2), good(1) + " tail"])
+    near = stages["near_duplicates"](spark, docs.unionAll(docs), SF).collect()
+    texts = [r.text for r in near]
+    # near copies under one id, or without one, are two documents, of which one stays; everything else is a text of its own
+    assert len(texts) == len(set(texts)) == 6 and {good(0), good(2), "junk", "bad"} <= set(texts)
+    assert len({good(1), good(1) + " tail"} & set(texts)) == len({"own text " + item, "nameless " + item} & set(texts)) == 1
+
+
+def test_empty_tables_pass_every_stage(spark, tmp_path):
+    docs = cases.documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0
