@@ -1,9 +1,14 @@
-"""A training corpus from documents: five stages, each written as Parquet and read by the next."""
+"""A training corpus from documents: five stages, each written as Parquet and read by the next.
+
+Rows are known by id and text, so a row is never removed for another's text. Defined cases, for every stage: a
+null text is empty; rows without an id, and rows of one id with different texts, are judged each for itself;
+equal rows are judged alike, and the near-duplicate stage keeps one of them; an empty table gives an empty table; columns
+beyond those of documents pass through unread, whatever their names."""
 
 from pyspark.sql import functions as F
 
 from plotlink.llm import decontaminate, jaccard_tree, line_templates, packing, quality_rules
-from plotlink.llm.common import new_path, same, without_ids
+from plotlink.llm.common import free, new_path, numbered, same, without_rows
 
 
 def quality(spark, docs, sf_dir):
@@ -19,15 +24,18 @@ def lines(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group, that of the smallest doc_id; of repeated rows one."""
-    classes = jaccard_tree.jaccard_join(docs, k=5, num=80, den=100)
+    """One document of each group, that of the smallest doc_id; of repeated rows one. Documents without an id of
+    their own (null, or shared with another text) come after all others, by a hash."""
+    node = free(docs, "_node")
+    rows = numbered(docs, node)
+    classes = jaccard_tree.jaccard_join(rows, k=5, num=80, den=100, id_col=node)
     gone = classes.filter(~same(F.col("doc_id"), F.col("component_id"))).select("doc_id")
-    return without_ids(docs, gone, "doc_id").dropDuplicates(["doc_id", "text"])
+    return without_rows(rows, gone, F.col(node)).dropDuplicates([node]).drop(node)
 
 
 def benchmark(spark, docs, sf_dir):
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontaminate.clean(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark, docs, sf_dir):
