@@ -94,7 +94,7 @@ TRIPLES = 4000
 DRAWS, PRIME = (48271, 69621, 39373), 2147483647
 #: Parts into which the hypotheses of a group are dealt when they meet its pairs.
 PARTS = 8
-#: The same for the triples of a page's seeds.
+#: The same for the pairs of a page's seeds or a sheet's cells.
 SEED_PARTS = 32
 
 
@@ -260,6 +260,33 @@ def fit_trust_fallback(pairs: DataFrame, fit: DataFrame, loo: DataFrame) -> Data
     return good.unionByName(sim)
 
 
+# ---------------------------------------------------------------- poses by vote
+
+def _around() -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+
+def dealt_pairs(items: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
+    """Every pair of a group's numbered items (``_i``), once: the first is dealt to a part, the second sent to all."""
+    side = lambda df, s: df.select(*group, "_part", *[F.col(c).alias(f"{c}{s}") for c in ("_i", *cols)])
+    first = side(items.withColumn("_part", F.pmod("_i", F.lit(SEED_PARTS))), 0)
+    every = side(items.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SEED_PARTS - 1)))), 1)
+    return first.join(every, [*group, "_part"]).filter("_i0 < _i1")
+
+
+def peaks(votes: DataFrame, group: list[str], p: str, q: str, width: Column, top: int) -> DataFrame:
+    """The ``top`` places of each group where most votes (p, q) fall, as the mean of a square cell of ``width`` and
+    its eight neighbours. Votes are counted by cell before anything else, so a peak of very many costs no more
+    than another."""
+    cell = lambda c: F.floor(F.round(F.col(c) / width, 6) + 0.5)
+    own = votes.withColumns({"_cx": cell(p), "_cy": cell(q)}).groupBy(*group, "_cx", "_cy").agg(F.count("*").alias("_c"), F.sum(p).alias("_p"), F.sum(q).alias("_q"))
+    near = own.withColumn("_k", _around()).groupBy(*group, (F.col("_cx") + F.col("_k.i")).alias("_cx"), (F.col("_cy") + F.col("_k.j")).alias("_cy")).agg(
+        *[F.sum(c).alias(c) for c in ("_c", "_p", "_q")])
+    best = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_c"), "_cx", "_cy"))
+    return near.withColumn("peak", best).filter(F.col("peak") <= top).select(
+        *group, "peak", F.col("_c").alias("votes"), F.round(F.col("_p") / F.col("_c"), 6).alias(p), F.round(F.col("_q") / F.col("_c"), 6).alias(q))
+
+
 # ---------------------------------------------------------------- clusters of labels
 
 def connected(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
@@ -349,22 +376,17 @@ def fit_similarity(pairs: DataFrame, group: list[str] = ("map_id",)) -> DataFram
     g = pairs.groupBy(*group).agg(
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("e").alias("me"), F.avg("n").alias("mn"),
         (F.covar_pop("x", "e") + F.covar_pop("y", "n")).alias("_p"), (F.covar_pop("x", "n") - F.covar_pop("y", "e")).alias("_q"), (F.var_pop("x") + F.var_pop("y")).alias("_v"))
-    return _similarity(g, list(group))
-
-
-def _similarity(g: DataFrame, group: list[str], n: int = 1) -> DataFrame:
-    """Fits from means and the centred sums ``_p``, ``_q`` and ``_v`` of ``n`` times the mean square."""
-    g = g.filter(F.col("_v") > 1e-9 * n).withColumns({"sc": F.expr("_p / _v"), "ss": F.expr("_q / _v")})
+    g = g.filter(F.col("_v") > 1e-9).withColumns({"sc": F.expr("_p / _v"), "ss": F.expr("_q / _v")})
     g = g.filter(F.sqrt(F.expr("sc * sc + ss * ss")).between(0.1, 3))
     return g.select(*group, F.col("sc").alias("a"), (-F.col("ss")).alias("b"), F.expr("me - sc * mx + ss * my").alias("c"), F.col("ss").alias("d"),
                     F.col("sc").alias("f"), F.expr("mn - ss * mx - sc * my").alias("g"))
 
 
-def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: DataFrame, reach: float = 40, min_cluster: int = 25, rounds: int = 3) -> DataFrame:
-    """Global placement of a page: big clusters that could be pinned blocks are seeds, all seed
-    triples give similarity hypotheses (small rotation, plausible scale), and the one that
-    explains most labels over at least five blocks wins, refined on what it explains.
-    ``centroids``: map_id, block, e, n."""
+def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: DataFrame, reach: float = 40, min_cluster: int = 25, rounds: int = 3, top: int = 16) -> DataFrame:
+    """Global placement of a page: big clusters that could be pinned blocks are seeds. Two seeds give a rotation
+    and scale (small rotation, plausible scale), which are put to the vote; under each of the ``top`` ones every
+    seed votes for a shift. The pose that explains most labels over at least five blocks wins, refined on what
+    it explains. A page costs the square of its seeds at most. ``centroids``: map_id, block, e, n."""
     big = clusters.filter(F.col("size") >= min_cluster).select("map_id", "cluster", "size", "max_num", "cx", "cy").distinct()
     dom = domain.groupBy("map_id", "block").agg(F.count_distinct("num").alias("d_size"), F.max("num").alias("d_max"))
     comp = cluster_compat(clusters.join(big.select("map_id", "cluster"), ["map_id", "cluster"], "left_semi"), domain).filter("share >= 0.75")
@@ -374,32 +396,35 @@ def similarity_consensus(clusters: DataFrame, domain: DataFrame, centroids: Data
     seeds = written(seeds, "seeds")
     span = lambda df, u, v, out: df.groupBy("map_id").agg(F.sqrt(F.pow(F.max(u) - F.min(u), 2) + F.pow(F.max(v) - F.min(v), 2)).alias(out))
     scale0 = span(centroids, "e", "n", "_se").join(span(big, "cx", "cy", "_sp"), "map_id").select("map_id", F.try_divide("_se", "_sp").alias("scale0"))
-    of_page = Window.partitionBy("map_id")
-    numbered = seeds.withColumns({"_i": F.row_number().over(of_page.orderBy(F.desc("size"), "cluster", "block")), "_n": F.count("*").over(of_page)})
-    # every triple, dealt by its first seed
-    dealt = numbered.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SEED_PARTS - 1))))
-    side = lambda df, s: df.select("map_id", "_part", *[F.col(c).alias(f"{c}{s}") for c in ("_i", "cluster", "block", "x", "y", "e", "n")])
-    tri = side(numbered.withColumn("_part", F.col("_i") % SEED_PARTS), 0).join(side(dealt, 1), ["map_id", "_part"]).filter("_i0 < _i1 AND cluster0 <> cluster1 AND block0 <> block1") \
-        .join(side(dealt, 2), ["map_id", "_part"]).filter("_i1 < _i2 AND cluster2 <> cluster0 AND cluster2 <> cluster1 AND block2 <> block0 AND block2 <> block1")
-    h = ["map_id", "_i0", "_i1", "_i2"]
-    tri = once(tri, {f"m{c}": F.expr(f"({c}0 + {c}1 + {c}2) / 3") for c in "xyen"})
-    of = lambda term: sum((F.expr(term.replace("#", i)) for i in "012"), F.lit(0.0))
-    tri = once(tri, {"_p": of("(x# - mx) * (e# - me) + (y# - my) * (n# - mn)"), "_q": of("(x# - mx) * (n# - mn) - (y# - my) * (e# - me)"), "_v": of("pow(x# - mx, 2) + pow(y# - my, 2)")})
-    hyp = _similarity(tri, [*h, "_part"], 3).join(scale0, "map_id")
-    sc = F.sqrt(F.expr("a * a + d * d"))
-    hyp = hyp.filter(sc.between(F.col("scale0") * 0.55, F.col("scale0") * 1.8) & (F.abs(F.degrees(F.atan2("d", "a"))) <= 12)).drop("scale0")
-
-    def explain(t, keys, seeds=seeds, on=("map_id",)):
-        hit = t.join(seeds, list(on)).withColumn("dist", residual()).filter(F.col("dist") <= reach)
+    numbered = seeds.withColumn("_i", F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("size"), "cluster", "block")))
+    two = dealt_pairs(numbered, ["map_id"], ["cluster", "block", "x", "y", "e", "n"]).filter("cluster0 <> cluster1 AND block0 <> block1")
+    two = once(two, {"dx": F.expr("x1 - x0"), "dy": F.expr("y1 - y0"), "de": F.expr("e1 - e0"), "dn": F.expr("n1 - n0")})
+    turn = two.withColumn("_v", F.expr("dx * dx + dy * dy")).filter("_v > 1e-9").select("map_id", F.expr("(dx * de + dy * dn) / _v").alias("a"), F.expr("(dx * dn - dy * de) / _v").alias("d"))
+    length = F.sqrt(F.expr("a * a + d * d"))
+    turn = turn.join(scale0, "map_id").filter(length.between(0.1, 3) & length.between(F.col("scale0") * 0.55, F.col("scale0") * 1.8) & (F.abs(F.degrees(F.atan2("d", "a"))) <= 12))
+    # cells of a twentieth of the expected scale, which is three degrees across
+    relative = turn.select("map_id", (F.col("a") / F.col("scale0")).alias("a"), (F.col("d") / F.col("scale0")).alias("d"))
+    turns = peaks(relative, ["map_id"], "a", "d", F.lit(0.05), top).join(scale0, "map_id").select(
+        "map_id", F.col("peak").alias("turn"), (F.col("a") * F.col("scale0")).alias("a"), (F.col("d") * F.col("scale0")).alias("d"))
+    turns = written(turns, "turns")
+    shifts = seeds.join(turns, "map_id").select("map_id", "turn", F.expr("e - a * x + d * y").alias("c"), F.expr("n - d * x - a * y").alias("g"))
+    shifts = peaks(shifts, ["map_id", "turn"], "c", "g", F.lit(reach), 2)
+    hyp = turns.join(shifts, ["map_id", "turn"]).select("map_id", "turn", "peak", "a", (-F.col("d")).alias("b"), "c", "d", F.col("a").alias("f"), "g")
+
+    def explain(t, keys):
+        hit = t.join(seeds, "map_id").withColumn("dist", residual()).filter(F.col("dist") <= reach)
         return hit.groupBy(*keys, *T6, "cluster").agg(F.min_by(F.struct("block", "size", "x", "y", "e", "n"), F.struct("dist", "block")).alias("s"))
 
-    won = explain(hyp, h, dealt.select(*seeds.columns, "_part"), ("map_id", "_part")).groupBy(*h, *T6).agg(F.count_distinct("s.block").alias("n_blocks"), F.sum("s.size").alias("score")).filter("n_blocks >= 5")
-    best = won.groupBy("map_id").agg(F.min_by(F.struct(*T6, "n_blocks", "score"), F.struct(-F.col("score"), "_i0", "_i1", "_i2")).alias("t")).select("map_id", "t.*")
+    counts = (F.count_distinct("s.block").alias("n_blocks"), F.sum("s.size").alias("score"))
+    # each pose is first fitted to what it explains, so that those of one peak are compared at their best
+    fitted = fit_similarity(explain(hyp, ["map_id", "turn", "peak"]).select("map_id", "turn", "peak", "s.*"), ["map_id", "turn", "peak"])
+    won = explain(fitted, ["map_id", "turn", "peak"]).groupBy("map_id", "turn", "peak", *T6).agg(*counts).filter("n_blocks >= 5")
+    best = won.groupBy("map_id").agg(F.min_by(F.struct(*T6, "n_blocks", "score"), F.struct(-F.col("score"), "turn", "peak")).alias("t")).select("map_id", "t.*")
     for _ in range(rounds):
         best = written(best, "similarity")
         inl = explain(best.select("map_id", *T6), ["map_id"]).select("map_id", "s.*")
         better = fit_similarity(inl)
-        stat = explain(better, ["map_id"]).groupBy("map_id", *T6).agg(F.count_distinct("s.block").alias("n_blocks"), F.sum("s.size").alias("score"))
+        stat = explain(better, ["map_id"]).groupBy("map_id", *T6).agg(*counts)
         best = stat.unionByName(best.join(stat.select("map_id"), "map_id", "left_anti"))
     return best
 
@@ -425,26 +450,69 @@ def validate_blocks(entries: DataFrame, pins: DataFrame, max_m: float = 22) -> D
     return once_.join(bad.select("map_id", "block"), ["map_id", "block"], "left_anti")
 
 
-def explain_cells(cells: DataFrame, fitted: DataFrame, register_lots: DataFrame, pins: DataFrame, near_m: float = 12, seed: int = 12345) -> DataFrame:
+def sheet_poses(pairs: DataFrame, step: float = 0.4, axis_peaks: int = 8, other_peaks: int = 4, scales: tuple[float, float] = (0.5, 25), near_m: float = 12) -> DataFrame:
+    """Affine poses (map_id, axis, one, two, a..g) of sheets measured in cells. Cells of one column show what a
+    step down is on the ground, cells of one row what a step to the right is; the likeliest of these are found by
+    vote. Under each, any two cells vote for the other step, and under both every cell votes for the shift.
+    ``pairs``: map_id, cell, x, y, e, n; a sheet costs the square of its pairs at most."""
+    able = lambda p, q: F.sqrt(p * p + q * q).between(*scales)
+    items = pairs.select("map_id", "cell", "x", "y", "e", "n").withColumn("_i", F.row_number().over(Window.partitionBy("map_id").orderBy("cell", "e", "n")))
+    two = dealt_pairs(items, ["map_id"], ["cell", "x", "y", "e", "n"]).filter("cell0 <> cell1")
+    two = written(two.select("map_id", F.expr("x1 - x0").alias("dx"), F.expr("y1 - y0").alias("dy"), F.expr("e1 - e0").alias("de"), F.expr("n1 - n0").alias("dn")), "cell-steps")
+    along = lambda name, d, o: two.filter(f"{o} = 0 AND {d} <> 0").select("map_id", F.lit(name).alias("axis"), F.expr(f"de / {d}").alias("p"), F.expr(f"dn / {d}").alias("q"))
+    first = along("x", "dx", "dy").unionByName(along("y", "dy", "dx")).filter(able(F.col("p"), F.col("q")))
+    first = written(peaks(first, ["map_id", "axis"], "p", "q", F.lit(step), axis_peaks).withColumnRenamed("peak", "one").drop("votes"), "first-step")
+    across = lambda name, d, o: two.filter(f"{o} <> 0").join(first.filter(F.col("axis") == name), "map_id").select(
+        "map_id", "axis", "one", "p", "q", F.expr(f"(de - p * {d}) / {o}").alias("r"), F.expr(f"(dn - q * {d}) / {o}").alias("s"))
+    second = across("x", "dx", "dy").unionByName(across("y", "dy", "dx")).filter(able(F.col("r"), F.col("s")))
+    second = peaks(second, ["map_id", "axis", "one", "p", "q"], "r", "s", F.lit(step), other_peaks).withColumnRenamed("peak", "two").drop("votes")
+    is_x = F.col("axis") == "x"
+    pick = lambda x, y: F.when(is_x, F.col(x)).otherwise(F.col(y))
+    linear = written(second.select("map_id", "axis", "one", "two", pick("p", "r").alias("a"), pick("r", "p").alias("b"), pick("q", "s").alias("d"), pick("s", "q").alias("f")), "both-steps")
+    shift = pairs.select("map_id", "x", "y", "e", "n").join(linear, "map_id").select("map_id", "axis", "one", "two", F.expr("e - a * x - b * y").alias("c"), F.expr("n - d * x - f * y").alias("g"))
+    shift = peaks(shift, ["map_id", "axis", "one", "two"], "c", "g", F.lit(near_m), 1).drop("peak", "votes")
+    return linear.join(shift, ["map_id", "axis", "one", "two"]).select("map_id", "axis", "one", "two", *T6)
+
+
+def place_sheets(pairs: DataFrame, near_m: float = 12, tight_m: float = 10, least: int = 6, rounds: int = 3, loose_m: float = 15) -> DataFrame:
+    """map_id, used, residual, quality, a..g: the pose that most cells agree with, a cell having one vote for the
+    nearest of its places; at least ``least`` must. It is fitted to its cells and to those it explains then, while
+    there are enough. A sheet whose median residual is above ``loose_m`` is not placed."""
+    def winners(t, within, keys=()):
+        near = pairs.join(t.select("map_id", *keys, *T6), "map_id").withColumn("_d", residual()).filter(F.col("_d") <= within)
+        return near.groupBy("map_id", *keys, "cell", *T6).agg(F.min_by(F.struct("x", "y", "e", "n", "w", F.col("_d").alias("dist")), F.struct("_d", "e", "n")).alias("p"))
+
+    key = ["axis", "one", "two"]
+    # each pose is first fitted to its cells, so that those of one peak are compared at their best
+    fitted = fit_affine(winners(sheet_poses(pairs, near_m=near_m), near_m, key).select("map_id", *key, "p.*"), ["map_id", *key])
+    votes = winners(fitted, near_m, key).groupBy("map_id", *key, *T6).agg(F.count("*").alias("used")).filter(F.col("used") >= least)
+    best = votes.groupBy("map_id").agg(F.min_by(F.struct(*T6), F.struct(-F.col("used"), *key)).alias("t")).select("map_id", "t.*")
+    won = winners(best, near_m)
+    for _ in range(rounds):
+        won = written(won, "sheet-cells")
+        again = winners(fit_affine(won.select("map_id", "p.*"), least=least), tight_m)
+        enough = again.groupBy("map_id").agg(F.count("*").alias("_c")).filter(F.col("_c") >= least).select("map_id")
+        won = again.join(enough, "map_id", "left_semi").unionByName(won.join(enough, "map_id", "left_anti"))
+    won = written(won.select("map_id", *T6, F.round("p.dist", 4).alias("dist")), "sheet-cells")
+    median = pick_at(won, ["map_id"], "dist", F.floor(F.col("n") / 2), "residual").select("map_id", F.round("residual", 1).alias("residual"), F.col("n").alias("used"))
+    grade = F.when(F.col("residual") <= 6, "good").when(F.col("residual") <= 12, "fair").otherwise("approx")
+    return won.select("map_id", *T6).distinct().join(median.filter(F.col("residual") <= loose_m), "map_id").select("map_id", "used", "residual", grade.alias("quality"), *T6)
+
+
+def cell_pairs(cells: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Cells whose lot number occurs once on their sheet, with every fitted lot of that number."""
+    uniq = cells.groupBy("map_id", "lot").agg(F.count("*").alias("_c"), F.min("cell").alias("cell"), F.min("x").alias("x"), F.min("y").alias("y")).filter("_c = 1")
+    return uniq.join(fitted, ["map_id", "lot"]).select("map_id", "cell", "x", "y", "e", "n", F.lit(1.0).alias("w"))
+
+
+def explain_cells(cells: DataFrame, fitted: DataFrame, register_lots: DataFrame, pins: DataFrame, near_m: float = 12) -> DataFrame:
     """Overview sheet: cells (map_id, cell, lot, x, y) whose lot number occurs once are paired
-    with every fitted lot of that number, a one-inlier-per-cell consensus places the sheet,
+    with every fitted lot of that number, the pose that most cells agree with places the sheet,
     and cells no fitted lot explains are claimed by the first target section that has such a
     lot. A section whose own pins disagree (median over 25 m of at least two) is refused.
     ``fitted``: map_id, lot, e, n; ``register_lots``: map_id, section, prio, lot; ``pins``:
     map_id, section, lot, e, n."""
-    uniq = cells.groupBy("map_id", "lot").agg(F.count("*").alias("_c"), F.min("cell").alias("cell"), F.min("x").alias("x"), F.min("y").alias("y")).filter("_c = 1")
-    pairs = written(uniq.join(fitted, ["map_id", "lot"]).select("map_id", "cell", F.xxhash64("cell").alias("ord"), "x", "y", "e", "n", F.lit(1.0).alias("w")), "cell-pairs")
-
-    def winners(t, reach):
-        near = pairs.join(t.select("map_id", *T6), "map_id").withColumn("_d", residual()).filter(F.col("_d") < reach)
-        return near.groupBy("map_id", "cell").agg(F.min_by(F.struct("x", "y", "e", "n", "w", "ord"), "_d").alias("p")).select("map_id", "p.*")
-
-    # a sheet measured in cells: any triple that isn't in one line, one vote for a cell, at least six
-    fit = ransac_affine(pairs, inlier_m=near_m, seed=seed, area=1e-6, vote="ord", least=6, scales=(0.5, 25), draws=10 * TRIPLES)
-    for _ in range(3):
-        fit = written(fit, "sheet-fit")
-        again = fit_affine(winners(fit, near_m - 2), least=6).withColumnRenamed("n_pairs", "used")
-        fit = again.select(*fit.columns).unionByName(fit.join(again.select("map_id"), "map_id", "left_anti"))
+    fit = written(place_sheets(written(cell_pairs(cells, fitted), "cell-pairs"), near_m), "sheet-fit")
     placed = cells.join(fit.select("map_id", *T6), "map_id").withColumns({"we": F.expr("a * x + b * y + c"), "wn": F.expr("d * x + f * y + g")}).drop(*T6)
     known = placed.join(fitted.select("map_id", "lot", F.col("e").alias("fe"), F.col("n").alias("fn")), ["map_id", "lot"]) \
         .filter(geo.dist(F.col("fe"), F.col("fn"), F.col("we"), F.col("wn")) < near_m).select("map_id", "cell").distinct()
@@ -453,4 +521,5 @@ def explain_cells(cells: DataFrame, fitted: DataFrame, register_lots: DataFrame,
     check = claim.join(pins, ["map_id", "section", "lot"]).withColumn("_d", F.round(geo.dist(F.col("e"), F.col("n"), F.col("we"), F.col("wn")), 2)) \
         .groupBy("map_id", "section").agg(F.count("*").alias("_n"), geo.median_upper("_d").alias("_m")).filter("_n >= 2 AND _m > 25")
     claimed = claim.join(check.select("map_id", "section"), ["map_id", "section"], "left_anti").select("map_id", "cell", "lot", F.lit("claimed").alias("state"), "section")
-    return claimed.unionByName(known.join(cells.select("map_id", "cell", "lot"), ["map_id", "cell"]).select("map_id", "cell", "lot", F.lit("explained").alias("state"), F.lit(None).cast("string").alias("section")))
+    both = claimed.unionByName(known.join(cells.select("map_id", "cell", "lot"), ["map_id", "cell"]).select("map_id", "cell", "lot", F.lit("explained").alias("state"), F.lit(None).cast("string").alias("section")))
+    return both.join(fit.select("map_id", "residual", "quality"), "map_id").select("map_id", "cell", "lot", "state", "section", "residual", "quality")
