@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plotlink import config as C
 from plotlink.catalog import sqltext as S
 from plotlink.catalog.registry import model, oracle, query, view
+from plotlink.functions.frames import union_all
 from plotlink.functions.lineage import shared_root
 from plotlink.operators import maintain as mt
 from plotlink.plans import publish as pb
@@ -350,9 +351,27 @@ oracle("photo_inventory", """
 # ---- publishing --------------------------------------------------------------------------
 
 
-def _published(t):
-    m = model(t)
-    docs = pb.publish_bundle(t.cemetery, t.request, t.memorial, t.register)
+view("fx_cemetery_page", """
+  SELECT c.*, cast(cem_id as double) / 4 AS miles, -6.5e0 - cem_id / 100e0 AS declination, case when cem_id % 4 = 0 then 'office ' || cast(cem_id as string) else '' end AS contact,
+         case when cem_id % 2 = 0 then '2024-04-01' else '' end AS as_of FROM fx_cemetery c""")
+view("fx_drive_vertex", "SELECT cem_id, poly, v, lat + 0.0001e0 AS lat, lng - 0.0002e0 AS lng FROM fx_ground_vertex WHERE v < 3 AND cem_id % 4 <> 1")
+view("fx_gate", "SELECT cem_id, v AS gate, lat, lng FROM fx_ground_vertex WHERE poly = 0 AND cem_id % 3 = 1")
+BUNDLE = {"cemetery": "cemetery_page", "section": "section_given", "plat_map": "plat_map", "plat_entry": "plat_entry", "ground_vertex": "ground_vertex", "drive_vertex": "drive_vertex", "gate": "gate",
+          "request": "request", "memorial": "memorial", "register": "register"}
+
+
+def _bundle(t):
+    tables = {name: getattr(t, of) for name, of in BUNDLE.items()}
+    blocks = F.when(F.col("cem_id") % 5 == 2, F.array(F.lit("A"), F.lit("C"))).otherwise(F.array().cast("array<string>"))
+    return {**tables, "cemetery": tables["cemetery"].withColumn("sg_blocks", blocks)}
+
+
+#: Pages are small here, so that most cemeteries have many.
+_PAGE = 40
+
+
+def _published(t, page_rows=_PAGE):
+    docs = pb.publish_bundle(_bundle(t), "2024-05-01", (43.4, -84.6), 60.0, page_rows)
     path = f"{shared_root(t.spark)}/bundle-{uuid.uuid4().hex}"
     pb.write_bundle(docs, path)
     return path
@@ -360,44 +379,73 @@ def _published(t):
 
 @query("publish_bundle")
 def _(t):
-    docs = t.spark.read.json(_published(t), schema="kind string, shard bigint, body string, n bigint, first_pos bigint, cem_id int")
-    ids = F.from_json("body", "array<array<string>>")
-    return docs.filter("kind <> 'cemetery'").groupBy("cem_id", "kind").agg(
-        F.sum("n").alias("n"), F.sum(F.json_array_length("body")).cast("bigint").alias("n_body"),
-        F.min(F.when(F.col("first_pos") == 0, F.get(F.get(ids, F.lit(0)), F.lit(0)))).alias("first_id"))
-
-
-oracle("publish_bundle", """
-  SELECT cem_id, 'memorials' AS kind, count(*) AS n, count(*) AS n_body, cast(arg_min(mid, ord) as varchar) AS first_id FROM fx_memorial GROUP BY cem_id
-  UNION ALL SELECT cem_id, 'roster', count(*), count(*), cast(arg_min(key, ord) as varchar) FROM fx_register GROUP BY cem_id
-  UNION ALL SELECT cem_id, 'requests', count(*), count(*), null FROM fx_request GROUP BY cem_id""")
+    """Every line as it was written: what it is a page of, its rows one by one."""
+    lines = t.spark.read.schema("v int, page int, generated string, home struct<lat:double,lng:double>, radiusMiles double, cemeteries array<struct<id:bigint,first:bigint,name:string,contact:string,"
+                                "manifest:map<string,struct<n:bigint,pages:bigint>>,requests:array<struct<prId:bigint,mid:bigint,ln:string,plot:string>>,memorials:array<array<string>>,roster:array<array<string>>,"
+                                "maps:array<struct<ord:int,section:string,entries:array<array<string>>>>>>").json(_published(t))
+    c = lines.select("page", "generated", "radiusMiles", F.inline("cemeteries")).withColumn("cem_id", F.col("id").cast("int"))
+    row = lambda kind, pos, text: (F.lit(kind).alias("kind"), "cem_id", "page", pos.cast("bigint").alias("pos"), text.alias("row"))
+    listed = lambda field, kind, text: c.select("cem_id", "page", "first", F.posexplode(field).alias("p", "x")).select(*row(kind, F.col("first") + F.col("p"), text))
+    m = c.select("cem_id", "page", "first", F.inline("maps"))
+    entries = m.select("cem_id", "page", "first", "ord", F.posexplode("entries").alias("p", "x"))
+    return union_all([
+        listed("requests", "requests", F.concat_ws("|", "x.prId", "x.mid", "x.ln", "x.plot")),
+        listed("memorials", "memorials", F.concat_ws("|", *[F.get("x", F.lit(i)) for i in (0, 1, 2, 3, 4, 5, 8, 9)])),
+        listed("roster", "roster", F.concat_ws("|", "x")),
+        entries.select(*row("entries", F.col("first") + F.col("p"), F.concat_ws("|", "ord", F.get("x", F.lit(0)), F.get("x", F.lit(1))))),
+        m.filter("section IS NOT NULL").select(*row("map", F.col("ord"), F.col("section"))),
+        c.filter("name IS NOT NULL").select(*row("cemetery", F.lit(0), F.concat_ws("|", "name", "contact", "generated", F.col("radiusMiles").cast("int")))),
+        c.select("cem_id", "page", F.explode("manifest").alias("what", "m")).select(*row("manifest", F.col("m.n"), F.concat_ws("|", "what", "m.pages")))])
+
+
+_at = lambda by="cem_id": f"row_number() OVER (PARTITION BY {by} ORDER BY ord) - 1"
+_paged = f"cast(floor(pos / {_PAGE}) as int) AS page, pos"
+view("o_sent", f"""
+  SELECT 'requests' AS kind, cem_id, {_at()} AS pos, concat_ws('|', prid, mid, ln, plot) AS row FROM fx_request
+  UNION ALL SELECT 'memorials', cem_id, {_at()}, concat_ws('|', mid, name, maiden, "by", dy, plot, flags, fam) FROM fx_memorial
+  UNION ALL SELECT 'roster', cem_id, {_at()}, concat_ws('|', key, name, sex, bd, dd, burial, section, sub, block, lot, grave, status, flags, note, former) FROM fx_register
+  UNION ALL SELECT 'entries', m.cem_id, {_at("map_id")}, concat_ws('|', map_ord, block, lot) FROM fx_plat_entry e JOIN fx_plat_map m USING (map_id)""")
+oracle("publish_bundle", f"""
+  SELECT kind, cem_id, {_paged}, row FROM o_sent
+  UNION ALL SELECT 'map', cem_id, 0, map_ord, section FROM fx_plat_map
+  UNION ALL SELECT 'cemetery', cem_id, 0, 0, concat_ws('|', name, contact, '2024-05-01', 60) FROM fx_cemetery_page
+  UNION ALL SELECT 'manifest', cem_id, 0, sum(n), concat_ws('|', kind, sum(ceil(n / {_PAGE}))::bigint) FROM (
+    SELECT kind, cem_id, case when kind = 'entries' then row[1] end AS part, count(*) AS n FROM o_sent GROUP BY ALL) GROUP BY kind, cem_id""")
 
 
 @query("read_bundle")
 def _(t):
-    """Paged v2 documents built from the tables, written and read back."""
-    page = F.floor(F.col("ord") / 20000).cast("int").alias("page")
-    gather = lambda df, row: df.groupBy("cem_id", page).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("r")))), lambda x: x.r).alias("rows"))
-    rows = lambda df, cols: gather(df, F.array(*[F.col(c).cast("string") for c in cols]))
-    mem = rows(t.memorial, feeds.MEMORIAL_POS).withColumnRenamed("rows", "memorials")
-    reg = rows(t.register, feeds.REGISTER_POS).withColumnRenamed("rows", "roster")
-    req = gather(t.request, F.struct(F.col("prid").alias("prId"), "mid", "fn", "ln", "name", "plot")).withColumnRenamed("rows", "requests")
-    doc = t.cemetery.join(mem, "cem_id", "left").join(reg, ["cem_id", "page"], "left").join(req, ["cem_id", "page"], "left").select(
-        F.lit(2).alias("v"), "page", F.lit("2024-05-01").alias("generated"), F.array(F.struct(
-            F.col("cem_id").alias("id"), "name", "county", "lat", "lng", F.struct(F.when(F.col("cem_id") % 2 == 0, "2024-04-01").otherwise("").alias("memorialsAsOf")).alias("meta"),
-            "memorials", "roster", "requests")).alias("cemeteries"))
-    path = f"{shared_root(t.spark)}/docs-{uuid.uuid4().hex}"
-    doc.write.json(path)
-    b = feeds.read_bundle(t.spark, path, one_per_line=True)
-    count = lambda n: b[n].groupBy("cem_id").agg(F.count("*").alias(f"n_{n}"))
-    return b["cemetery"].select(F.col("cem_id").cast("int").alias("cem_id"), "name", "as_of", "declination").join(count("memorial"), "cem_id", "left") \
-        .join(count("register"), "cem_id", "left").join(count("request"), "cem_id", "left")
-
-
-oracle("read_bundle", """
-  SELECT c.cem_id, c.name, case when c.cem_id % 2 = 0 then '2024-04-01' else '2024-05-01' end AS as_of, -6.6::double AS declination, m.n AS n_memorial, r.n AS n_register, q.n AS n_request
-  FROM fx_cemetery c LEFT JOIN (SELECT cem_id, count(*) AS n FROM fx_memorial GROUP BY 1) m USING (cem_id) LEFT JOIN (SELECT cem_id, count(*) AS n FROM fx_register GROUP BY 1) r USING (cem_id)
-  LEFT JOIN (SELECT cem_id, count(*) AS n FROM fx_request GROUP BY 1) q USING (cem_id)""")
+    """What was published, read back: every row of every table, and what the manifest misses."""
+    b = feeds.read_bundle(t.spark, _published(t), one_per_line=True)
+    num = lambda c: F.round(F.col(c).cast("double"), 6)
+    row = lambda name, ord_, text, x, y: b[name].select(F.lit(name).alias("kind"), F.col("cem_id").cast("int").alias("cem_id"), F.lit(ord_) if isinstance(ord_, int) else F.col(ord_).cast("bigint").alias("ord"),
+                                                        F.concat_ws("|", *text).alias("row"), num(x).alias("x"), num(y).alias("y"))
+    shape = [
+        row("cemetery", 0, ["name", "county", "contact", "as_of", "register_as_of", "interments", F.concat_ws(",", "sg_blocks"), F.round(F.col("declination") * 100).cast("int"), F.round(F.col("miles") * 100).cast("int")], "lat", "lng"),
+        row("section", 0, ["section", "radius"], "lat", "lng"),
+        row("plat_map", "map_ord", ["map_id", "file", "section", "sub", "style", "quality", *[F.round(F.col(k) * 100).cast("int") for k in "abcdfg"]], "loo_median", "a"),
+        row("plat_entry", "ord", ["map_id", "block", "lot"], "x", "y"),
+        row("ground_vertex", "v", ["poly"], "lat", "lng"), row("drive_vertex", "v", ["poly"], "lat", "lng"), row("gate", "gate", [F.lit("")], "lat", "lng"),
+        row("request", "ord", ["prid", "mid", "fn", "ln", "name", "by", "dy", "plot", "created", "claimed", "problem"], "lat", "lng"),
+        row("memorial", "ord", ["mid", "name", "maiden", "by", "dy", "plot", "flags", "fam"], "lat", "lng"),
+        row("register", "ord", [*feeds.REGISTER_POS], "key", "key")]
+    gaps = pb.bundle_gaps(b).select(F.lit("gap").alias("kind"), F.col("cem_id").cast("int").alias("cem_id"), F.col("n").alias("ord"), F.col("kind").alias("row"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return union_all([*[d.withColumnRenamed(d.columns[2], "ord") for d in shape], gaps])
+
+
+_xy = "round(lat, 6) AS x, round(lng, 6) AS y"
+oracle("read_bundle", f"""
+  SELECT 'cemetery' AS kind, cem_id, 0::bigint AS ord, concat_ws('|', name, county, contact, case when as_of = '' then '2024-05-01' else as_of end, register_as_of, interments, case when cem_id % 5 = 2 then 'A,C' else '' end,
+         round(declination * 100)::int, round(miles * 100)::int) AS row, {_xy} FROM fx_cemetery_page
+  UNION ALL SELECT 'section', cem_id, 0, concat_ws('|', section, radius), {_xy} FROM fx_section_given
+  UNION ALL SELECT 'plat_map', cem_id, map_ord, concat_ws('|', cem_id || '-' || map_ord, file, section, sub, style, quality, {", ".join(f"round({k} * 100)::int" for k in "abcdfg")}), round(loo_median, 6), round(a, 6) FROM fx_plat_map
+  UNION ALL SELECT 'plat_entry', m.cem_id, {_at("map_id")}, concat_ws('|', m.cem_id || '-' || map_ord, block, lot), round(e.x, 6), round(e.y, 6) FROM fx_plat_entry e JOIN fx_plat_map m USING (map_id)
+  UNION ALL SELECT 'ground_vertex', cem_id, v, poly::varchar, {_xy} FROM fx_ground_vertex
+  UNION ALL SELECT 'drive_vertex', cem_id, v, poly::varchar, {_xy} FROM fx_drive_vertex
+  UNION ALL SELECT 'gate', cem_id, gate, '', {_xy} FROM fx_gate
+  UNION ALL SELECT 'request', cem_id, {_at()}, concat_ws('|', prid, mid, fn, ln, name, "by", dy, plot, created, claimed, problem), {_xy} FROM fx_request
+  UNION ALL SELECT 'memorial', cem_id, {_at()}, concat_ws('|', mid, name, maiden, "by", dy, plot, flags, fam), {_xy} FROM fx_memorial
+  UNION ALL SELECT 'register', cem_id, {_at()}, concat_ws('|', key, name, sex, bd, dd, burial, section, sub, block, lot, grave, status, flags, note, former), key, key FROM fx_register""")
 
 
 @query("dataset_totals")

@@ -17,9 +17,11 @@ PAGE_BITS = 32
 
 
 def _ord(df: DataFrame, pos: str) -> Column:
-    """Row order across the pages of a feed (one document per page, or a single one)."""
+    """Row order across the pages of a feed (one document per page, or a single one). A page that says where its
+    first row stands counts on from there."""
     page = F.col("page") if "page" in df.columns else F.lit(0)
-    return (F.shiftleft(page.cast("bigint"), PAGE_BITS) + F.col(pos)).alias("ord")
+    base = F.shiftleft(page.cast("bigint"), PAGE_BITS)
+    return ((F.coalesce("first", base) if "first" in df.columns else base) + F.col(pos)).alias("ord")
 
 
 def _positional(df: DataFrame, json_col: str, names_: list[str]) -> DataFrame:
@@ -52,10 +54,10 @@ def read_register_rows(df: DataFrame, json_col: str = "rows") -> DataFrame:
 _ROWS = "array<array<string>>"
 _BUNDLE = (
     "v int, page int, generated string, home struct<lat:double,lng:double>, radiusMiles double, cemeteries array<struct<"
-    "id:bigint,name:string,county:string,lat:double,lng:double,miles:double,declination:double,contact:string,"
+    "id:bigint,first:bigint,manifest:map<string,struct<n:bigint,pages:bigint>>,name:string,county:string,lat:double,lng:double,miles:double,declination:double,contact:string,"
     "meta:struct<asOf:string,memorialsAsOf:string,interments:bigint>,rosterAsOf:int,sgBlocks:array<string>,"
     "sections:map<string,struct<lat:double,lng:double,radius:double>>,"
-    "maps:array<struct<file:string,section:string,sub:string,style:string,quality:string,looMedian:double,"
+    "maps:array<struct<ord:int,file:string,section:string,sub:string,style:string,quality:string,looMedian:double,"
     "transform:struct<a:double,b:double,c:double,d:double,f:double,g:double>,entries:" + _ROWS + ">>,"
     "grounds:struct<bounds:array<array<array<double>>>,drives:array<array<array<double>>>,gates:array<array<double>>>,"
     "requests:array<struct<prId:bigint,mid:bigint,fn:string,ln:string,name:string,by:int,dy:int,bd:string,dd:string,plot:string,"
@@ -66,9 +68,9 @@ _BUNDLE = (
 
 def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> dict[str, DataFrame]:
     """A published bundle (one JSON document per file, or one per line) to
-    tables: cemetery, section, plat_map, plat_entry, ground_vertex, request, memorial,
-    register. Also reads the older single-cemetery document, whose facts sit under ``meta``.
-    A large cemetery may be spread over documents with a ``page`` number each."""
+    tables: cemetery, section, plat_map, plat_entry, ground_vertex, drive_vertex, gate, request, memorial,
+    register, manifest. Also reads the older single-cemetery document, whose facts sit under ``meta``.
+    A large cemetery may be spread over documents with a ``page`` number each; one of them holds its facts."""
     schema = T.StructType.fromDDL(_BUNDLE)
     one_cem = schema["cemeteries"].dataType.elementType
     facts = T.StructType.fromDDL("cemetery string, fagCemeteryId bigint, cem struct<lat:double,lng:double>, declination double, asOf string")
@@ -76,34 +78,44 @@ def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> d
     top = T.StructType([*schema.fields, T.StructField("meta", facts), *[T.StructField(n, one_cem[n].dataType) for n in lists]])
     raw = spark.read.schema(top).option("multiLine", not one_per_line).json(path)
     one = F.array(F.struct(
-        F.coalesce("meta.fagCemeteryId", F.lit(0)).alias("id"), F.coalesce("meta.cemetery", F.lit("Cemetery")).alias("name"), F.lit("").alias("county"),
+        F.coalesce("meta.fagCemeteryId", F.lit(0)).alias("id"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast(one_cem["manifest"].dataType).alias("manifest"),
+        F.coalesce("meta.cemetery", F.lit("Cemetery")).alias("name"), F.lit("").alias("county"),
         F.col("meta.cem.lat").alias("lat"), F.col("meta.cem.lng").alias("lng"), F.lit(0.0).alias("miles"), F.col("meta.declination").alias("declination"),
         F.lit("").alias("contact"), F.struct(F.col("meta.asOf").alias("asOf"), F.lit(None).cast("string").alias("memorialsAsOf"), F.lit(None).cast("bigint").alias("interments")).alias("meta"),
         "rosterAsOf", "sgBlocks", "sections", "maps", "grounds", "requests", "memorials", "roster"))
-    c = raw.select("generated", F.coalesce("page", F.lit(0)).alias("page"), F.posexplode(F.when(F.col("v") == 2, F.col("cemeteries")).otherwise(one)).alias("pos", "c")).withColumn("cem_id", F.col("c.id"))
+    c = raw.select("generated", F.coalesce("page", F.lit(0)).alias("page"), F.posexplode(F.when(F.col("v") == 2, F.col("cemeteries")).otherwise(one)).alias("pos", "c")) \
+        .withColumns({"cem_id": F.col("c.id"), "first": F.col("c.first")})
     cemetery = c.select(
         "cem_id", F.coalesce("c.name", F.concat(F.lit("Cemetery "), F.col("cem_id"))).alias("name"), F.coalesce("c.county", F.lit("")).alias("county"),
         F.col("c.lat").alias("lat"), F.col("c.lng").alias("lng"), F.col("c.miles").alias("miles"),
         F.coalesce("c.declination", F.lit(C.DEFAULT_DECLINATION)).alias("declination"), F.coalesce("c.contact", F.lit("")).alias("contact"),
         F.coalesce(F.nullif("c.meta.memorialsAsOf", F.lit("")), F.nullif("c.meta.asOf", F.lit("")), "generated", F.lit("")).alias("as_of"),
         F.col("c.rosterAsOf").alias("register_as_of"), F.coalesce("c.sgBlocks", F.array().cast("array<string>")).alias("sg_blocks"),
-        F.coalesce("c.meta.interments", F.lit(0)).alias("interments")).dropDuplicates(["cem_id"])
-    m = c.select("cem_id", F.posexplode("c.maps").alias("map_ord", "m")).withColumn("map_id", F.concat_ws("-", "cem_id", "map_ord"))
-    requests = c.select("cem_id", "page", F.posexplode("c.requests").alias("_p", "r"))
+        F.coalesce("c.meta.interments", F.lit(0)).alias("interments"), F.struct(F.col("c.lat").isNotNull().alias("has"), (-F.col("page")).alias("page")).alias("_told"))
+    names_ = [x for x in cemetery.columns if x not in ("cem_id", "_told")]
+    # the first document that says where the cemetery is
+    cemetery = cemetery.groupBy("cem_id").agg(F.max_by(F.struct(*names_), "_told").alias("f")).select("cem_id", "f.*")
+    m = c.select("cem_id", "first", F.posexplode("c.maps").alias("_at", "m")).withColumn("map_ord", F.coalesce("m.ord", "_at")).withColumn("map_id", F.concat_ws("-", "cem_id", "map_ord"))
+    requests = c.select("cem_id", "page", "first", F.posexplode("c.requests").alias("_p", "r"))
     requests = requests.select("cem_id", _ord(requests, "_p"), "r.*").filter("mid <> 0")
+    path_of = lambda field: c.select("cem_id", F.posexplode(field).alias("poly", "p")).select("cem_id", "poly", F.posexplode("p").alias("v", "q")).select(
+        "cem_id", "poly", "v", F.get("q", F.lit(0)).alias("lat"), F.get("q", F.lit(1)).alias("lng"))
+    rows_of = lambda field: c.select("cem_id", "page", "first", F.to_json(field).alias("rows"))
     return {
         "cemetery": cemetery,
         "section": c.select("cem_id", F.explode("c.sections").alias("section", "s")).select("cem_id", "section", "s.lat", "s.lng", F.col("s.radius").cast("int").alias("radius")),
-        "plat_map": m.select("map_id", "cem_id", "map_ord", "m.file", "m.section", F.coalesce("m.sub", F.lit("")).alias("sub"), "m.style", "m.transform.*", "m.quality",
-                             F.col("m.looMedian").alias("loo_median")),
-        "plat_entry": m.select("map_id", "cem_id", F.posexplode("m.entries").alias("ord", "e")).select(
-            "map_id", "cem_id", F.col("ord").cast("bigint").alias("ord"), F.get("e", F.lit(0)).alias("block"), F.get("e", F.lit(1)).alias("lot"),
+        "plat_map": m.filter("m.file IS NOT NULL OR m.section IS NOT NULL OR m.transform IS NOT NULL").select(
+            "map_id", "cem_id", "map_ord", "m.file", "m.section", F.coalesce("m.sub", F.lit("")).alias("sub"), "m.style", "m.transform.*", "m.quality", F.col("m.looMedian").alias("loo_median")),
+        "plat_entry": m.select("map_id", "cem_id", "first", F.posexplode("m.entries").alias("ord", "e")).select(
+            "map_id", "cem_id", (F.coalesce("first", F.lit(0)) + F.col("ord")).cast("bigint").alias("ord"), F.get("e", F.lit(0)).alias("block"), F.get("e", F.lit(1)).alias("lot"),
             F.get("e", F.lit(2)).try_cast("double").alias("x"), F.get("e", F.lit(3)).try_cast("double").alias("y")),
-        "ground_vertex": c.select("cem_id", F.posexplode("c.grounds.bounds").alias("poly", "p")).select("cem_id", "poly", F.posexplode("p").alias("v", "q")).select(
-            "cem_id", "poly", "v", F.get("q", F.lit(0)).alias("lat"), F.get("q", F.lit(1)).alias("lng")),
+        "ground_vertex": path_of("c.grounds.bounds"),
+        "drive_vertex": path_of("c.grounds.drives"),
+        "gate": c.select("cem_id", F.posexplode("c.grounds.gates").alias("gate", "q")).select("cem_id", "gate", F.get("q", F.lit(0)).alias("lat"), F.get("q", F.lit(1)).alias("lng")),
         "request": requests.withColumnsRenamed({"prId": "prid"}),
-        "memorial": read_memorial_rows(c.select("cem_id", "page", F.to_json("c.memorials").alias("rows"))),
-        "register": read_register_rows(c.select("cem_id", "page", F.to_json("c.roster").alias("rows"))),
+        "memorial": read_memorial_rows(rows_of("c.memorials")),
+        "register": read_register_rows(rows_of("c.roster")),
+        "manifest": c.select("cem_id", F.explode("c.manifest").alias("kind", "m")).select("cem_id", "kind", "m.n", "m.pages"),
     }
 
 
