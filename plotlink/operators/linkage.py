@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from plotlink import config as C
 from plotlink.functions import plots
 from plotlink.functions.frames import once, union_all
-from plotlink.functions.lineage import checkpointed
+from plotlink.functions.lineage import checkpointed, written
+from plotlink.operators.georef import connected
 
 NAME_COLS = ["nl", "sx", "nm", "cf", "fr", "by", "dy", "dyb"]
 PLOT_COLS = ["section", "block", "lot"]
@@ -245,7 +246,7 @@ def era_gated_link(register: DataFrame, memorial: DataFrame, links: DataFrame, c
     All open rows of one (surname, canonical first name) see the same memorials, so most of
     the sequence folds into counts: two memorials nobody else can claim close a name for
     good, and a name with one memorial of its own goes to its first row. Only names that
-    share memorials through a maiden name go through the ordered rounds.
+    share memorials through a maiden name go through ordered claims.
     """
     era = cemetery.filter("register_as_of IS NOT NULL").select("cem_id", "register_as_of")
     linked = links.filter("status = 'link'")
@@ -266,35 +267,61 @@ def era_gated_link(register: DataFrame, memorial: DataFrame, links: DataFrame, c
         F.min("mid").alias("mid"), F.min("first_ord").alias("ord"), F.min("first_key").alias("key"))
     simple = own.filter("n_offer = 1 AND n_own = 1").select("cem_id", "key", "mid")
     tangled = own.filter("n_own < 2 AND n_offer > n_own").select("cem_id", "nl", "cf")
-    cand = rows.join(tangled, ["cem_id", "nl", "cf"]).join(offer.select("cem_id", "nl", "cf", "mid"), ["cem_id", "nl", "cf"]) \
-        .select("cem_id", "key", "ord", "mid")
-    return simple.unionByName(claim_in_order(cand)).withColumn("score", F.lit(C.ERA_SCORE))
+    named = lambda df, *cols: df.join(tangled, ["cem_id", "nl", "cf"]).select("cem_id", F.concat_ws("\u001f", "nl", "cf").alias("name"), *cols)
+    return simple.unionByName(claims_of_names(named(rows, "key", "ord"), named(offer, "mid"))).withColumn("score", F.lit(C.ERA_SCORE))
 
 
 def claim_in_order(cand: DataFrame) -> DataFrame:
     """(cem_id, key, ord, mid) -> claims, as if rows came one by one in ``ord``: a row claims
-    when exactly one of its candidates is still free, else it is closed for good.
-
-    A row is decidable once it is the earliest open row of every one of its candidates; the
-    earliest open row always is, so the rounds end. State is cut with checkpoint()."""
-    open_ = checkpointed(cand.withColumn("free", F.lit(True)))
+    when exactly one of its candidates is still free, else it is closed for good."""
+    own = cand.withColumn("name", F.col("key").cast("string"))
+    return claims_of_names(own.select("cem_id", "name", "key", "ord").distinct(), own.select("cem_id", "name", "mid"))
+
+
+def claims_of_names(rows: DataFrame, offers: DataFrame) -> DataFrame:
+    """Ordered claims on a graph of names. ``rows``: cem_id, name, key, ord; ``offers``: cem_id, name, mid, the
+    memorials that any row of a name may claim.
+
+    A row claims only what is the last free memorial of its name, so a name claims once at most, by its first
+    row after the others' last claim of one of its memorials; all its other rows change nothing and
+    are passed over together. A pending claim is carried out when no name that shares the memorial can come
+    before it: a rival that has one memorial left by its own pending row, any other by its first row after
+    the soonest pending claim of their component. The soonest claim always is, so rounds end, and they
+    follow the claims in a component, not the rows of a name."""
+    on = ["cem_id", "name"]
+    least = offers.groupBy("cem_id", "mid").agg(F.min("name").alias("b"))
+    link = offers.join(least, ["cem_id", "mid"]).filter("name <> b").select("cem_id", F.col("name").alias("a"), "b").distinct()
+    edges = checkpointed(link.unionByName(link.select("cem_id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    comp = connected(offers.select("cem_id", F.col("name").alias("id")).distinct(), edges, "cem_id").select("cem_id", F.col("id").alias("name"), "comp")
+    rows, offers = written(rows, "claim-rows"), checkpointed(offers)
+    names = checkpointed(offers.groupBy(*on).agg(F.count("*").alias("n_free")).join(comp, on).withColumn("since", F.lit(None).cast(rows.schema["ord"].dataType)))
+    first_after = lambda who, t: rows.join(who, on).filter(F.col(t).isNull() | (F.col("ord") > F.col(t))).groupBy(*on).agg(F.min(F.struct("ord", "key")).alias("at"))
     claims = None
     while True:
-        head = open_.groupBy("cem_id", "mid").agg(F.min("ord").alias("head"))
-        j = open_.join(head, ["cem_id", "mid"])
-        ready = j.groupBy("cem_id", "key", "ord").agg(
-            F.min((F.col("ord") == F.col("head"))).alias("ready"),
-            F.count_if("free").alias("n_free"),
-            F.min(F.when(F.col("free"), F.col("mid"))).alias("mid"),
-        ).filter("ready").checkpoint()
-        won = ready.filter("n_free = 1").select("cem_id", "key", "mid")
+        one = names.filter("n_free = 1")
+        pending = checkpointed(first_after(one.select(*on, "since"), "since").join(names.select(*on, "comp"), on))
+        won = checkpointed(_undisputed(pending, names, offers, first_after).select(*on, F.col("at.key").alias("key"), F.col("at.ord").alias("ord"), "mid"))
         claims = won if claims is None else claims.unionByName(won)
-        rest = open_.join(ready.select("cem_id", "key"), ["cem_id", "key"], "left_anti") \
-            .join(won.select("cem_id", "mid", F.lit(True).alias("_won")), ["cem_id", "mid"], "left") \
-            .withColumn("free", F.col("free") & F.col("_won").isNull()).drop("_won").checkpoint()
-        if rest.isEmpty():
-            return claims
-        open_ = rest
+        if won.isEmpty():
+            return claims.select("cem_id", "key", "mid")
+        hit = offers.join(won.select("cem_id", "mid", "ord"), ["cem_id", "mid"]).groupBy(*on).agg(F.count("*").alias("_n"), F.max("ord").alias("_last"))
+        # names that have no row left for their last memorial are done
+        able = names.filter("n_free > 1").unionByName(one.join(pending.select(*on), on, "left_semi"))
+        left = able.join(hit, on, "left").select(*on, (F.col("n_free") - F.coalesce("_n", F.lit(0))).alias("n_free"), "comp", F.coalesce("_last", "since").alias("since"))
+        names = checkpointed(left.filter("n_free > 0"))
+        offers = checkpointed(offers.join(won.select("cem_id", "mid"), ["cem_id", "mid"], "left_anti").join(names.select(*on), on, "left_semi"))
+
+
+def _undisputed(pending: DataFrame, names: DataFrame, offers: DataFrame, first_after) -> DataFrame:
+    """Pending claims, with their memorial, that no rival can come before."""
+    on = ["cem_id", "name"]
+    ready = pending.join(offers, on)
+    rivals = offers.join(ready.select("cem_id", "mid", "at", F.col("name").alias("claimant")), ["cem_id", "mid"]).filter("name <> claimant")
+    soonest = pending.groupBy("cem_id", "comp").agg(F.min("at.ord").alias("soonest"))
+    many = names.filter("n_free > 1").join(rivals.select(*on).distinct(), on, "left_semi").join(soonest, ["cem_id", "comp"]).select(*on, "soonest")
+    could = pending.select(*on, F.col("at").alias("other")).unionByName(first_after(many, "soonest").withColumnRenamed("at", "other"))
+    disputed = rivals.join(could, on).filter(F.col("other") < F.col("at")).select("cem_id", F.col("claimant").alias("name")).distinct()
+    return ready.join(disputed, on, "left_anti")
 
 
 def request_memorial(request: DataFrame, memorial: DataFrame) -> DataFrame:
