@@ -14,11 +14,18 @@ from plotlink.streaming import progress as pg
 from plotlink.streaming import refit as rf
 
 
+#: Files that the event table arrives in, one a batch.
+ARRIVALS = 6
+
+
 def _event_stream(t, fixture):
-    """A fixture view over the event table read as a stream (static tables stay static)."""
-    schema = t.raw("events").schema
+    """A fixture view over the event table read as a stream (static tables stay static). The events arrive in
+    several files, dealt out of their order, each a batch of its own."""
+    events = t.raw("events")
+    path = f"{shared_root(t.spark)}/arrivals-{uuid.uuid4().hex}"
+    events.repartition(ARRIVALS, F.xxhash64("event_id")).write.parquet(path)
     name = f"events_stream_{uuid.uuid4().hex[:8]}"
-    t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir).createOrReplaceTempView(name)
+    t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).createOrReplaceTempView(name)
     base = {b: f"SELECT * FROM parquet.`{t.sf_dir}/{b}.parquet`" for b in fixtures.BASE_TABLES}
     base["events"] = f"SELECT * FROM {name}"
     return t.spark.sql(with_views(f"SELECT * FROM {fixture}", VIEWS, "spark", base))
@@ -31,7 +38,7 @@ def _dirs(t, name):
 
 @query("progress_merge")
 def _(t):
-    return pg.run_merge_stream(_event_stream(t, "fx_progress"), *_dirs(t, "progress"))
+    return pg.run_merge_stream(_event_stream(t, "fx_progress"), *_dirs(t, "progress"), fold_every=4)
 
 
 oracle("progress_merge", "SELECT * FROM o_progress")

@@ -27,18 +27,57 @@ def active(progress: DataFrame) -> DataFrame:
     return progress.filter(~F.coalesce("tombstone", F.lit(False)))
 
 
-def run_merge_stream(changes: DataFrame, out: str, checkpoint: str, ties: str = "incoming") -> DataFrame:
-    """Runs a change stream to its present end. Each micro-batch writes the graves it changed under
-    its own epoch, so a replayed batch overwrites only itself; a grave's newest epoch is its state."""
+def run_merge_stream(changes: DataFrame, out: str, checkpoint: str, ties: str = "incoming", fold_every: int = 16) -> DataFrame:
+    """Runs a change stream to its present end and gives the state.
+
+    A micro-batch writes the newest change of each of its graves under its own epoch, so a replayed batch
+    overwrites only itself. Epochs lie in groups of ``fold_every``; the batch that fills a group folds it,
+    with the state before it, into one row a grave. The state is read from the last fold and the open
+    group, so reading costs the live graves and at most ``fold_every`` batches, however long the stream."""
+    log = FoldedLog(changes, out, ties, fold_every)
+    q = changes.writeStream.foreachBatch(log.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return log.state()
 
-    def sink(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch:08d}")
 
-    q = merge_progress(changes, ties).writeStream.outputMode("update").foreachBatch(sink) \
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    log = changes.sparkSession.read.parquet(out)
-    return log.groupBy("pk").agg(F.max_by(F.struct(*VALUES, "arrival"), "epoch").alias("v")).select("pk", "v.*")
+class FoldedLog:
+    """Keyed state as written tables: ``fold`` (a row a grave up to a group's end), ``delta`` (batches of a group),
+    ``folded`` (which groups have been folded)."""
+
+    def __init__(self, changes: DataFrame, out: str, ties: str, fold_every: int):
+        self.spark, self.out, self.ties, self.every = changes.sparkSession, out, ties, fold_every
+        self.empty = self.spark.createDataFrame([], merge_progress(self.spark.createDataFrame([], changes.schema)).schema)
+        self.empty.write.mode("ignore").parquet(self._fold(-1))
+        self._open(0, "ignore")
+        self._told(-1).write.mode("ignore").parquet(f"{out}/folded/start")
+
+    def _fold(self, group: int) -> str:
+        return f"{self.out}/fold/group{group:06d}"
+
+    def _open(self, group: int, mode: str) -> None:
+        self.empty.write.mode(mode).parquet(f"{self.out}/delta/group{group:06d}/start")
+
+    def _told(self, group: int) -> DataFrame:
+        return self.spark.range(1).select(F.lit(group).alias("group"))
+
+    def _read(self, path: str, nested: bool = False) -> DataFrame:
+        return self.spark.read.schema(self.empty.schema).option("recursiveFileLookup", nested).parquet(path)
+
+    def _merged(self, group: int) -> DataFrame:
+        """The fold before a group with what the group has so far."""
+        return merge_into(self._read(self._fold(group - 1)), self._read(f"{self.out}/delta/group{group:06d}", True), self.ties)
+
+    def add(self, batch: DataFrame, epoch: int) -> None:
+        group = epoch // self.every
+        merge_progress(batch, self.ties).write.mode("overwrite").parquet(f"{self.out}/delta/group{group:06d}/epoch{epoch:09d}")
+        if epoch % self.every == self.every - 1:
+            self._merged(group).write.mode("overwrite").parquet(self._fold(group))
+            self._open(group + 1, "overwrite")
+            self._told(group).write.mode("overwrite").parquet(f"{self.out}/folded/group{group:06d}")
+
+    def state(self) -> DataFrame:
+        told = self.spark.read.schema("group int").option("recursiveFileLookup", True).parquet(f"{self.out}/folded")
+        return self._merged(told.agg(F.max("group")).first()[0] + 1)
 
 
 def backup_restore(current: DataFrame, backup: DataFrame) -> DataFrame:
