@@ -108,8 +108,9 @@ def paths(fitted: DataFrame, benefit: float) -> DataFrame:
     cutoff. A cutoff is of use if at least ``benefit`` of what it rejects is bad."""
     of_use = fitted.filter((F.col("bad_out") > 0) & (F.col("bad_out") >= benefit * (F.col("bad_out") + F.col("good_out"))))
     share = F.col("good_out") / (F.col("good_out") + F.col("bad_out"))
-    # a stricter cutoff comes no earlier than the looser ones of its rule
-    late = of_use.withColumn("late", F.max(share).over(Window.partitionBy("judge", "rule").orderBy("strict")))
+    # a stricter cutoff comes no earlier than the looser ones of its rule; where it is no worse, they are left out
+    by_rule = Window.partitionBy("judge", "rule").orderBy("strict")
+    late = of_use.withColumn("late", F.max(share).over(by_rule)).withColumn("next", F.lead("late").over(by_rule)).filter("next IS NULL OR next > late")
     order = Window.partitionBy("judge").orderBy("late", F.desc("bad_out"), "rule", "strict")  # rules x cutoffs at most
     return late.select("judge", "rule", "cutoff", F.row_number().over(order).alias("step"))
 

@@ -179,6 +179,10 @@ def test_contamination_equals_exact_containment(spark, corpus):
     want = {k: n for k, n in want.items() if n and 100 * n >= 80 * len(cases.shingles(dict(items)[k[1]], 5))}
     got = {(r.doc_id, r.item_id): r.n_shared for r in catalog.QUERIES["op5_decontaminate"](spark, SF).collect()}
     assert got == want and want
+    # cutoffs that reject no good text are on as strict as they come
+    out = quality_rules.judged(measured, quality_rules.thresholds(measured, labels)).filter("not base_failed").join(labels.select("doc_id", "quality"), "doc_id")
+    assert out.filter("quality = 0 and not kept").count() > 0.9 * out.filter("quality = 0").count()
+    assert out.filter("quality = 1 and not kept").count() <= 0.01 * out.filter("quality = 1").count()
 
 
 def test_contamination_of_odd_rows(spark):
@@ -355,12 +359,13 @@ def test_thresholds_equal_a_plain_version(spark):
         own = [(r, y, held[h]) for (s, h), (r, y) in texts.items() if judge[s] == j]
         cuts = []
         for rule, spec in quality_rules.RULES.items():
-            late = 0.0
+            late, of_rule = 0.0, {}
             for strict, c in enumerate(sorted(spec[4], reverse=spec[3] > 0)):
                 out = [y for r, y, x in own if not x and rejects(r, rule, c)]
                 if out and out.count(0) >= 0.9 * len(out) and out.count(0):
                     late = max(late, out.count(1) / len(out))
-                    cuts.append((late, -out.count(0), rule, strict, c))
+                    of_rule[late] = (late, -out.count(0), rule, strict, c)  # the strictest of equally good ones
+            cuts += of_rule.values()
         made[j] = sorted(cuts)
     n_paths = sum(bool(p) for p in made.values())
     for j, path in made.items():
