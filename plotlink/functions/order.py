@@ -19,6 +19,18 @@ def pick_at(df: DataFrame, by: list[str], value: str, index: Column, out: str) -
     return cum.filter(F.col("_cum") > index).groupBy(*by).agg(F.min(value).alias(out), F.first("n").alias("n"))
 
 
+def pick_global(df: DataFrame, value: str, width: float, index: Column, out: str) -> DataFrame:
+    """The element at a zero-based ``index`` (over ``n``) of all ascending values, as one row; none of no values.
+    Bins of ``width`` are counted first, then only the values of the bin that holds the element."""
+    of = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_bin"))
+    bins = of.groupBy("_bin").agg(F.count("*").alias("_c"))
+    cum = bins.withColumns({"_upto": F.sum("_c").over(Window.orderBy("_bin")), "n": F.sum("_c").over(Window.partitionBy())})  # as many rows as bins
+    at = cum.filter(F.col("_upto") > index).orderBy("_bin").limit(1).select("_bin", (F.col("_upto") - F.col("_c")).alias("_before"), "n")
+    inner = of.join(F.broadcast(at), "_bin").groupBy("_v", "_before", "n").agg(F.count("*").alias("_c"))
+    upto = F.col("_before") + F.sum("_c").over(Window.orderBy("_v"))
+    return inner.withColumn("_upto", upto).filter(F.col("_upto") > index).agg(F.min("_v").alias(out))
+
+
 def ranked(df: DataFrame, by: list[str], keys: list[str], out: str = "rank") -> DataFrame:
     """Row number of every row within its group, for groups of any size: rows are range
     partitioned by group and keys, each range is numbered on its own, and the ranges' sizes

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plotlink.functions import geo, plots
 from plotlink.functions.frames import once
 from plotlink.functions.lineage import checkpointed, written
-from plotlink.functions.order import pick_at
+from plotlink.functions.order import pick_at, pick_global
 
 T6 = ["a", "b", "c", "d", "f", "g"]
 
@@ -225,39 +225,52 @@ def band_offset_search(label: DataFrame, maps: DataFrame, pins: DataFrame) -> Da
 
 # ---------------------------------------------------------------- trust and fallback
 
-def fit_trust_fallback(pairs: DataFrame, fit: DataFrame, loo: DataFrame) -> DataFrame:
+def fit_trust_fallback(pairs: DataFrame, fit: DataFrame, loo: DataFrame, label: DataFrame | None = None, centroid: DataFrame | None = None) -> DataFrame:
     """Keeps an affine that is well supported, or consistent with the rotation and scale the
     trusted maps agree on; other maps get that rotation and scale with the translation most
-    of their pairs agree on. Neighbours within 15 m are counted by 15 m cells first."""
+    of their pairs agree on. Where a map's section has a known centre, the mean of its labels standing there
+    is one more such pair, so maps without any pair are placed as well. Neighbours within 15 m are counted by
+    15 m cells first. ``label``: map_id, x, y; ``centroid``: map_id, e, n.
+
+    Gives map_id, a..g, quality (good, fair, approx, rough), and of maps with three pairs the median and the 90th
+    percentile of what is left between all of them and their labels."""
     inl = explained_pairs(pairs, fit)
     spread = inl.groupBy("map_id").agg(
         F.count_distinct(F.round("e", 1), F.round("n", 1)).alias("coords"), F.sqrt(F.var_pop("x") + F.var_pop("y")).alias("spread"))
     t = fit.join(spread, "map_id").join(loo.select("map_id", F.col("median").alias("loo")), "map_id")
-    t = t.withColumns({"rot": F.round(F.degrees(F.atan2("d", "a")), 6), "sc": F.round(F.sqrt(F.expr("a * a + d * d")), 6),
-                       "strong": (F.col("coords") >= 6) & (F.col("spread") >= 90)})
-    cons = t.filter("loo <= 12 AND strong").agg(F.coalesce(geo.median_upper("rot"), F.lit(0.0)).alias("c_rot"), F.coalesce(geo.median_upper("sc"), F.lit(0.35)).alias("c_sc"))
+    t = written(t.withColumns({"rot": F.round(F.degrees(F.atan2("d", "a")), 6), "sc": F.round(F.sqrt(F.expr("a * a + d * d")), 6),
+                               "strong": (F.col("coords") >= 6) & (F.col("spread") >= 90)}), "trust")
+    trusted, middle = t.filter("loo <= 12 AND strong"), F.floor(F.col("n") / 2)
+    one = lambda name, width, default: pick_global(trusted, name, width, middle, f"c_{name}").select(F.coalesce(f"c_{name}", F.lit(default)).alias(f"c_{name}"), F.lit(1).alias("_one"))
     # the consensus is one row, so it can be broadcast; the constant key lets every map see it
-    t = t.withColumn("_one", F.lit(1)).join(F.broadcast(cons.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    cons = written(one("rot", 0.5, 0.0).join(one("sc", 0.01, 0.35), "_one"), "consensus")
+    t = t.withColumn("_one", F.lit(1)).join(F.broadcast(cons), "_one").drop("_one")
     dev = F.abs(F.pmod(F.col("rot") - F.col("c_rot") + 540, F.lit(360.0)) - 180)
     consistent = (dev <= 7) & (F.col("sc") / F.col("c_sc")).between(0.8, 1.25)
     ok = (F.col("loo") <= 20) & (F.col("strong") | (consistent & (F.col("coords") >= 4)))
     good = t.filter(ok).select("map_id", *T6, F.when((F.col("loo") <= 8) & F.col("strong"), "good").otherwise("fair").alias("quality"))
-    rest = pairs.join(good.select("map_id"), "map_id", "left_anti").withColumn("_one", F.lit(1)).join(F.broadcast(cons.withColumn("_one", F.lit(1))), "_one")
+    signal = pairs.select("map_id", "ord", "x", "y", "e", "n")
+    if label is not None and centroid is not None:
+        middle_of = label.groupBy("map_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+        signal = signal.unionByName(middle_of.join(centroid, "map_id").select("map_id", F.lit((1 << 62)).alias("ord"), "x", "y", "e", "n"))
+    rest = signal.join(good.select("map_id"), "map_id", "left_anti").withColumn("_one", F.lit(1)).join(F.broadcast(cons), "_one")
     ca, cd = F.col("c_sc") * F.cos(F.radians("c_rot")), F.col("c_sc") * F.sin(F.radians("c_rot"))
-    off = rest.select("map_id", "ord", ca.alias("ca"), cd.alias("cd"), F.round(F.col("e") - (ca * F.col("x") - cd * F.col("y")), 2).alias("tx"),
-                      F.round(F.col("n") - (cd * F.col("x") + ca * F.col("y")), 2).alias("ty"))
+    off = rest.select("map_id", "ord", ca.alias("ca"), cd.alias("cd"), F.round(F.col("e") - (ca * F.col("x") - cd * F.col("y")), 4).alias("tx"),
+                      F.round(F.col("n") - (cd * F.col("x") + ca * F.col("y")), 4).alias("ty"))
     at = off.groupBy("map_id", "ca", "cd", "tx", "ty").agg(F.count("*").alias("c"), F.min("ord").alias("ord"))
     cell = lambda c: F.floor(F.col(c) / 15)
     at = at.withColumns({"_cx": cell("tx"), "_cy": cell("ty")})
-    nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    near = at.withColumn("_k", F.explode(nine)).select("map_id", (F.col("_cx") + F.col("_k.i")).alias("_cx"), (F.col("_cy") + F.col("_k.j")).alias("_cy"),
-                                                     F.col("tx").alias("ux"), F.col("ty").alias("uy"), F.col("c").alias("uc"))
+    near = at.withColumn("_k", _around()).select("map_id", (F.col("_cx") + F.col("_k.i")).alias("_cx"), (F.col("_cy") + F.col("_k.j")).alias("_cy"),
+                                                 F.col("tx").alias("ux"), F.col("ty").alias("uy"), F.col("c").alias("uc"))
     j = at.join(near, ["map_id", "_cx", "_cy"]).filter(geo.dist(F.col("tx"), F.col("ty"), F.col("ux"), F.col("uy")) <= 15)
     dens = j.groupBy("map_id", "ca", "cd", "tx", "ty", "ord").agg(F.sum("uc").alias("cnt"), (F.sum(F.expr("ux * uc")) / F.sum("uc")).alias("gx"), (F.sum(F.expr("uy * uc")) / F.sum("uc")).alias("gy"))
     best = dens.groupBy("map_id").agg(F.min_by(F.struct("ca", "cd", "gx", "gy", "cnt"), F.struct(-F.col("cnt"), "ord")).alias("b")).select("map_id", "b.*")
     sim = best.select("map_id", F.col("ca").alias("a"), (-F.col("cd")).alias("b"), F.col("gx").alias("c"), F.col("cd").alias("d"), F.col("ca").alias("f"), F.col("gy").alias("g"),
                       F.when(F.col("cnt") >= 3, "approx").otherwise("rough").alias("quality"))
-    return good.unionByName(sim)
+    final = written(good.unionByName(sim), "placed-maps")
+    left = pairs.select("map_id", "x", "y", "e", "n").join(final, "map_id").withColumn("err", F.round(residual(), 4))
+    stat = lambda q, name: pick_at(left, ["map_id"], "err", q, name).filter("n >= 3").select("map_id", F.round(name, 1).alias(name))
+    return final.join(stat(F.floor(F.col("n") / 2), "acc_median"), "map_id", "left").join(stat(F.floor(0.9 * (F.col("n") - 1)), "acc_p90"), "map_id", "left")
 
 
 # ---------------------------------------------------------------- poses by vote
@@ -334,30 +347,62 @@ def cluster_compat(clusters: DataFrame, domain: DataFrame) -> DataFrame:
     return cnt.join(domain, ["map_id", "num"]).groupBy("map_id", "cluster", "block").agg((F.sum("_c") / F.first("size")).alias("share"))
 
 
-def assign_clusters(clusters: DataFrame, domain: DataFrame, pins: DataFrame, transform: DataFrame, sigma: float = 22, far: float = 55, veto: float = 0.55) -> DataFrame:
-    """Which block a label cluster is: share of known numbers times closeness to the block's
-    pins. A runner-up nearly as good vetoes; clusters left over whose numbers fit exactly one
-    block are taken by their numbers alone. ``pins``: map_id, block, e, n."""
-    t = transform.select("map_id", *T6)
-    compat = cluster_compat(clusters, domain)
+def _pin_distance(clusters: DataFrame, compat: DataFrame, pins: DataFrame, t: DataFrame, far: float) -> DataFrame:
+    """map_id, cluster, block, share, mdist: the upper median over a cluster's labels of the way to the nearest pin of
+    a block; farther than ``far`` is simply too far."""
     cell = lambda c: F.floor(F.col(c) / far)
-    nine = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spot = clusters.select("map_id", "cluster", "x", "y").join(t, "map_id").withColumns({
         "pe": F.expr("a * x + b * y + c"), "pn": F.expr("d * x + f * y + g")}).select("map_id", "cluster", "pe", "pn") \
         .groupBy("map_id", "cluster", "pe", "pn").agg(F.count("*").alias("k"))
     near = pins.select("map_id", "block", F.round("e", 2).alias("qe"), F.round("n", 2).alias("qn")).distinct() \
-        .withColumn("_k", F.explode(nine)).withColumns({"_cx": cell("qe") + F.col("_k.i"), "_cy": cell("qn") + F.col("_k.j")}).drop("_k")
+        .withColumn("_k", _around()).withColumns({"_cx": cell("qe") + F.col("_k.i"), "_cy": cell("qn") + F.col("_k.j")}).drop("_k")
     fits = compat.filter("share >= 0.7").join(spot, ["map_id", "cluster"]).withColumns({"_cx": cell("pe"), "_cy": cell("pn")})
     d = fits.join(near, ["map_id", "block", "_cx", "_cy"], "left").groupBy("map_id", "cluster", "block", "share", "pe", "pn", "k").agg(
         F.coalesce(F.min(geo.dist(F.col("pe"), F.col("pn"), F.col("qe"), F.col("qn"))), F.lit(1e9)).alias("d"))
     d = d.withColumn("d", F.round("d", 2)).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-    md = d.groupBy("map_id", "cluster", "block", "share").agg(geo.median_upper("d").alias("mdist"))
+    return d.groupBy("map_id", "cluster", "block", "share").agg(geo.median_upper("d").alias("mdist"))
+
+
+def _by_pins(md: DataFrame, sigma: float, far: float, veto: float) -> DataFrame:
+    """map_id, cluster, block: share of known numbers times closeness to the block's pins; a runner-up nearly as good
+    refuses the guess."""
     sc = md.filter(F.col("mdist") <= far).withColumn("score", F.col("share") * F.exp(-(F.col("mdist") * F.col("mdist")) / (2 * sigma * sigma)))
     w = Window.partitionBy("map_id", "cluster").orderBy(F.desc("score"), "block")
     top = sc.withColumn("_r", F.row_number().over(w)).filter("_r <= 2").groupBy("map_id", "cluster").agg(
         F.max(F.when(F.col("_r") == 1, F.struct("score", "block", "mdist"))).alias("b"), F.max(F.when(F.col("_r") == 2, F.col("score"))).alias("s2"))
-    sure = top.filter((F.col("s2").isNull() | (F.col("s2") <= F.col("b.score") * veto)) & (F.col("b.mdist") <= 40)).select(
-        "map_id", "cluster", F.col("b.block").alias("block"), F.lit("pins").alias("how"))
+    return top.filter((F.col("s2").isNull() | (F.col("s2") <= F.col("b.score") * veto)) & (F.col("b.mdist") <= 40)).select("map_id", "cluster", F.col("b.block").alias("block"))
+
+
+def lot_pairs(clusters: DataFrame, domain: DataFrame, pins: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Pins with the one label that has their lot's number in the clusters of their block. ``pins``: with lot_n."""
+    label = clusters.join(assigned, ["map_id", "cluster"]).join(domain, ["map_id", "block", "num"])
+    one = label.groupBy("map_id", "block", "num").agg(F.count("*").alias("_c"), F.min("x").alias("x"), F.min("y").alias("y")).filter("_c = 1")
+    return pins.filter("lot_n IS NOT NULL").join(one, (pins.map_id == one.map_id) & (pins.block == one.block) & (pins.lot_n == one.num)).select(pins.map_id, "x", "y", "e", "n")
+
+
+def refit_by_lots(pairs: DataFrame, seeds: DataFrame, transform: DataFrame, weight: int = 3, least: int = 6, turn: float = 12) -> DataFrame:
+    """Transforms of pages with at least ``least`` lot pairs, fitted anew to these, ``weight`` times, and the seeds; a page
+    that would turn by more than ``turn`` degrees keeps its own, like the others."""
+    many = pairs.groupBy("map_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("map_id")
+    heavy = pairs.join(many, "map_id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(weight)))).drop("_k")
+    new = fit_similarity(heavy.unionByName(seeds.select(*heavy.columns).join(many, "map_id"))).filter(F.abs(F.degrees(F.atan2("d", "a"))) <= turn)
+    return new.select("map_id", *T6).unionByName(transform.select("map_id", *T6).join(new.select("map_id"), "map_id", "left_anti"))
+
+
+def assign_clusters(clusters: DataFrame, domain: DataFrame, pins: DataFrame, transform: DataFrame, sigma: float = 22, far: float = 55, veto: float = 0.55,
+                    seeds: DataFrame | None = None) -> DataFrame:
+    """Which block a label cluster is: share of known numbers times closeness to the block's
+    pins, vetoed by a runner-up nearly as good. The lots of the assigned clusters refit their page, together with
+    its ``seeds`` (map_id, x, y, e, n), and the clusters are assigned again under the new transform. Clusters left
+    over whose numbers fit exactly one block are taken by their numbers alone. ``pins``: map_id, block, e, n, lot_n."""
+    t = transform.select("map_id", *T6)
+    compat = written(cluster_compat(clusters, domain), "compat")
+    first = _by_pins(_pin_distance(clusters, compat, pins, t, far), sigma, far, veto)
+    if "lot_n" in pins.columns:
+        none = t.sparkSession.createDataFrame([], clusters.select("map_id", "x", "y", F.lit(0.0).alias("e"), F.lit(0.0).alias("n")).schema)
+        t = written(refit_by_lots(lot_pairs(clusters, domain, pins, first), none if seeds is None else seeds, t), "refit")
+    md = written(_pin_distance(clusters, compat, pins, t, far), "pin-distance")
+    sure = _by_pins(md, sigma, far, veto).withColumn("how", F.lit("pins"))
     anchored = pins.select("map_id", "block").distinct().withColumn("_p", F.lit(True))
     left = compat.join(sure.select("map_id", "cluster"), ["map_id", "cluster"], "left_anti").join(anchored, ["map_id", "block"], "left") \
         .join(md.select("map_id", "cluster", "block", "mdist"), ["map_id", "cluster", "block"], "left") \
