@@ -202,25 +202,50 @@ def label_bands(label: DataFrame, delta: float = 0.0) -> DataFrame:
     return _assign(lots, F.lit(delta)).select("map_id", "block", F.col("s").alias("lot"), "x", "y")
 
 
+def _tried(hyp: DataFrame, pins: DataFrame, g: list[str], least: int) -> DataFrame:
+    """g, n_pairs and loo (leave-one-out median) of every hypothesis that has at least ``least`` pairs and a fit. One
+    hypothesis is one group of the very same fitting jobs."""
+    pairs = written(map_anchor_pairs(hyp, pins, g), "hypothesis-pairs")
+    size = pairs.groupBy(*g).agg(F.count("*").alias("n_pairs")).filter(F.col("n_pairs") >= least)
+    pairs = pairs.join(size.select(*g), g)
+    fit = written(ransac_affine(pairs, g), "hypothesis-fits")
+    loo = leave_one_out(explained_pairs(pairs, fit, g), g).select(*g, F.col("median").alias("loo"))
+    return size.join(fit.select(*g), g).join(loo, g, "left")
+
+
 def band_offset_search(label: DataFrame, maps: DataFrame, pins: DataFrame) -> DataFrame:
     """Offset between a block's letter and its band, by leave-one-out error of the fit it
-    leads to; within 20 % of the best error, more matched pairs win. One hypothesis is one
-    group of the very same fitting jobs. ``maps``: map_id, cem_id, section, style."""
-    lots = lot_labels(label).join(_bands(label), "map_id").join(maps, "map_id")
+    leads to; within 20 % of the best error, more matched pairs win. A map on which no offset can be fitted takes
+    the middle of its bands, with no pairs. ``maps``: map_id, cem_id, section, style."""
+    bands = _bands(label)
+    lots = lot_labels(label).join(bands, "map_id").join(maps, "map_id")
     top = geo.half_up(F.col("band_h") * 0.6).cast("int")
     hyp = lots.withColumn("delta", F.explode(F.sequence(-top, top, F.lit(2))))
     hyp = _assign(hyp, F.col("delta")).select("map_id", "delta", "cem_id", "section", "style", "block", F.col("s").alias("lot"), "x", "y")
-    g = ["map_id", "delta"]
-    pairs = written(map_anchor_pairs(hyp, pins, g), "offset-pairs")
-    size = pairs.groupBy(*g).agg(F.count("*").alias("n_pairs")).filter("n_pairs >= 5")
-    pairs = pairs.join(size.select(*g), g)
-    fit = written(ransac_affine(pairs, g), "offset-fits")
-    loo = leave_one_out(explained_pairs(pairs, fit, g), g).select(*g, F.col("median").alias("loo"))
-    tried = loo.join(size, g).groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("delta", "loo", "n_pairs"))).alias("tries"))
+    tried = _tried(hyp, pins, ["map_id", "delta"], 5).filter("loo IS NOT NULL")
+    tried = tried.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("delta", "loo", "n_pairs"))).alias("tries"))
     better = lambda s, t: (s.n_pairs == 0) | (t.loo < s.loo * 0.8) | ((t.loo < s.loo * 1.2) & (t.n_pairs > s.n_pairs))
     none = F.struct(F.lit(0).alias("delta"), F.lit(1e12).alias("loo"), F.lit(0).cast("bigint").alias("n_pairs"))
     pick = F.aggregate("tries", none, lambda s, t: F.when(better(s, t), t).otherwise(s))
-    return tried.select("map_id", F.size("tries").alias("n_tried"), pick.alias("p")).select("map_id", "n_tried", "p.*")
+    found = tried.select("map_id", F.size("tries").alias("n_tried"), pick.alias("p")).select("map_id", "n_tried", F.col("p.delta").cast("double").alias("delta"), "p.loo", "p.n_pairs")
+    middle = bands.join(maps.select("map_id"), "map_id", "left_semi").join(found.select("map_id"), "map_id", "left_anti")
+    return found.unionByName(middle.select("map_id", F.lit(0).alias("n_tried"), (F.col("band_h") / 2).alias("delta"), F.lit(None).cast("double").alias("loo"), F.lit(0).cast("bigint").alias("n_pairs")))
+
+
+def row_number_search(rows: DataFrame, maps: DataFrame, pins: DataFrame, offsets: int = 3) -> DataFrame:
+    """How the rows of a row-style map are numbered: from the top or from the bottom, and from which number on. Each
+    of the 2 x ``offsets`` ways names every label's row; the way whose fit has the least leave-one-out error
+    wins (999 where four pairs allow none), of equal ones the first. Without any fit rows count from the top.
+    ``rows``: map_id, row_idx, lot, x, y of ``row_bands``; ``maps``: map_id, cem_id, section."""
+    count = rows.groupBy("map_id").agg((F.max("row_idx") + 1).alias("n_rows"))
+    ways = F.array(*[F.struct(F.lit(w).alias("way"), F.lit(d).alias("direction"), F.lit(o).alias("first")) for w, (d, o) in enumerate((d, o) for d in (1, -1) for o in range(offsets))])
+    hyp = rows.join(count, "map_id").join(maps.select("map_id", "cem_id", "section"), "map_id").withColumn("_w", F.explode(ways)).select("*", "_w.*")
+    number = F.when(F.col("direction") == 1, F.col("row_idx") + 1 + F.col("first")).otherwise(F.col("n_rows") - F.col("row_idx") + F.col("first"))
+    hyp = hyp.select("map_id", "way", "direction", "first", "cem_id", "section", F.lit("rows").alias("style"), number.cast("string").alias("block"), "lot", "x", "y")
+    tried = _tried(hyp, pins, ["map_id", "way", "direction", "first"], 4).withColumn("loo", F.when(F.col("n_pairs") >= 5, F.col("loo")).otherwise(999.0)).filter("loo IS NOT NULL")
+    best = tried.groupBy("map_id").agg(F.min_by(F.struct("direction", "first", "loo", "n_pairs"), F.struct("loo", "way")).alias("b"), F.count("*").alias("n_tried"))
+    return count.join(best, "map_id", "left").select("map_id", "n_rows", F.coalesce("n_tried", F.lit(0)).alias("n_tried"), F.coalesce("b.direction", F.lit(1)).alias("direction"),
+                                                     F.coalesce("b.first", F.lit(0)).alias("first"), F.col("b.loo").alias("loo"), F.coalesce("b.n_pairs", F.lit(0)).alias("n_pairs"))
 
 
 # ---------------------------------------------------------------- trust and fallback
