@@ -8,7 +8,7 @@ beyond those of documents pass through unread, whatever their names."""
 from pyspark.sql import functions as F
 
 from plotlink.llm import decontaminate, jaccard_tree, line_templates, packing, quality_rules
-from plotlink.llm.common import free, new_path, numbered, same, without_rows
+from plotlink.llm.common import free, new_path, numbered, same
 
 
 def quality(spark, docs, sf_dir):
@@ -30,7 +30,9 @@ def near_duplicates(spark, docs, sf_dir):
     rows = numbered(docs, node)
     classes = jaccard_tree.jaccard_join(rows, k=5, num=80, den=100, id_col=node)
     gone = classes.filter(~same(F.col("doc_id"), F.col("component_id"))).select("doc_id")
-    return without_rows(rows, gone, F.col(node)).dropDuplicates([node]).drop(node)
+    # texts travel once: what goes and what is a repeated row are both found where a number's rows are together
+    number = free(rows, "_number")
+    return rows.repartition(node).join(gone.toDF(number).distinct(), F.col(node) == F.col(number), "left_anti").dropDuplicates([node]).drop(node)
 
 
 def benchmark(spark, docs, sf_dir):
