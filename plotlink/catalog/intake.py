@@ -148,7 +148,7 @@ _LINK = '<a href="/([^"]*)">([^<]*)</a>'
 
 @query("extract_label_values")
 def _(t):
-    return registers.extract_label_values(t.raw("pages"), "page_id", "html", _LINK)
+    return registers.extract_label_values(t.raw("pages"), "page_id", "html", _LINK, keep=None)
 
 
 oracle("extract_label_values", f"""

@@ -80,7 +80,7 @@ def canonical_lot(x: str) -> str:
 
 
 NICK = "SELECT * FROM (VALUES " + ",".join(
-    "('{}','{}')".format(*p.split(":")) for p in C.NICKNAMES.split()) + ") t(nick, canon)"
+    f"('{nick}','{canon}')" for nick, canon in C.NICKNAMES.items()) + ") t(nick, canon)"
 
 
 def name_keys(src: str, name: str, alt: str | None, cols: str = "s.*") -> str:

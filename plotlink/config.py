@@ -5,38 +5,42 @@ grammar tables to the jobs that take them.
 """
 
 # ---- fixed values: nickname -> canonical first name ------------------------------------
-NICKNAMES = """
-abe:abraham al:albert alex:alexander andy:andrew art:arthur barb:barbara bart:bartholomew
-bea:beatrice becky:rebecca bell:isabella belle:isabella ben:benjamin bert:albert bess:elizabeth
-bessie:elizabeth beth:elizabeth betsy:elizabeth betty:elizabeth bill:william billy:william
-bob:robert bobby:robert carrie:caroline cathy:catherine charley:charles charlie:charles
-chas:charles chris:christopher chuck:charles cindy:cynthia dan:daniel danny:daniel
-dave:david davy:david deb:deborah debbie:deborah dick:richard don:donald donnie:donald
-dora:dorothy dot:dorothy dottie:dorothy ed:edward eddie:edward edw:edward effie:euphemia
-ella:eleanor ellen:eleanor elsie:elizabeth fannie:frances fanny:frances flo:florence
-fran:frances frank:franklin fred:frederick freddie:frederick gene:eugene geo:george
-gerry:gerald gus:augustus hal:harold hank:henry hattie:harriet harry:henry herb:herbert
-hetty:henrietta jack:john jackie:jacqueline jake:jacob jas:james jen:jennifer
-jennie:jane jenny:jane jerry:gerald jim:james jimmy:james jno:john johann:john joe:joseph
-joey:joseph johnny:john jos:joseph josh:joshua josie:josephine kate:catherine
-katie:catherine kathy:catherine ken:kenneth kenny:kenneth kit:christopher larry:lawrence
-len:leonard lena:helena leo:leonard les:leslie lettie:letitia libby:elizabeth
-lige:elijah lizzie:elizabeth liz:elizabeth lon:alonzo lottie:charlotte lou:louis
-louie:louis lucy:lucille mabel:mabelle maggie:margaret mame:mary mamie:mary
-mandy:amanda margie:margaret marty:martin mat:matthew matt:matthew mattie:martha
-max:maxwell meg:margaret mel:melvin mike:michael millie:mildred mina:wilhelmina
-minnie:minerva mollie:mary molly:mary nan:nancy nancy:ann nate:nathan ned:edward
-nell:eleanor nellie:eleanor nettie:henrietta nick:nicholas nora:eleanora pam:pamela
-pat:patrick patsy:patricia patty:patricia peg:margaret peggy:margaret pete:peter
-phil:philip polly:mary ray:raymond rich:richard rick:richard ricky:richard
-rob:robert robt:robert rod:roderick ron:ronald ronnie:ronald rose:rosemary
-roxie:roxanne rudy:rudolph russ:russell sadie:sarah sallie:sarah sally:sarah
-sam:samuel sammy:samuel sandy:sandra sherm:sherman sid:sidney sol:solomon
-stan:stanley steve:stephen sue:susan susie:susan ted:theodore teddy:theodore
-terry:terrence thos:thomas tillie:matilda tim:timothy timmy:timothy tom:thomas
-tommy:thomas tony:anthony trish:patricia vic:victor vin:vincent viv:vivian
-walt:walter wes:wesley will:william willie:william wm:william zach:zachary zeke:ezekiel
-"""
+NICKNAMES = {
+    "abe": "abraham", "al": "albert", "alex": "alexander", "andy": "andrew", "art": "arthur", "barb": "barbara",
+    "bart": "bartholomew", "bea": "beatrice", "becky": "rebecca", "bell": "isabella", "belle": "isabella",
+    "ben": "benjamin", "bert": "albert", "bess": "elizabeth", "bessie": "elizabeth", "beth": "elizabeth",
+    "betsy": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert",
+    "bobby": "robert", "carrie": "caroline", "cathy": "catherine", "charley": "charles", "charlie": "charles",
+    "chas": "charles", "chris": "christopher", "chuck": "charles", "cindy": "cynthia", "dan": "daniel",
+    "danny": "daniel", "dave": "david", "davy": "david", "deb": "deborah", "debbie": "deborah", "dick": "richard",
+    "don": "donald", "donnie": "donald", "dora": "dorothy", "dot": "dorothy", "dottie": "dorothy", "ed": "edward",
+    "eddie": "edward", "edw": "edward", "effie": "euphemia", "ella": "eleanor", "ellen": "eleanor",
+    "elsie": "elizabeth", "fannie": "frances", "fanny": "frances", "flo": "florence", "fran": "frances",
+    "frank": "franklin", "fred": "frederick", "freddie": "frederick", "gene": "eugene", "geo": "george",
+    "gerry": "gerald", "gus": "augustus", "hal": "harold", "hank": "henry", "hattie": "harriet", "harry": "henry",
+    "herb": "herbert", "hetty": "henrietta", "jack": "john", "jackie": "jacqueline", "jake": "jacob", "jas": "james",
+    "jen": "jennifer", "jennie": "jane", "jenny": "jane", "jerry": "gerald", "jim": "james", "jimmy": "james",
+    "jno": "john", "johann": "john", "joe": "joseph", "joey": "joseph", "johnny": "john", "jos": "joseph",
+    "josh": "joshua", "josie": "josephine", "kate": "catherine", "katie": "catherine", "kathy": "catherine",
+    "ken": "kenneth", "kenny": "kenneth", "kit": "christopher", "larry": "lawrence", "len": "leonard",
+    "lena": "helena", "leo": "leonard", "les": "leslie", "lettie": "letitia", "libby": "elizabeth", "lige": "elijah",
+    "lizzie": "elizabeth", "liz": "elizabeth", "lon": "alonzo", "lottie": "charlotte", "lou": "louis",
+    "louie": "louis", "lucy": "lucille", "mabel": "mabelle", "maggie": "margaret", "mame": "mary", "mamie": "mary",
+    "mandy": "amanda", "margie": "margaret", "marty": "martin", "mat": "matthew", "matt": "matthew",
+    "mattie": "martha", "max": "maxwell", "meg": "margaret", "mel": "melvin", "mike": "michael", "millie": "mildred",
+    "mina": "wilhelmina", "minnie": "minerva", "mollie": "mary", "molly": "mary", "nan": "nancy", "nancy": "ann",
+    "nate": "nathan", "ned": "edward", "nell": "eleanor", "nellie": "eleanor", "nettie": "henrietta",
+    "nick": "nicholas", "nora": "eleanora", "pam": "pamela", "pat": "patrick", "patsy": "patricia",
+    "patty": "patricia", "peg": "margaret", "peggy": "margaret", "pete": "peter", "phil": "philip", "polly": "mary",
+    "ray": "raymond", "rich": "richard", "rick": "richard", "ricky": "richard", "rob": "robert", "robt": "robert",
+    "rod": "roderick", "ron": "ronald", "ronnie": "ronald", "rose": "rosemary", "roxie": "roxanne", "rudy": "rudolph",
+    "russ": "russell", "sadie": "sarah", "sallie": "sarah", "sally": "sarah", "sam": "samuel", "sammy": "samuel",
+    "sandy": "sandra", "sherm": "sherman", "sid": "sidney", "sol": "solomon", "stan": "stanley", "steve": "stephen",
+    "sue": "susan", "susie": "susan", "ted": "theodore", "teddy": "theodore", "terry": "terrence", "thos": "thomas",
+    "tillie": "matilda", "tim": "timothy", "timmy": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony",
+    "trish": "patricia", "vic": "victor", "vin": "vincent", "viv": "vivian", "walt": "walter", "wes": "wesley",
+    "will": "william", "willie": "william", "wm": "william", "zach": "zachary", "zeke": "ezekiel",
+}
 
 # ---- fixed values: name cleaning patterns ----------------------------------------------
 NAME_PUNCT = "[\"“”'’`.]"

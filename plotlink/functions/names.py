@@ -47,7 +47,7 @@ def last_first(full: Column) -> tuple[Column, Column]:
 def nickname_table(spark: SparkSession) -> DataFrame:
     """Two columns, one row per nickname of the fixed table (189 rows, safe to broadcast)."""
     rows = ",".join(
-        "('{}','{}')".format(*pair.split(":")) for pair in C.NICKNAMES.split()
+        f"('{nick}','{canon}')" for nick, canon in C.NICKNAMES.items()
     )
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(nick, canon)")
 

@@ -15,9 +15,10 @@ def _decode(c: Column) -> Column:
     return F.trim(F.replace(F.replace(c, F.lit("&amp;"), F.lit("&")), F.lit("&#39;"), F.lit("'")))
 
 
-def extract_label_values(pages: DataFrame, id_col: str, html_col: str, pair_regex: str = LABEL_VALUE, keep=None) -> DataFrame:
+def extract_label_values(pages: DataFrame, id_col: str, html_col: str, pair_regex: str = LABEL_VALUE, keep=tuple(C.REGISTER_LABELS)) -> DataFrame:
     """First value per label of each page. Entities are decoded, a value that only repeats
-    its label is empty. ``keep`` limits the labels."""
+    its label is empty. ``keep``: the labels that count, those of register pages unless others are given; None keeps
+    all."""
     pair = F.arrays_zip(F.regexp_extract_all(html_col, F.lit(pair_regex), F.lit(1)).alias("label"),
                         F.regexp_extract_all(html_col, F.lit(pair_regex), F.lit(2)).alias("value"))
     df = pages.select(id_col, F.posexplode(pair).alias("pos", "p"))

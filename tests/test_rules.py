@@ -359,3 +359,12 @@ def test_groups_of_up_to_26_pairs_are_searched_exhaustively(spark):
         rows.append((1, i, x, y, e, n, 1.0))
     fits = georef.ransac_affine(spark.createDataFrame(rows, "map_id long, ord long, x double, y double, e double, n double, w double")).collect()
     assert [[round(f[c], 3) for c in "abcdfg"] for f in fits] == [[0.5, -0.1, 7.0, 0.1, 0.6, -3.0]] and fits[0]["used"] == 4
+
+
+def test_register_pages_keep_their_own_labels(spark):
+    row = lambda label, value: f'<div class="label-value-row-label">{label}</div><div role="cell" class="label-value-row-value">{value}</div>'
+    html = row("Name", "LEE, ANN &amp; BO") + row("Parcel Owner", "someone") + row(" Sex ", "Sex") + row("Name", "LATER") + row("", "x")
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    got = lambda **o: {r["label"]: r["value"] for r in registers.extract_label_values(pages, "page_id", "html", **o).collect()}
+    assert got() == {"Name": "LEE, ANN & BO", "Sex": ""}
+    assert got(keep=None) == {"Name": "LEE, ANN & BO", "Sex": "", "Parcel Owner": "someone"}
