@@ -190,7 +190,7 @@ def _(t):
 
 
 oracle("out_of_bounds_filter", """
-  SELECT p.cem_id, p.map_id, p.ord, coalesce(o.off_m > 25, false) AS outside, round(o.off_m, 2) AS off_m FROM o_plat p LEFT JOIN o_off o USING (map_id, ord)""")
+  SELECT p.cem_id, p.map_id, p.ord, coalesce(o.off_m > 25, false) AS outside, case when o.off_m <= 25 then round(o.off_m, 2) end AS off_m FROM o_plat p LEFT JOIN o_off o USING (map_id, ord)""")
 
 # the cascade
 view("o_all_plat", """

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotlink.functions import geo, plots
+from plotlink.functions import geo, outline, plots
+from plotlink.functions.lineage import written
 from plotlink.operators.standardize import plot_keys
 
 KEY = ["cem_id", "section", "group_sub", "group_block"]
@@ -94,36 +95,17 @@ def nearest_cemetery(positions: DataFrame, cemetery: DataFrame, max_m: float = 1
 
 
 def out_of_bounds(entries: DataFrame, vertices: DataFrame, margin_m: float = 25) -> DataFrame:
-    """Plat entries with ``outside``: farther than ``margin_m`` from every outline of their
-    cemetery. ``vertices``: cem_id, poly, v, lat, lng. Outlines become edge arrays, so an
-    entry meets its cemetery's few polygons, not their edges."""
-    poly = vertices.groupBy("cem_id", "poly").agg(F.sort_array(F.collect_list(F.struct("v", "lat", "lng"))).alias("vs"))
-    poly = poly.withColumn("edges", F.transform("vs", lambda p, i: F.struct(
-        p.lat.alias("yi"), p.lng.alias("xi"),
-        F.get("vs", (i + F.size("vs") - 1) % F.size("vs")).lat.alias("yj"),
-        F.get("vs", (i + F.size("vs") - 1) % F.size("vs")).lng.alias("xj")))).drop("vs")
-    j = entries.select("cem_id", "map_id", "ord", "lat", "lng").join(poly, "cem_id")
-    lat, lng, m = F.col("lat"), F.col("lng"), F.lit(geo.M_PER_DEG)
-    kx = m * F.cos(F.radians("lat"))
-
-    def crosses(e):
-        over = (e.xi > lng) != (e.xj > lng)
-        cut = (e.yj - e.yi) * F.try_divide(lng - e.xi, e.xj - e.xi) + e.yi
-        return F.when(over & (lat < cut), 1).otherwise(0)
-
-    def distance(e):
-        vx, vy = (e.xi - e.xj) * kx, (e.yi - e.yj) * m
-        px, py = (lng - e.xj) * kx, (lat - e.yj) * m
-        len2 = vx * vx + vy * vy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * vx + py * vy) / F.when(len2 == 0, 1.0).otherwise(len2)))
-        return F.sqrt((px - t * vx) * (px - t * vx) + (py - t * vy) * (py - t * vy))
-
-    j = j.withColumns({
-        "_in": F.aggregate("edges", F.lit(0), lambda a, e: a + crosses(e)) % 2 == 1,
-        "_d": F.aggregate("edges", F.lit(1e12), lambda a, e: F.least(a, distance(e))),
-    })
-    d = j.groupBy("cem_id", "map_id", "ord").agg(F.min(F.when(F.col("_in"), 0.0).otherwise(F.col("_d"))).alias("off_m"))
-    return entries.join(d, ["cem_id", "map_id", "ord"], "left").withColumn("outside", F.coalesce(F.col("off_m") > margin_m, F.lit(False)))
+    """Plat entries with ``outside``: farther than ``margin_m`` from every outline of their cemetery, and ``off_m``, the way
+    to it: 0 inside, null where it is more than the margin. ``vertices``: cem_id, poly, v, lat, lng."""
+    key = ["cem_id", "map_id", "ord"]
+    edges = written(outline.edges_of(vertices, "poly"), "edges")
+    points = entries.select(*key, "lat", "lng")
+    within = outline.inside(points, edges, key).withColumn("_in", F.lit(True))
+    near = outline.near_edge(points, edges, key, margin_m)
+    known = vertices.select("cem_id").distinct().withColumn("_known", F.lit(True))
+    out = entries.join(within, key, "left").join(near, key, "left").join(known, "cem_id", "left")
+    off = F.when(F.col("_in"), 0.0).otherwise(F.col("dist_m"))
+    return out.withColumn("off_m", off).withColumn("outside", F.coalesce(F.col("_known"), F.lit(False)) & F.col("off_m").isNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()).drop("_in", "dist_m", "_known")
 
 
 def out_of_bounds_filter(entries: DataFrame, vertices: DataFrame, margin_m: float = 25) -> DataFrame:

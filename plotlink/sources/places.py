@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotlink import config as C
-from plotlink.functions import geo
+from plotlink.functions import geo, outline
 from plotlink.functions.frames import union_all
 
 
@@ -19,23 +19,16 @@ def discover_cemeteries(listing: DataFrame, home: tuple[float, float], radius_mi
 
 
 def _touching(points: DataFrame, bounds: DataFrame, cemetery: DataFrame, pad: float) -> DataFrame:
-    """Points with ``touch``: inside an outline, or near one of its vertices. Outlines are
-    small arrays, so a point meets its cemetery's few outlines. Cemeteries without an outline
+    """Points with ``touch``: inside an outline, or near one of its vertices. Cemeteries without an outline
     use their centroid as the only vertex."""
-    poly = bounds.groupBy("cem_id", "el_id").agg(F.array_sort(F.collect_list(F.struct("v", "lat", "lng"))).alias("vs"))
-    bare = cemetery.join(bounds.select("cem_id").distinct(), "cem_id", "left_anti").select(
-        "cem_id", F.lit(-1).cast("bigint").alias("el_id"), F.array(F.struct(F.lit(0).alias("v"), "lat", "lng")).alias("vs"))
-    poly = poly.unionByName(bare).select("cem_id", "vs", (F.size("vs") > 1).alias("is_area"))
-    j = points.join(poly, "cem_id")
-    lat, lng = F.col("lat"), F.col("lng")
-
-    def crossing(p, i):
-        o = F.get("vs", (i + F.size("vs") - 1) % F.size("vs"))
-        return F.when(((p.lng > lng) != (o.lng > lng)) & (lat < (o.lat - p.lat) * F.try_divide(lng - p.lng, o.lng - p.lng) + p.lat), 1).otherwise(0)
-
-    inside = F.aggregate(F.transform("vs", crossing), F.lit(0), lambda a, x: a + x) % 2 == 1
-    close = F.exists("vs", lambda p: (F.abs(p.lat - lat) < pad) & (F.abs(p.lng - lng) < pad))
-    return j.withColumn("hit", inside | close).groupBy("cem_id", "el_id", "v", "lat", "lng").agg(F.max("hit").alias("touch"), F.max("is_area").alias("has_area"))
+    key = ["cem_id", "el_id", "v"]
+    bare = cemetery.join(bounds.select("cem_id").distinct(), "cem_id", "left_anti").select("cem_id", "lat", "lng", F.lit(False).alias("has_area"))
+    # an outline of one vertex has no area
+    areas = bounds.groupBy("cem_id", "el_id").agg((F.count("*") > 1).alias("a")).groupBy("cem_id").agg(F.max("a").alias("has_area"))
+    hit = outline.inside(points, outline.edges_of(bounds, "el_id"), key).unionByName(
+        outline.near_vertex(points, bounds.select("cem_id", "lat", "lng").unionByName(bare.select("cem_id", "lat", "lng")), key, pad)).distinct()
+    known = areas.unionByName(bare.select("cem_id", "has_area"))
+    return points.join(known, "cem_id").join(hit.withColumn("touch", F.lit(True)), key, "left").withColumn("touch", F.coalesce("touch", F.lit(False)))
 
 
 def classify_grounds(elements: DataFrame, cemetery: DataFrame, pad: float = 0.0006) -> DataFrame:
