@@ -2,7 +2,7 @@
 
 from plotlink.catalog.registry import Tables, model
 from plotlink.functions.lineage import written
-from plotlink.operators import linkage
+from plotlink.operators import georef, linkage
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +24,12 @@ def test_evidence_keys_are_not_broadcast(spark):
     fold = lambda df, side, key: written(linkage.profiles(df, side, key), "profiles")
     pairs = linkage.scored_profiles(fold(m.register, "r", "key"), fold(m.memorial, "m", "mid"), "r", "m", 55)
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leave_one_out_goes_over_the_pairs_twice(spark):
+    rows = [(1, i, float(i % 7), float(i * i % 11), 2.0 * (i % 7) + i % 3, 3.0 * (i * i % 11)) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "map_id int, ord long, x double, y double, e double, n double").selectExpr("*", "1d AS w")
+    got = georef.leave_one_out(pairs)
+    assert joins(got) == 1 and got.columns == ["map_id", "median", "p75", "p90", "n_loo"]
+    (row,) = got.collect()
+    assert row.n_loo == 40 and 0 < row.median <= row.p75 <= row.p90
