@@ -33,3 +33,9 @@ def test_leave_one_out_goes_over_the_pairs_twice(spark):
     assert joins(got) == 1 and got.columns == ["map_id", "median", "p75", "p90", "n_loo"]
     (row,) = got.collect()
     assert row.n_loo == 40 and 0 < row.median <= row.p75 <= row.p90
+
+
+def test_consensus_reads_its_steps_once(spark):
+    rows = [(1, i, float(i % 7), float(i * i % 11), 2.0 * (i % 7) + i % 3, 3.0 * (i * i % 11)) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "map_id int, ord long, x double, y double, e double, n double").selectExpr("*", "1d AS w")
+    assert joins(georef.ransac_affine(pairs, area=1)) <= 6
