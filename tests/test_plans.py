@@ -2,7 +2,7 @@
 
 from plotlink.catalog.registry import Tables, model
 from plotlink.functions.lineage import written
-from plotlink.operators import georef, linkage
+from plotlink.operators import georef, linkage, maintain
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +39,12 @@ def test_consensus_reads_its_steps_once(spark):
     rows = [(1, i, float(i % 7), float(i * i % 11), 2.0 * (i % 7) + i % 3, 3.0 * (i * i % 11)) for i in range(40)]
     pairs = spark.createDataFrame(rows, "map_id int, ord long, x double, y double, e double, n double").selectExpr("*", "1d AS w")
     assert joins(georef.ransac_affine(pairs, area=1)) <= 6
+
+
+def test_photo_slots_read_their_states_once(spark):
+    stored = spark.createDataFrame([("a", 0, "h1")], "pk string, slot int, sha string")
+    come = spark.createDataFrame([(1, "a", 0, "h1", 9, "FFD8"), (2, "a", 0, "h2", 9, "FFD8"), (3, "b", 1, "h3", 9, "FFD8"), (4, "b", 1, "h3", 9, "FFD8")],
+                                 "arrival long, pk string, slot int, sha string, size long, magic string")
+    got = maintain.assign_photo_slots(stored, come)
+    assert joins(got) <= 3
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 0, "retry"), (2, "a", 1, "moved"), (3, "b", 1, "as asked"), (4, "b", 1, "retry")}
