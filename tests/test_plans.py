@@ -2,7 +2,8 @@
 
 from plotlink.catalog.registry import Tables, model
 from plotlink.functions.lineage import written
-from plotlink.operators import georef, linkage, maintain
+from plotlink.operators import anchors, burials, georef, linkage, maintain
+from plotlink.plans import locate
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,28 @@ def test_photo_slots_read_their_states_once(spark):
     got = maintain.assign_photo_slots(stored, come)
     assert joins(got) <= 3
     assert {tuple(r) for r in got.collect()} == {(1, "a", 0, "retry"), (2, "a", 1, "moved"), (3, "b", 1, "as asked"), (4, "b", 1, "retry")}
+
+
+PARTS = "cem_id int, section string, sub string, block string, lot string"
+
+
+def test_tiers_and_sections_are_planned_one_at_a_time(spark):
+    rows = [(1, "A", "", "1", str(i % 4), 10.0 + i % 4, 20.0, "field", i) for i in range(12)]
+    anchor = spark.createDataFrame(rows, "cem_id int, section string, sub string, block string, lot_key string, e double, n double, src string, ord long")
+    cem = spark.createDataFrame([(1, 43.0, -84.0)], "cem_id int, lat double, lng double")
+    given = spark.createDataFrame([], "cem_id int, section string, lat double, lng double, radius int")
+    plat = spark.createDataFrame([], "cem_id int, map_ord int, section string, sub string, style string, quality string, loo_median double, ord long, block string, lot string, e double, n double")
+    section = anchors.derive_sections(anchor, given, cem)
+    assert joins(section) <= 4 and section.count() == 1
+    got = locate.locate_plots(spark.createDataFrame([(1, "A", "", "1", "2"), (1, "A", "", "9", "")], PARTS), plat, anchor, section, cem)
+    assert joins(got) <= 1
+    assert {(r.block, r.level) for r in got.collect()} == {("1", "lot"), ("9", "section")}
+
+
+def test_neighbours_are_found_once_and_then_ranked(spark):
+    people = [(1, "mem", i, i, f"N{i}", 0, 0, "A", "", "1", "5", str(i), i % 2 == 0, False, "5", 5, "", "1") for i in range(4)]
+    b = spark.createDataFrame(people, "cem_id int, kind string, id long, ord long, name string, by int, dy int, section string, sub string, block string, lot string, "
+                              "grave string, has_photo boolean, hidden boolean, lot_key string, lot_n int, group_sub string, group_block string")
+    got = burials.neighbor_pick(spark.createDataFrame([(2, 1, "A", "", "1", "5")], f"mid long, {PARTS}"), b)
+    assert joins(got) <= 1
+    assert sorted(r.id for r in got.collect()) == [0, 1, 3]
