@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plotlink.functions import geo, names
 from plotlink.functions.frames import once, union_all
+from plotlink.functions.lineage import written
 from plotlink.functions.order import pick_at, ranked
 
 FINISHED = ("done", "nostone", "notfound")
@@ -245,4 +246,5 @@ def map_layers(memorial: DataFrame, register: DataFrame, register_pins: DataFram
     tgt = _status(enriched.filter("lat IS NOT NULL"), progress)
     st = F.coalesce("st", F.lit(""))
     tgt = row(tgt, "target", F.col("mid"), F.col("ln"), F.when(st == "done", "done").when(st != "", "tried").otherwise("open"), None, F.col("level").isin("family", "section"))
-    return union_all([graves, fixed, reg, lots, secs, tgt])
+    # each layer is written, so that the driver plans one at a time
+    return union_all([written(layer, "layer") for layer in (graves, fixed, reg, lots, secs, tgt)])
