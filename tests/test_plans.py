@@ -1,5 +1,6 @@
 """Plans that the driver can hold: what is read many times is written once, what is exploded is not broadcast."""
 
+from plotlink.catalog import fixtures, registry
 from plotlink.catalog.registry import Tables, model
 from plotlink.functions.lineage import written
 from plotlink.operators import anchors, burials, georef, linkage, maintain
@@ -74,3 +75,10 @@ def test_neighbours_are_found_once_and_then_ranked(spark):
     got = burials.neighbor_pick(spark.createDataFrame([(2, 1, "A", "", "1", "5")], f"mid long, {PARTS}"), b)
     assert joins(got) <= 1
     assert sorted(r.id for r in got.collect()) == [0, 1, 3]
+
+
+def test_a_reverse_link_builds_no_requests(spark, monkeypatch):
+    made = registry.Tables(spark, SF)
+    monkeypatch.setattr(registry, "_MODELS", {})
+    registry.QUERIES["best_register_per_memorial"](spark, SF).count()
+    assert "request" not in registry.model(made)._made
