@@ -82,3 +82,11 @@ def test_a_reverse_link_builds_no_requests(spark, monkeypatch):
     monkeypatch.setattr(registry, "_MODELS", {})
     registry.QUERIES["best_register_per_memorial"](spark, SF).count()
     assert "request" not in registry.model(made)._made
+
+
+def test_base_tables_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 40)
+    monkeypatch.setattr(fixtures, "_PARTS", {})
+    rows = spark.read.parquet(f"{SF}/part.parquet").count()
+    dealt = spark.sql(fixtures._base(spark, SF, "part"))
+    assert dealt.count() == rows and dealt.rdd.getNumPartitions() >= max(rows / 40, spark.sparkContext.defaultParallelism)
