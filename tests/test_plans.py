@@ -90,3 +90,16 @@ def test_base_tables_are_dealt_by_rows(spark, monkeypatch):
     rows = spark.read.parquet(f"{SF}/part.parquet").count()
     dealt = spark.sql(fixtures._base(spark, SF, "part"))
     assert dealt.count() == rows and dealt.rdd.getNumPartitions() >= max(rows / 40, spark.sparkContext.defaultParallelism)
+
+
+def test_a_fit_does_not_lay_out_its_pairs(spark):
+    label = spark.createDataFrame([(m, 1, "A", "lots" if m == 9 else "rows", b, str(i), float(i % 4), float(i * i % 7)) for m in (1, 2, 9) for i in range(12) for b in ("P", "Q")][:60],
+                                  "map_id int, cem_id int, section string, style string, block string, lot string, x double, y double")
+    pins = spark.createDataFrame([(1, "A", "", b, i, i % 4 * 2.0 + j % 3, i * i % 7 * 3.0 + j % 2, 1 / (1 + j % 4), 100 * i + j) for i in range(12) for j in range(9) for b in ("P", None)],
+                                 "cem_id int, section string, sub string, block string, lot_n long, e double, n double, w double, ord long")
+    rounded = lambda df: sorted((r.map_id, r.n_pairs, *[round(r[k], 8) for k in georef.T6]) for r in df.collect())
+    got = georef.fit_anchors(label, pins)
+    assert rounded(got) == rounded(georef.fit_affine(georef.map_anchor_pairs(label, pins))) and got.count() >= 2
+    # pins of one lot are summed before they meet labels
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [cem_id") >= 1 and "sum(w" in plan[plan.index("Join"):]
