@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotlink.functions.frames import union_all
+from plotlink.functions.lineage import written
 from plotlink.sources.feeds import MEMORIAL_POS, REGISTER_POS
 
 #: Document field: column, in the order of the format.
@@ -61,11 +62,13 @@ def publish_bundle(tables: dict[str, DataFrame], generated: str = "", home: tupl
     for name, kind, row in (("request", "requests", lambda df: F.struct(*[F.col(c).alias(f) for f, c in REQUEST_FIELDS.items() if c in df.columns])),
                             ("memorial", "memorials", lambda df: strings(MEMORIAL_POS)), ("register", "roster", lambda df: strings(REGISTER_POS))):
         if (df := tables.get(name)) is not None:
+            df = written(df, name)  # placed, paged and told below
             docs.append(lines(_pages(df, ["cem_id"], page_rows, row(df)), kind, "first", F.col("rows").alias(kind)))
             told.append(df.groupBy("cem_id").agg(F.count("*").alias("n")).select("cem_id", F.lit(kind).alias("kind"), "n", F.ceil(F.col("n") / page_rows).alias("pages")))
     maps, entry = tables.get("plat_map"), tables.get("plat_entry")
     if maps is not None and entry is not None:
         entry = entry.drop("cem_id").join(maps.select("map_id", "cem_id", F.col("map_ord").cast("int").alias("map_ord")), "map_id")
+        entry = written(entry, "map-entries")
         part = F.array(F.struct(F.col("map_ord").alias("ord"), F.col("rows").alias("entries")))
         docs.append(lines(_pages(entry, ["cem_id", "map_ord"], page_rows, strings(["block", "lot", "x", "y"])), "entries", "first", part.alias("maps")))
         of_map = entry.groupBy("cem_id", "map_ord").agg(F.count("*").alias("n")).groupBy("cem_id").agg(F.sum("n").alias("n"), F.sum(F.ceil(F.col("n") / page_rows)).alias("pages"))

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from plotlink import config as C
 from plotlink.functions import dates, geo, plots
 from plotlink.functions.frames import once
+from plotlink.functions.lineage import written
 
 MEMORIAL_POS = ["mid", "name", "maiden", "by", "dy", "plot", "lat", "lng", "flags", "fam"]
 REGISTER_POS = ["key", "name", "sex", "bd", "dd", "burial", "section", "sub", "block", "lot", "grave", "status", "flags", "note", "former"]
@@ -27,7 +28,11 @@ def _ord(df: DataFrame, pos: str) -> Column:
 def _positional(df: DataFrame, json_col: str, names_: list[str]) -> DataFrame:
     rows = F.from_json(F.col(json_col), "array<array<string>>")
     df = df.select(*[c for c in df.columns if c != json_col], F.posexplode_outer(rows).alias("_p", "_r"))
-    return df.filter("_r IS NOT NULL").select("cem_id", _ord(df, "_p"), *[F.get("_r", F.lit(i)).alias(n) for i, n in enumerate(names_)])
+    return _cells(df, "_p", "_r", names_)
+
+
+def _cells(df: DataFrame, pos: str, row: str, names_: list[str]) -> DataFrame:
+    return df.filter(F.col(row).isNotNull()).select("cem_id", _ord(df, pos), *[F.get(row, F.lit(i)).alias(n) for i, n in enumerate(names_)])
 
 
 def _text(c: str) -> Column:
@@ -37,7 +42,11 @@ def _text(c: str) -> Column:
 def read_memorial_rows(df: DataFrame, json_col: str = "rows") -> DataFrame:
     """Positional memorial arrays to typed rows. A repeated memorial keeps its first place
     and its last values; rows without a number are dropped."""
-    df = _positional(df, json_col, MEMORIAL_POS).withColumn("mid", F.col("mid").try_cast("double").cast("bigint")).filter("mid <> 0")
+    return _memorials(_positional(df, json_col, MEMORIAL_POS))
+
+
+def _memorials(df: DataFrame) -> DataFrame:
+    df = df.withColumn("mid", F.col("mid").try_cast("double").cast("bigint")).filter("mid <> 0")
     rest = [c for c in MEMORIAL_POS if c != "mid"]
     df = df.groupBy("cem_id", "mid").agg(F.max_by(F.struct(*rest), "ord").alias("v"), F.min("ord").alias("ord")).select("cem_id", "ord", "mid", "v.*")
     num = lambda c, t: F.coalesce(F.col(c).try_cast(t), F.lit(0)).alias(c)
@@ -46,7 +55,10 @@ def read_memorial_rows(df: DataFrame, json_col: str = "rows") -> DataFrame:
 
 
 def read_register_rows(df: DataFrame, json_col: str = "rows") -> DataFrame:
-    df = _positional(df, json_col, REGISTER_POS)
+    return _registers(_positional(df, json_col, REGISTER_POS))
+
+
+def _registers(df: DataFrame) -> DataFrame:
     return df.select("cem_id", "ord", F.col("key").try_cast("bigint").alias("key"),
                      *[F.coalesce(F.col("flags").try_cast("int"), F.lit(0)).alias(c) if c == "flags" else _text(c) for c in REGISTER_POS[1:]])
 
@@ -66,6 +78,28 @@ _BUNDLE = (
 )
 
 
+def _listed_rows(c: DataFrame) -> DataFrame:
+    """cem_id, page, first, kind, map_ord, _p, cells, r: the rows of all lists of the documents, written, so that texts are
+    parsed for them once and not for every table."""
+    request = F.col("c.requests")
+    kinds = c.schema["c"].dataType
+    cells, asked = kinds["memorials"].dataType.elementType, kinds["requests"].dataType.elementType
+    item = lambda kind, at, pos, row, r: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("map_ord"), pos.alias("_p"), row.cast(cells).alias("cells"), r.cast(asked).alias("r"))
+    none = F.lit(None)
+    kept = f"array<struct<kind:string,map_ord:int,_p:int,cells:{cells.simpleString()},r:{asked.simpleString()}>>"
+    some = lambda rows: F.coalesce(rows, F.array().cast(kept))
+    of_map = F.transform("c.maps", lambda m, k: some(F.transform(m["entries"], lambda e, i: item("entry", F.coalesce(m["ord"], k), i, e, none))))
+    lists = [F.transform(request, lambda x, i: item("request", none, i, none, x)), F.flatten(of_map),
+             F.transform("c.memorials", lambda x, i: item("memorial", none, i, x, none)), F.transform("c.roster", lambda x, i: item("register", none, i, x, none))]
+    return written(c.select("cem_id", "page", "first", F.inline(F.concat(*[some(x) for x in lists]))), "bundle-rows")
+
+
+def _facts(c: DataFrame) -> DataFrame:
+    """The documents without their lists, written."""
+    maps = F.transform("c.maps", lambda m: m.dropFields("entries"))
+    return written(c.withColumn("c", F.col("c").dropFields("requests", "memorials", "roster").withField("maps", maps)), "bundle-facts")
+
+
 def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> dict[str, DataFrame]:
     """A published bundle (one JSON document per file, or one per line) to
     tables: cemetery, section, plat_map, plat_entry, ground_vertex, drive_vertex, gate, request, memorial,
@@ -85,6 +119,7 @@ def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> d
         "rosterAsOf", "sgBlocks", "sections", "maps", "grounds", "requests", "memorials", "roster"))
     c = raw.select("generated", F.coalesce("page", F.lit(0)).alias("page"), F.posexplode(F.when(F.col("v") == 2, F.col("cemeteries")).otherwise(one)).alias("pos", "c")) \
         .withColumns({"cem_id": F.col("c.id"), "first": F.col("c.first")})
+    listed, c = _listed_rows(c), _facts(c)
     cemetery = c.select(
         "cem_id", F.coalesce("c.name", F.concat(F.lit("Cemetery "), F.col("cem_id"))).alias("name"), F.coalesce("c.county", F.lit("")).alias("county"),
         F.col("c.lat").alias("lat"), F.col("c.lng").alias("lng"), F.col("c.miles").alias("miles"),
@@ -96,25 +131,26 @@ def read_bundle(spark: SparkSession, path: str, one_per_line: bool = False) -> d
     # the first document that says where the cemetery is
     cemetery = cemetery.groupBy("cem_id").agg(F.max_by(F.struct(*names_), "_told").alias("f")).select("cem_id", "f.*")
     m = c.select("cem_id", "first", F.posexplode("c.maps").alias("_at", "m")).withColumn("map_ord", F.coalesce("m.ord", "_at")).withColumn("map_id", F.concat_ws("-", "cem_id", "map_ord"))
-    requests = c.select("cem_id", "page", "first", F.posexplode("c.requests").alias("_p", "r"))
+    requests = listed.filter("kind = 'request'")
     requests = requests.select("cem_id", _ord(requests, "_p"), "r.*").filter("mid <> 0")
     path_of = lambda field: c.select("cem_id", F.posexplode(field).alias("poly", "p")).select("cem_id", "poly", F.posexplode("p").alias("v", "q")).select(
         "cem_id", "poly", "v", F.get("q", F.lit(0)).alias("lat"), F.get("q", F.lit(1)).alias("lng"))
-    rows_of = lambda field: c.select("cem_id", "page", "first", F.to_json(field).alias("rows"))
+    rows_of = lambda kind, names_: _cells(listed.filter(F.col("kind") == kind), "_p", "cells", names_)
+    entries = listed.filter("kind = 'entry'").withColumn("map_id", F.concat_ws("-", "cem_id", "map_ord"))
     return {
         "cemetery": cemetery,
         "section": c.select("cem_id", F.explode("c.sections").alias("section", "s")).select("cem_id", "section", "s.lat", "s.lng", F.col("s.radius").cast("int").alias("radius")),
         "plat_map": m.filter("m.file IS NOT NULL OR m.section IS NOT NULL OR m.transform IS NOT NULL").select(
             "map_id", "cem_id", "map_ord", "m.file", "m.section", F.coalesce("m.sub", F.lit("")).alias("sub"), "m.style", "m.transform.*", "m.quality", F.col("m.looMedian").alias("loo_median")),
-        "plat_entry": m.select("map_id", "cem_id", "first", F.posexplode("m.entries").alias("ord", "e")).select(
-            "map_id", "cem_id", (F.coalesce("first", F.lit(0)) + F.col("ord")).cast("bigint").alias("ord"), F.get("e", F.lit(0)).alias("block"), F.get("e", F.lit(1)).alias("lot"),
-            F.get("e", F.lit(2)).try_cast("double").alias("x"), F.get("e", F.lit(3)).try_cast("double").alias("y")),
+        "plat_entry": entries.select(
+            "map_id", "cem_id", (F.coalesce("first", F.lit(0)) + F.col("_p")).cast("bigint").alias("ord"), F.get("cells", F.lit(0)).alias("block"), F.get("cells", F.lit(1)).alias("lot"),
+            F.get("cells", F.lit(2)).try_cast("double").alias("x"), F.get("cells", F.lit(3)).try_cast("double").alias("y")),
         "ground_vertex": path_of("c.grounds.bounds"),
         "drive_vertex": path_of("c.grounds.drives"),
         "gate": c.select("cem_id", F.posexplode("c.grounds.gates").alias("gate", "q")).select("cem_id", "gate", F.get("q", F.lit(0)).alias("lat"), F.get("q", F.lit(1)).alias("lng")),
         "request": requests.withColumnsRenamed({"prId": "prid"}),
-        "memorial": read_memorial_rows(rows_of("c.memorials")),
-        "register": read_register_rows(rows_of("c.roster")),
+        "memorial": _memorials(rows_of("memorial", MEMORIAL_POS)),
+        "register": _registers(rows_of("register", REGISTER_POS)),
         "manifest": c.select("cem_id", F.explode("c.manifest").alias("kind", "m")).select("cem_id", "kind", "m.n", "m.pages"),
     }
 

@@ -63,3 +63,10 @@ def test_a_lost_page_is_noticed_and_other_cemeteries_stay(spark, tmp_path):
     publish.write_bundle(docs.filter("cem_id = 1"), path)
     got = feeds.read_bundle(spark, path, one_per_line=True)
     assert publish.bundle_gaps(got).count() == 0 and got["cemetery"].count() == 2
+
+
+def test_texts_are_parsed_once_for_all_tables(spark, tmp_path):
+    path = str(tmp_path / "bundle")
+    publish.write_bundle(publish.publish_bundle(tables(spark), page_rows=4), path)
+    got = feeds.read_bundle(spark, path, one_per_line=True)
+    assert all("json" not in df._jdf.queryExecution().executedPlan().toString().lower() for df in got.values())
