@@ -1,6 +1,6 @@
 """Plans that the driver can hold: what is read many times is written once, what is exploded is not broadcast."""
 
-from plotlink.catalog import fixtures, registry
+from plotlink.catalog import fixtures, maps, registry
 from plotlink.catalog.registry import Tables, model
 from plotlink.functions.lineage import written
 from plotlink.operators import anchors, burials, georef, linkage, maintain
@@ -103,3 +103,13 @@ def test_a_fit_does_not_lay_out_its_pairs(spark):
     # pins of one lot are summed before they meet labels
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [cem_id") >= 1 and "sum(w" in plan[plan.index("Join"):]
+
+
+def test_pins_are_weighed_without_names(spark, monkeypatch):
+    monkeypatch.setattr(registry, "_MODELS", {})
+    t = registry.Tables(spark, SF)
+    maps._pins(t).count()
+    m = registry.model(t)
+    assert "memorial" not in m._made
+    cols = ["cem_id", "ord", "lat", "lng", "section", "sub", "block", "lot", "grave"]
+    assert sorted(map(str, m.pinned.select(cols).collect())) == sorted(map(str, m.memorial.filter("lat IS NOT NULL").select(cols).collect()))
