@@ -113,3 +113,14 @@ def test_pins_are_weighed_without_names(spark, monkeypatch):
     assert "memorial" not in m._made
     cols = ["cem_id", "ord", "lat", "lng", "section", "sub", "block", "lot", "grave"]
     assert sorted(map(str, m.pinned.select(cols).collect())) == sorted(map(str, m.memorial.filter("lat IS NOT NULL").select(cols).collect()))
+
+
+def test_a_query_plans_only_the_inputs_it_reads(spark, monkeypatch):
+    from plotlink.catalog.all import QUERIES
+
+    monkeypatch.setattr(registry, "_MODELS", {})
+    monkeypatch.setattr(fixtures, "_PARTS", {})
+    for slug in ("burial_union", "person_by_pk"):
+        assert QUERIES[slug](spark, SF).count() > 0
+        assert set(registry.model(registry.Tables(spark, SF)).raw) == {"cemetery", "memorial", "register", "pin"}
+        assert {p.rsplit("/", 1)[1] for p in fixtures._PARTS} == {"orders.parquet", "events.parquet"}
