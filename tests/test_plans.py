@@ -124,3 +124,15 @@ def test_a_query_plans_only_the_inputs_it_reads(spark, monkeypatch):
         assert QUERIES[slug](spark, SF).count() > 0
         assert set(registry.model(registry.Tables(spark, SF)).raw) == {"cemetery", "memorial", "register", "pin"}
         assert {p.rsplit("/", 1)[1] for p in fixtures._PARTS} == {"orders.parquet", "events.parquet"}
+
+
+def test_a_written_table_is_opened_without_a_job(spark):
+    sc, df = spark.sparkContext, spark.range(9).selectExpr("id", "named_struct('a', id, 'b', array(cast(id AS string))) AS s")
+    sc.setJobGroup("written", "")
+    try:
+        got = written(df, "opened")
+        # the write is the only job
+        assert len(sc.statusTracker().getJobIdsForGroup("written")) == 1
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got.collect()) == sorted(df.collect()) and got.dtypes == df.dtypes
