@@ -143,7 +143,8 @@ def test_spread_plots_are_not_broadcast(spark):
     entry = [(1, 1, "A", "", "blocks", "good", 4.0, i, "1", str(i), 10.0 * i, 5.0) for i in (1, 2, 4)]
     plat = spark.createDataFrame(entry, "cem_id int, map_ord int, section string, sub string, style string, quality string, loo_median double, ord long, block string, lot string, e double, n double")
     clusters = spark.createDataFrame([(1, "A", "", "1", "2", 20.0, 5.0, 1), (1, "A", "", "1", "4", 40.0, 5.0, 2)], "cem_id int, section string, sub string, block string, lot_key string, e double, n double, pins long")
-    drawn, pinned = locate.plat_adjacent(p, locate._keyed_entries(plat)), locate.anchor_adjacent(p, clusters)
+    p, clusters, entries = written(p, "plots"), written(clusters, "lot-clusters"), written(locate._keyed_entries(plat), "plat-entries")
+    drawn, pinned = locate.plat_adjacent(p, entries), locate.anchor_adjacent(p, clusters)
     for tier in (drawn, pinned):
         assert "SortMergeJoin" in tier._jdf.queryExecution().executedPlan().toString()
     assert [(r.lot, round(r.e, 6)) for r in drawn.collect()] == [("3", round((40 / 2 + 20 / 2 + 10 / 3) / (1 / 2 + 1 / 2 + 1 / 3), 6))]
