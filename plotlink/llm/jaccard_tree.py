@@ -2,8 +2,8 @@
 
 Equal shingle sets are one node. Documents that have enough shingles to themselves link with none and
 are settled first. A prefix of each other set, rarest shingles first, is its list of keys: two
-sets that are similar enough share one, so the graph of sets and keys has every link within one of
-its components. A component is a block. In a block a signature tree is built: leaves are sets with a
+sets that are similar enough share several, so the graph of sets that meet on as many (or on a key of
+many sets) has every link within one of its components. A component is a block. In a block a signature tree is built: leaves are sets with a
 token bitmap and a size, inner nodes the OR of bitmaps and the range of sizes; a dual traversal
 skips pairs of nodes whose maximum possible overlap is too small, and pairs already connected, and
 verifies the rest exactly. A block of more shingles than a task should hold is cut into chunks: each
@@ -30,6 +30,8 @@ _NULL_ID, _SHARED = -(1 << 63), -(1 << 63) + 1
 #: Shingles counted at a time; those seen this often in one go are reported; at most so many are ranked.
 COUNTED, SEEN, RANKED = 1 << 21, 4, 1 << 16
 BITS, LEAF, FAN = 4096, 4, 4
+#: A key of at most so many sets is met pair by pair; a pair must meet on one key for every so many shingles, and on at most so many.
+FEW_SETS, PER_KEY, MOST_KEYS = 16, 16, 16
 
 
 def sets_of(texts, k: int, lower: bool = True) -> list:
@@ -69,18 +71,19 @@ def needed(total: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, ranks) -> DataFrame:
-    """node, n and the prefix of its set."""
+    """node, n and the prefix of its set: so long that two similar sets share ``_keys_met`` of it, not one alone."""
     def run(frames):
         values, place = ranks.value
         for pdf in pages(frames):
             rows = []
             for doc, s in zip(pdf["doc_id"], sets_of(pdf["text"], k)):
                 n = len(s)
+                most = max(1, min(int(1.01 * n * den / num / PER_KEY), MOST_KEYS))  # as many as the next class asks for, or more
                 order = np.zeros(n, np.int64)
                 if len(values) and n:
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     order = np.where(values[at] == s, place[at], 0)
-                rows.append((doc, n, as_long(s[np.lexsort((mixed(s), order))[:n - -(-num * n // den) + 1]])))
+                rows.append((doc, n, as_long(s[np.lexsort((mixed(s), order))[:n - -(-num * n // den) + most]])))
             yield pd.DataFrame(rows, columns=["node", "n", "prefix"])
 
     return docs.mapInPandas(run, "node long, n int, prefix array<long>")
@@ -182,6 +185,28 @@ def _size_class(num: int, den: int):
     return F.floor(F.log("n") / math.log(1.0001 * den / num)).cast("int")
 
 
+def _keys_met(num: int, den: int, size_class):
+    """How many keys two similar sets of a class and the one below share at least."""
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_KEYS), F.floor(F.pow(F.lit(1.0001 * den / num), size_class) / PER_KEY).cast("int")))
+
+
+def block_edges(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) that hold any similar sets together: those who meet on enough keys that few sets have, and the sets of each
+    key that many have. A shingle shared by chance or a passage holds no two sets together, so blocks don't grow into one
+    another with the corpus."""
+    own = _size_class(num, den)  # each set stands in its own and the next, where the larger of a link is
+    keyed = nodes.withColumn("own", own).select("node", "own", F.explode("prefix").alias("key")).select("node", "own", F.explode(F.array("own", F.col("own") + 1)).alias("c"), "key") \
+        .select("node", (F.col("own") == F.col("c")).alias("own"), "c", F.xxhash64("key", "c").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"), (F.count("*") > FEW_SETS).alias("many")).filter("pivot < other").select("key", "pivot", "many")
+    held = written(keyed.join(shared, "key"), "keys")
+    many = held.filter("many and node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    few = held.filter("not many").select("key", "node", "own", "c")
+    # of one class and the class below, so a pair meets in one class alone
+    pairs = few.join(few.select("key", F.col("node").alias("other"), F.col("own").alias("others")), "key").filter("node > other and (own or others)") \
+        .groupBy(F.col("node").alias("a"), F.col("other").alias("b"), "c").agg(F.count("*").alias("met"))
+    return many.union(pairs.filter(F.col("met") >= _keys_met(num, den, F.col("c"))).select("a", "b"))
+
+
 def _linked(base: DataFrame, nodes: DataFrame, blocks: DataFrame, num: int, den: int, k: int, chunk_shingles: int) -> DataFrame:
     """Links that connect whatever is similar within blocks (node, component). A large block's chunks
     lie within a size class, so only those of the same and the next class can hold links."""
@@ -269,12 +294,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     at, place = np.argsort(values), np.arange(len(top), 0, -1)  # the rarest first
     ranks = spark.sparkContext.broadcast((values[at], place[at]))
     nodes = written(prefixes(few, k, num, den, ranks), "prefixes")
-    own_class = _size_class(num, den)  # each set stands in its own and the next, where the larger of a link is
-    keyed = nodes.select("node", F.explode("prefix").alias("key"), F.array(own_class, own_class + 1).alias("c")).select("node", F.explode("c").alias("c"), "key") \
-        .select("node", F.xxhash64("key", "c").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other")
-    edges = keyed.join(shared, "key").filter("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    blocks = written(components(edges), "blocks")
+    blocks = written(components(block_edges(nodes, num, den)), "blocks")
     links = _linked(few, nodes, blocks, num, den, k, chunk_shingles)
     class_of = components(links)
     grouped = classes.join(class_of, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))
